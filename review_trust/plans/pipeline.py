@@ -26,7 +26,7 @@ REVIEWS, CLEAN, FEATURES, TRUST = "reviews", "reviews_clean", "features", "featu
 EMBEDDINGS, USER_PROFILES, ITEM_PROFILES = "review_embeddings", "user_profiles", "item_profiles"
 RANKINGS, METRICS, SHIFTS = "rankings", "metrics", "rank_shifts"
 
-ROWS = {"rows": F.count(F.lit(1))}
+ROWS = {"rows": "count(1)"}
 
 
 def stored(spark: SparkSession, cfg: Config, name: str) -> DataFrame:
@@ -54,7 +54,7 @@ def preprocess(spark: SparkSession, cfg: Config) -> DataFrame:
 def build_features(spark: SparkSession, cfg: Config) -> DataFrame:
     """User features of the uncleaned reviews."""
     return materialize(
-        spark, cfg.path(FEATURES), lambda: features.user_features(stored(spark, cfg, REVIEWS)), {"users": F.count(USER)}
+        spark, cfg.path(FEATURES), lambda: features.user_features(stored(spark, cfg, REVIEWS)), {"users": "count(1)"}
     )
 
 
@@ -74,12 +74,11 @@ def embed(spark: SparkSession, cfg: Config, encoder: embedding.EncoderFactory |
 
 def anomaly(spark: SparkSession, cfg: Config) -> DataFrame:
     """The features with a trust score, in a table of their own."""
-    score = F.col("trust_score")
     return materialize(
         spark,
         cfg.path(TRUST),
         lambda: trust.trust_scores(stored(spark, cfg, FEATURES), cfg.n_trees, cfg.sample_size, cfg.seed),
-        {"min_trust": F.min(score), "max_trust": F.max(score)},
+        {"min_trust": "min(trust_score)", "max_trust": "max(trust_score)"},
     )
 
 

@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 logger = logging.getLogger(__name__)
 
@@ -22,12 +23,12 @@ def materialize(
     spark: SparkSession,
     path: str,
     build: Callable[[], DataFrame],
-    metrics: Mapping[str, Column] | None = None,
+    metrics: Mapping[str, str] | None = None,
     partition_by: tuple[str, ...] = (),
 ) -> DataFrame:
     """Read the table at ``path``; build and write it first if it is not there yet.
 
-    ``metrics`` are aggregates observed by the write job itself, so a step
+    ``metrics`` are SQL aggregates observed by the write job itself, so a step
     summary costs no extra pass.
     """
     if exists(spark, path):
@@ -37,7 +38,7 @@ def materialize(
     observation = None
     if metrics:
         observation = Observation(path)
-        df = df.observe(observation, *[c.alias(n) for n, c in metrics.items()])
+        df = df.observe(observation, *[F.expr(e).alias(n) for n, e in metrics.items()])
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     if observation is not None:
         logger.info("%s written: %s", path, observation.get)
@@ -60,6 +61,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a scratch table and read it back.
 
@@ -67,6 +73,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     by column like any Parquet table, and has known file sizes for planning.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

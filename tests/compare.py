@@ -1,0 +1,42 @@
+"""Runs queries against their SQL counterparts on the same tables."""
+
+from __future__ import annotations
+
+import math
+
+import duckdb
+import pandas as pd
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+    "conversations"
+).split()
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    db = duckdb.connect()
+    for name in TABLES:
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    return db
+
+
+def _rows(frame: pd.DataFrame) -> list[tuple]:
+    def plain(value):
+        if value is None or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
+            return ""
+        if hasattr(value, "item"):
+            value = value.item()
+        return repr(float(value)) if isinstance(value, (int, float)) and not isinstance(value, bool) else str(value)
+
+    columns = sorted(frame.columns)
+    return sorted(zip(*[map(plain, frame[c]) for c in columns]))
+
+
+def differences(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> list[str]:
+    """Empty if both hold the same columns and the same rows in any order."""
+    if sorted(spark_frame.columns) != sorted(sql_frame.columns):
+        return [f"columns {sorted(spark_frame.columns)} != {sorted(sql_frame.columns)}"]
+    left, right = _rows(spark_frame), _rows(sql_frame)
+    if len(left) != len(right):
+        return [f"{len(left)} rows != {len(right)} rows"]
+    return [f"{a} != {b}" for a, b in zip(left, right) if a != b]
