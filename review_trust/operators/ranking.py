@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from review_trust.functions.vectors import best_columns, matrix, unit_rows
-from review_trust.operators.skew import salted_join
+from review_trust.operators.skew import BROADCAST_IDS, salted_join
 from review_trust.schema import ITEM, USER
 from review_trust.sources.artifacts import cut
 
@@ -23,6 +23,8 @@ BROADCAST_BYTES = 64 << 20
 # Rows per item block and per user slice of the cell search, and the most cells it uses.
 BLOCK_ROWS = 8192
 MAX_CELLS = 4096
+# Most item vectors the driver looks at to place the cells: 50 MB at 384 dimensions.
+PIVOT_SAMPLE = 16_384
 # Users x items scored at a time inside a task: 16 MB of float64.
 CHUNK_SCORES = 2 << 20
 # Slack on score bounds for rounding in the angle arithmetic.
@@ -34,10 +36,15 @@ _CANDIDATES = f"variant string, {USER} string, {ITEM} string, score double"
 def item_trust(reviews: DataFrame, trust: DataFrame) -> DataFrame:
     """Mean trust of an item's reviews; a reviewer without a score counts as fully trusted.
 
-    Reviews are counted per (user, item) first, so the join sees each pair once.
+    A small score table is broadcast to the reviews. Beyond that, reviews are
+    counted per (user, item) first, so that the salted join sees each pair once.
     """
-    pairs = reviews.groupBy(USER, ITEM).agg(F.count("*").alias("n"))
-    scored = salted_join(pairs, trust.select(USER, "trust_score"), [USER], [ITEM])
+    scores = trust.select(USER, "trust_score")
+    if scores.count() <= BROADCAST_IDS:
+        scored = reviews.select(USER, ITEM, F.lit(1).alias("n")).join(F.broadcast(scores), USER, "left")
+    else:
+        pairs = cut(reviews.groupBy(USER, ITEM).agg(F.count("*").alias("n")), "pairs")
+        scored = salted_join(pairs, scores, [USER], [ITEM])
     weighted = F.sum(F.coalesce("trust_score", F.lit(1.0)) * F.col("n"))
     return scored.groupBy(ITEM).agg((weighted / F.sum("n")).alias("item_trust_factor"))
 
@@ -154,6 +161,27 @@ def _score_cells(visits: DataFrame, items: DataFrame, k: int) -> DataFrame:
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, _CANDIDATES)
 
 
+def _pivots(items: DataFrame, n_items: int, n_cells: int) -> np.ndarray:
+    """Cell centres: items far apart, each next one the farthest from those before.
+
+    They are picked from a sample of about ``PIVOT_SAMPLE`` items at most, so
+    that dense regions get no more centres than they need and few items end up
+    far from every centre.
+    """
+    share = min(1.0, min(8 * n_cells, PIVOT_SAMPLE) / n_items)
+    limit = min(2**63 - 1, int(share * 2**64) - 2**63)
+    sample = unit_rows(matrix(items.filter(F.xxhash64(ITEM) <= F.lit(limit)).orderBy(ITEM).toArrow().column("profile")))
+    sample = sample[sample.any(axis=1)]
+    if not len(sample):
+        sample = unit_rows(matrix(items.limit(1).toArrow().column("profile")))
+    chosen = [0]
+    nearest = sample @ sample[0]
+    while len(chosen) < min(n_cells, len(sample)) and nearest.min() < 1.0 - SLACK:
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, sample @ sample[chosen[-1]])
+    return sample[chosen]
+
+
 def _rank_cells(users: DataFrame, items: DataFrame, n_items: int, k: int) -> DataFrame:
     """Exact top-K for catalogues too large to broadcast.
 
@@ -164,7 +192,7 @@ def _rank_cells(users: DataFrame, items: DataFrame, n_items: int, k: int) -> Dat
     """
     spark = users.sparkSession
     n_cells = min(MAX_CELLS, max(2, math.ceil(n_items / BLOCK_ROWS)))
-    pivots = unit_rows(matrix(items.orderBy(F.xxhash64(ITEM), ITEM).limit(n_cells).toArrow().column("profile")))
+    pivots = _pivots(items, n_items, n_cells)
     shared_pivots = spark.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

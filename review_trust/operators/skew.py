@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Any key outside the HOT_KEYS heaviest holds at most 1/HOT_KEYS of the rows.
+# Any key outside the HOT_KEYS heaviest holds at most 1/HOT_KEYS of the rows;
+# a key of fewer than HOT_ROWS rows is small whatever its share.
 HOT_KEYS = 1000
+HOT_ROWS = 10_000
 SALTS = 64
 
 # Largest id set that is broadcast: about 60 MB of strings.
@@ -18,7 +20,7 @@ BROADCAST_IDS = 1_000_000
 def hot_keys(rows: DataFrame, on: Sequence[str]) -> DataFrame:
     """The heaviest keys of ``rows``: at most ``HOT_KEYS`` rows, whatever the input size."""
     counts = rows.groupBy(*on).agg(F.count("*").alias("_n"))
-    heaviest = counts.orderBy(F.desc("_n"), *on).limit(HOT_KEYS)
+    heaviest = counts.filter(F.col("_n") >= HOT_ROWS).orderBy(F.desc("_n"), *on).limit(HOT_KEYS)
     return heaviest.select(*on, F.lit(True).alias("_hot"))
 
 
@@ -37,12 +39,13 @@ def salted_join(
     left = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = table.join(hot, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    joined = left.join(right, [*on, "_salt"], how).drop("_salt")
+    return joined.select(*rows.columns) if how == "left_semi" else joined
 
 
 def semi_join_ids(rows: DataFrame, ids: DataFrame, key: str, n_ids: int, spread: Sequence[str]) -> DataFrame:
     """Keep the rows whose ``key`` is in ``ids``: broadcast while the set is small, else salted."""
     ids = ids.select(key)
     if n_ids <= BROADCAST_IDS:
-        return rows.join(F.broadcast(ids), key, "left_semi")
+        return rows.join(F.broadcast(ids), key, "left_semi").select(*rows.columns)
     return salted_join(rows, ids, [key], spread, "left_semi")

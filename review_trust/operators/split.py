@@ -36,7 +36,7 @@ def order_statistic(df: DataFrame, value: Column, q: float) -> int | None:
         return None
     rank = nearest_rank(n, q)
     while low < high:
-        width = (high - low) // FANOUT + 1
+        width = 1 if n <= FANOUT else (high - low) // FANOUT + 1  # few rows fill few buckets
         bucket = F.call_function("div", F.col("v") - F.lit(low), F.lit(width)).alias("bucket")
         counts = (
             values.filter(F.col("v").between(low, high))
@@ -48,7 +48,8 @@ def order_statistic(df: DataFrame, value: Column, q: float) -> int | None:
         ends = accumulate(row["n"] for row in counts)
         for row, end in zip(counts, ends):
             if rank < end:
-                rank -= end - row["n"]
+                n = row["n"]
+                rank -= end - n
                 low, high = low + row["bucket"] * width, min(high, low + (row["bucket"] + 1) * width - 1)
                 break
     return low

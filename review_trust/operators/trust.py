@@ -72,6 +72,8 @@ def _grow(tree: int, rows: np.ndarray, seed: int) -> pd.DataFrame:
             continue
         feature = int(rng.choice(varying))
         threshold = rng.uniform(low[feature], high[feature])
+        if threshold >= high[feature]:  # rounding in a very narrow range; both sides must get rows
+            threshold = low[feature]
         goes_left = part[:, feature] <= threshold
         nodes[number][2:4] = [feature, threshold]
         pending.append((part[~goes_left], depth + 1, number, 5))

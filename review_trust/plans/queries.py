@@ -53,6 +53,11 @@ def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.reviews(spark, sf_dir)
 
 
+def _stored(spark: SparkSession, sf_dir: str, **columns: bool) -> DataFrame:
+    """The reviews as a stored table, for queries that read them several times."""
+    return cut(tables.reviews(spark, sf_dir, **columns), "reviews")
+
+
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(features.user_features(tables.reviews(spark, sf_dir, text=True)), "features")
 
@@ -63,23 +68,17 @@ def entropy_trust(reviews: DataFrame) -> DataFrame:
     return scaled.select(USER, F.round("trust_score", 9).alias("trust_score"))
 
 
-def _split(spark: SparkSession, sf_dir: str) -> split.Split:
-    return split.temporal_split(_reviews(spark, sf_dir))
-
+def _profiles(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return profiles.user_profiles(reviews), profiles.item_profiles(reviews)
 
-def _profiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    vectors = tables.reviews(spark, sf_dir, embedding=True)
-    return profiles.user_profiles(vectors), profiles.item_profiles(vectors)
 
-
-def _evaluation(
-    spark: SparkSession, sf_dir: str, **options: int
-) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _evaluation(spark: SparkSession, sf_dir: str, **options: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Baseline ranking, trust ranking and ground truth of the evaluable users."""
-    reviews = _reviews(spark, sf_dir)
+    reviews = _stored(spark, sf_dir, embedding=True)
     train, test, _ = split.temporal_split(reviews)
-    users, items = _profiles(spark, sf_dir)
-    users = users.join(split.eval_users(train, test, reviews), USER, "left_semi")
+    users, items = _profiles(reviews)
+    users = cut(users, "user-profiles")
+    users = users.join(split.eval_users(train, test, users), USER, "left_semi")
     factors = ranking.item_trust(train, entropy_trust(reviews))
     ranked = cut(ranking.rank_items(users, items, factors, max(TOP_K), **options), "rankings")
     baseline, trusted = (ranked.filter(F.col("variant") == v) for v in (ranking.BASELINE, ranking.TRUST))
@@ -129,7 +128,7 @@ def q_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = tables.spread(tables.table(spark, sf_dir, "documents")).select("doc_id", "text")
     return embedding.embed(documents, "text").drop("text")
 
 
@@ -199,8 +198,8 @@ def iforest_trust_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def item_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reviews = _reviews(spark, sf_dir)
-    factors = ranking.item_trust(_split(spark, sf_dir).train, entropy_trust(reviews))
+    reviews = _stored(spark, sf_dir)
+    factors = ranking.item_trust(split.temporal_split(reviews).train, entropy_trust(reviews))
     return factors.select(ITEM, r6("item_trust_factor").alias("item_trust_factor"))
 
 
@@ -212,7 +211,8 @@ def suspicious_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def suspicious_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = tables.reviews(spark, sf_dir, text=True)
-    return suspicious.suspicious_reviews(clean_text(wide), entropy_trust(_reviews(spark, sf_dir)))
+    picked = suspicious.suspicious_reviews(wide, entropy_trust(_reviews(spark, sf_dir)))
+    return clean_text(picked)  # only the rows that are shown
 
 
 # --- profiles and rankings ---
@@ -235,7 +235,7 @@ def item_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users, items = _profiles(spark, sf_dir)
+    users, items = _profiles(_stored(spark, sf_dir, embedding=True))
     plain = spark.createDataFrame([], f"{ITEM} string, item_trust_factor double")
     ranked = ranking.rank_items(users, items, plain)
     return _scores(ranked.filter(F.col("variant") == ranking.BASELINE))
@@ -243,8 +243,8 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rank_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reviews = _reviews(spark, sf_dir)
-    users, items = _profiles(spark, sf_dir)
+    reviews = _stored(spark, sf_dir, embedding=True)
+    users, items = _profiles(reviews)
     ranked = ranking.rank_items(users, items, ranking.item_trust(reviews, entropy_trust(reviews)), max(TOP_K))
     return _scores(ranked.filter(F.col("variant") == ranking.TRUST))
 
@@ -270,20 +270,21 @@ def rank_trust_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test, _ = _split(spark, sf_dir)
+    train, test, _ = split.temporal_split(_stored(spark, sf_dir))
     parts = [part.select(USER, ITEM, "timestamp", F.lit(n).alias("part")) for part, n in ((train, "train"), (test, "test"))]
     return parts[0].unionByName(parts[1])
 
 
 @query
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.ground_truth(_split(spark, sf_dir).test)
+    return split.ground_truth(split.temporal_split(_stored(spark, sf_dir)).test)
 
 
 @query
 def eval_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test, _ = _split(spark, sf_dir)
-    return split.eval_users(train, test, _profiles(spark, sf_dir)[0])
+    reviews = _stored(spark, sf_dir, embedding=True)
+    train, test, _ = split.temporal_split(reviews)
+    return split.eval_users(train, test, profiles.user_profiles(reviews))
 
 
 @query

@@ -12,13 +12,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work on a table that is read in fewer splits than there are cores.
+
+    A large table comes in many more splits than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def reviews(spark: SparkSession, sf_dir: str, *, text: bool = False, embedding: bool = False) -> DataFrame:
     """One review per line item: who ordered which part, when, and how it was rated.
 
     ``text`` joins the title and body in, ``embedding`` a vector per review;
     both are left out unless asked for, so a query pays only for what it reads.
     """
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     df = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     columns = [
@@ -55,7 +64,7 @@ def web_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.col("page_id")
     title = F.concat(F.lit("Visit "), "url", F.lit(" now <b>bold</b>"))
     text = F.concat("html", F.lit(" see www.x"), page, F.lit(".org/a  end"))
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages")).select(
         "page_id",
         F.when(page % 10 != 3, title).alias("title"),
         F.when(page % 10 != 7, text).alias("text"),

@@ -1,0 +1,120 @@
+import json
+import os
+import random
+
+import pytest
+
+from review_trust.config import Config
+from review_trust.plans import pipeline
+from review_trust.sources import artifacts
+
+WORDS = "good bad cable lens battery fast slow cheap <b>bright</b> loud www.shop.example quiet".split()
+
+
+@pytest.fixture(scope="module")
+def cfg(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("run")
+    rng = random.Random(1)
+    with open(folder / "raw.jsonl", "w") as f:
+        for n in range(900):
+            row = {
+                "rating": float(rng.randint(1, 5)),
+                "title": rng.choice(WORDS),
+                "text": " ".join(rng.choices(WORDS, k=rng.randint(1, 12))),
+                "images": [{"url": "x"}],
+                "asin": "v",
+                "parent_asin": f"i{rng.randrange(40)}",
+                "user_id": f"u{rng.randrange(30)}",
+                "timestamp": 1_600_000_000_000 + n * 3_600_000,
+                "helpful_vote": rng.randint(0, 3),
+                "verified_purchase": rng.random() < 0.8,
+            }
+            f.write(json.dumps(row) + "\n")
+    cfg = Config(raw_path=str(folder / "raw.jsonl"), out_dir=str(folder / "out"), n_trees=20, encoder_dim=32)
+    pipeline.run(spark, cfg)
+    return cfg
+
+
+def test_every_step_stores_its_table(spark, cfg):
+    reviews = pipeline.stored(spark, cfg, pipeline.REVIEWS)
+    assert "review_text" not in reviews.columns and "images" in reviews.columns
+    n = reviews.count()
+    assert pipeline.stored(spark, cfg, pipeline.CLEAN).count() == n
+    assert pipeline.stored(spark, cfg, pipeline.EMBEDDINGS).count() == n
+    users = reviews.select("user_id").distinct().count()
+    assert pipeline.stored(spark, cfg, pipeline.TRUST).count() == users
+    assert pipeline.stored(spark, cfg, pipeline.USER_PROFILES).count() == users
+    assert pipeline.stored(spark, cfg, pipeline.METRICS).count() == 6
+    assert os.path.isdir(f"{cfg.out_dir}/rankings/variant=trust")
+
+
+def test_finished_steps_are_skipped_but_evaluation_runs(spark, cfg):
+    before = os.path.getmtime(f"{cfg.out_dir}/{pipeline.FEATURES}/_SUCCESS")
+    shifts = os.path.getmtime(f"{cfg.out_dir}/{pipeline.SHIFTS}/_SUCCESS")
+    pipeline.run(spark, cfg, ["features", "evaluate"])
+    assert os.path.getmtime(f"{cfg.out_dir}/{pipeline.FEATURES}/_SUCCESS") == before
+    assert os.path.getmtime(f"{cfg.out_dir}/{pipeline.SHIFTS}/_SUCCESS") > shifts
+
+
+def test_reports(spark, cfg):
+    text = "\n".join(r.value for r in spark.read.text(cfg.path("evaluation_report")).collect())
+    assert "| Precision@10 |" in text and "Mean rank shift over all items" in text
+    assert pipeline.suspicious_report(spark, cfg).count("### Trust score") == 20
+
+
+def test_rank_all_users(spark, cfg):
+    ranked = pipeline.rank_all(spark, cfg, 5)
+    users = pipeline.stored(spark, cfg, pipeline.USER_PROFILES).count()
+    assert ranked.count() == 2 * 5 * users
+
+
+def test_missing_input_and_unknown_step(spark, tmp_path):
+    empty = Config(out_dir=str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        pipeline.run(spark, empty, ["anomaly"])
+    with pytest.raises(FileNotFoundError):
+        pipeline.suspicious_report(spark, empty)
+    with pytest.raises(ValueError):
+        pipeline.run(spark, empty, ["training"])
+
+
+def test_unfinished_table_is_built_again(spark, tmp_path):
+    path = str(tmp_path / "t")
+    artifacts.materialize(spark, path, lambda: spark.range(3), {"rows": "count(1)"})
+    os.remove(f"{path}/_SUCCESS")
+    assert artifacts.materialize(spark, path, lambda: spark.range(5)).count() == 5
+    assert artifacts.materialize(spark, path, lambda: spark.range(9)).count() == 5
+
+
+def test_scratch_folder_comes_from_the_session(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        assert artifacts.scratch_dir(spark) == named.rstrip("/")
+    assert artifacts.scratch_path(spark, "t").startswith(artifacts.scratch_dir(spark))
+    assert artifacts.scratch_path(spark, "t") != artifacts.scratch_path(spark, "t")
+
+
+def test_no_machine_folder_on_a_cluster():
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(RuntimeError):
+        artifacts.scratch_dir(Session())
+
+
+def test_cut_reads_back_what_it_wrote(spark):
+    df = spark.createDataFrame([(1, [0.5, None], "a"), (2, [], None)], "id int, v array<double>, s string")
+    table = artifacts.cut(df, "t")
+    assert table.dtypes == df.dtypes and sorted(table.collect()) == sorted(df.collect())
+    assert table.inputFiles()

@@ -1,0 +1,54 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from review_trust.operators.embedding import embed
+from review_trust.operators.profiles import item_profiles, user_profiles
+
+
+def test_profiles_are_element_wise_means(spark):
+    rows = [("U1", "I1", [1.0, 0.0]), ("U1", "I2", [1.0, 2.0]), ("U2", "I1", [3.0, 4.0]), ("U2", "I3", [5.0, 6.0])]
+    df = spark.createDataFrame(rows, "user_id string, parent_asin string, embedding array<float>")
+    users = {r.user_id: r.profile for r in user_profiles(df).collect()}
+    items = {r.parent_asin: r.profile for r in item_profiles(df).collect()}
+    assert users == {"U1": [1.0, 1.0], "U2": [4.0, 5.0]}
+    assert items == {"I1": [2.0, 2.0], "I2": [1.0, 2.0], "I3": [5.0, 6.0]}
+
+
+def test_default_encoder(spark):
+    texts = ["This is great.", "this IS great", "another text", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, review_text string")
+    out = embed(df)
+    assert dict(out.dtypes)["embedding"] == "array<float>"
+    assert out.columns == ["id", "review_text", "embedding"]
+    vectors = np.array([r.embedding for r in out.orderBy("id").collect()])
+    assert vectors.shape == (5, 384)
+    assert np.allclose(np.linalg.norm(vectors, axis=1), [1, 1, 1, 0, 0], atol=1e-6)
+    assert np.array_equal(vectors[0], vectors[1])
+    assert not np.array_equal(vectors[0], vectors[2])
+
+
+def test_own_encoder_gets_whole_texts_in_batches(spark):
+    long = "word " * 20_000
+
+    def load():
+        import numpy as np
+
+        def encode(texts):
+            assert len(texts) <= 16
+            return np.array([[len(t), t.count("w")] for t in texts], dtype=np.float32)
+
+        return encode
+
+    df = spark.createDataFrame([(long,), ("w",), (None,)], "review_text string").unionByName(
+        spark.range(100).select(F.lit("ww").alias("review_text"))
+    )
+    got = embed(df, encoder=load, batch_size=16).select("embedding").collect()
+    vectors = sorted(tuple(r.embedding) for r in got)
+    assert vectors == sorted([(100_000.0, 20_000.0), (1.0, 1.0), (0.0, 0.0)] + [(2.0, 2.0)] * 100)
+
+
+@pytest.mark.parametrize("dim", [8, 1000])
+def test_dimension(spark, dim):
+    df = spark.createDataFrame([("some text",)], "review_text string")
+    assert len(embed(df, dim=dim).first().embedding) == dim

@@ -1,0 +1,53 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from review_trust.operators import split
+
+
+@pytest.mark.parametrize(
+    ("n", "q", "index"),
+    [(298_309, 0.8, 238_646), (6_173_972, 0.8, 4_939_177), (5, 0.5, 2), (4, 0.5, 2), (1, 0.8, 0), (3, 0.75, 2)],
+)
+def test_nearest_rank(n, q, index):
+    assert split.nearest_rank(n, q) == index
+
+
+@pytest.mark.parametrize("fanout", [2, 7, 65_536])
+@pytest.mark.parametrize("q", [0.0, 0.3, 0.8, 1.0])
+def test_order_statistic_is_exact(spark, monkeypatch, fanout, q):
+    monkeypatch.setattr(split, "FANOUT", fanout)
+    rng = random.Random(3)
+    values = [rng.choice([-5, 0, 10**15, rng.randrange(-(10**6), 10**6)]) for _ in range(301)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v bigint").coalesce(2)
+    assert split.order_statistic(df, F.col("v"), q) == sorted(values)[split.nearest_rank(301, q)]
+
+
+def test_order_statistic_of_nothing(spark):
+    assert split.order_statistic(spark.createDataFrame([(None,)], "v bigint"), F.col("v"), 0.8) is None
+
+
+def reviews(spark, rows):
+    return spark.createDataFrame(rows, "user_id string, parent_asin string, timestamp bigint")
+
+
+def test_ties_at_the_cutoff_stay_in_train(spark):
+    df = reviews(spark, [("u", f"i{n}", t) for n, t in enumerate([1, 2, 3, 3, 3, 9, None])])
+    train, test, cutoff = split.temporal_split(df, 0.5)
+    assert cutoff == 3000
+    assert sorted(r.timestamp for r in train.collect()) == [1, 2, 3, 3, 3]
+    assert [r.timestamp for r in test.collect()] == [9]
+
+
+def test_no_times_at_all(spark):
+    train, test, cutoff = split.temporal_split(reviews(spark, [("u", "i", None)]))
+    assert cutoff is None and train.count() == test.count() == 0
+
+
+def test_ground_truth_and_evaluable_users(spark):
+    train = reviews(spark, [("a", "i", 1), ("b", "i", 1), ("c", "i", 1)])
+    test = reviews(spark, [("a", "x", 2), ("a", "x", 3), ("b", "y", 2), ("d", "x", 2)])
+    profiles = spark.createDataFrame([("a",), ("c",), ("d",)], "user_id string")
+    assert sorted(tuple(r) for r in split.ground_truth(test).collect()) == [("a", "x"), ("b", "y"), ("d", "x")]
+    assert [r.user_id for r in split.eval_users(train, test, profiles).collect()] == ["a"]
