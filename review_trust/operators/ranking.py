@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 
 from review_trust.functions.vectors import best_columns, matrix, unit_rows
 from review_trust.operators.skew import BROADCAST_IDS, salted_join
-from review_trust.schema import ITEM, USER
+from review_trust.schema import BASELINE, ITEM, TRUST, USER
 from review_trust.sources.artifacts import cut
 
-BASELINE, TRUST = "baseline", "trust"
-
 # Item vectors up to this size are broadcast; larger catalogues are searched cell by cell.
 BROADCAST_BYTES = 64 << 20
+ID_BYTES = 64
 # Rows per item block and per user slice of the cell search, and the most cells it uses.
 BLOCK_ROWS = 8192
 MAX_CELLS = 4096
@@ -295,7 +294,7 @@ def rank_items(
     n_items, dim = items.agg(F.count("*"), F.max(F.size("profile"))).first()
     if not n_items:
         ranked = items.sparkSession.createDataFrame([], _CANDIDATES + ", rank int")
-    elif n_items * dim * 8 <= broadcast_bytes:
+    elif n_items * (dim * 8 + ID_BYTES) <= broadcast_bytes:
         ranked = _rank_broadcast(users, items, top_k)
     else:
         ranked = _rank_cells(cut(users, "users"), items, n_items, top_k)

@@ -27,7 +27,7 @@ reviews AS MATERIALIZED (
   JOIN orders ON l_orderkey = o_orderkey
   JOIN part ON l_partkey = p_partkey
   JOIN documents d ON d.doc_id = (l_orderkey * 7 + l_partkey) % (SELECT count(*) FROM documents)
-  JOIN embeddings ON vec_id = (l_partkey * 31 + o_custkey) % 500
+  JOIN embeddings ON vec_id = (l_partkey * 31 + o_custkey) % (SELECT count(*) FROM embeddings)
 )"""
 
 _HIST = "hist AS (SELECT user_id, rating, count(*) AS n FROM reviews GROUP BY ALL)"

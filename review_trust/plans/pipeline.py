@@ -16,13 +16,13 @@ from review_trust.config import Config
 from review_trust.functions.text import clean_text
 from review_trust.operators import embedding, features, kcore, metrics, profiles, ranking, split, suspicious, trust
 from review_trust.plans import report
-from review_trust.schema import ITEM, USER
+from review_trust.schema import BASELINE, ITEM, TRUST, USER
 from review_trust.sources.artifacts import exists, materialize
 from review_trust.sources.reviews import read_json
 
 logger = logging.getLogger(__name__)
 
-REVIEWS, CLEAN, FEATURES, TRUST = "reviews", "reviews_clean", "features", "features_trust"
+REVIEWS, CLEAN, FEATURES, SCORES = "reviews", "reviews_clean", "features", "features_trust"
 EMBEDDINGS, USER_PROFILES, ITEM_PROFILES = "review_embeddings", "user_profiles", "item_profiles"
 RANKINGS, METRICS, SHIFTS = "rankings", "metrics", "rank_shifts"
 
@@ -76,7 +76,7 @@ def anomaly(spark: SparkSession, cfg: Config) -> DataFrame:
     """The features with a trust score, in a table of their own."""
     return materialize(
         spark,
-        cfg.path(TRUST),
+        cfg.path(SCORES),
         lambda: trust.trust_scores(stored(spark, cfg, FEATURES), cfg.n_trees, cfg.sample_size, cfg.seed),
         {"min_trust": "min(trust_score)", "max_trust": "max(trust_score)"},
     )
@@ -84,7 +84,7 @@ def anomaly(spark: SparkSession, cfg: Config) -> DataFrame:
 
 def rank_all(spark: SparkSession, cfg: Config, top_k: int = 20) -> DataFrame:
     """Rankings for every user, with item trust taken from all reviews."""
-    factors = ranking.item_trust(stored(spark, cfg, REVIEWS), stored(spark, cfg, TRUST))
+    factors = ranking.item_trust(stored(spark, cfg, REVIEWS), stored(spark, cfg, SCORES))
     users, items = stored(spark, cfg, USER_PROFILES), stored(spark, cfg, ITEM_PROFILES)
     return ranking.rank_items(users, items, factors, top_k)
 
@@ -95,19 +95,14 @@ def evaluate(spark: SparkSession, cfg: Config) -> str:
     users, items = stored(spark, cfg, USER_PROFILES), stored(spark, cfg, ITEM_PROFILES)
     train, test, _ = split.temporal_split(reviews, cfg.test_ratio)
     evaluable = split.eval_users(train, test, users)
-    factors = ranking.item_trust(train, stored(spark, cfg, TRUST))
+    factors = ranking.item_trust(train, stored(spark, cfg, SCORES))
 
     ranked = ranking.rank_items(users.join(evaluable, USER, "left_semi"), items, factors, max(cfg.top_k))
     ranked.write.mode("overwrite").partitionBy("variant").parquet(cfg.path(RANKINGS))
     ranked = spark.read.parquet(cfg.path(RANKINGS))
-    baseline = ranked.filter(F.col("variant") == ranking.BASELINE)
-    trusted = ranked.filter(F.col("variant") == ranking.TRUST)
+    baseline, trusted = (ranked.filter(F.col("variant") == v) for v in (BASELINE, TRUST))
 
-    truth = split.ground_truth(test)
-    comparison = metrics.compare_metrics(
-        metrics.evaluate(baseline, truth, cfg.top_k), metrics.evaluate(trusted, truth, cfg.top_k)
-    )
-    comparison.write.mode("overwrite").parquet(cfg.path(METRICS))
+    metrics.compare(ranked, split.ground_truth(test), cfg.top_k).write.mode("overwrite").parquet(cfg.path(METRICS))
     metrics.rank_shift(baseline, trusted).write.mode("overwrite").parquet(cfg.path(SHIFTS))
     shifts = spark.read.parquet(cfg.path(SHIFTS))
 
@@ -125,7 +120,7 @@ def evaluate(spark: SparkSession, cfg: Config) -> str:
 
 def suspicious_report(spark: SparkSession, cfg: Config) -> str:
     """A review of each of the least trusted users, stored and returned as Markdown."""
-    rows = suspicious.suspicious_reviews(stored(spark, cfg, CLEAN), stored(spark, cfg, TRUST)).collect()
+    rows = suspicious.suspicious_reviews(stored(spark, cfg, CLEAN), stored(spark, cfg, SCORES)).collect()
     text = report.suspicious_report(rows)
     report.save_report(spark, text, cfg.path("suspicious_reviews"))
     return text

@@ -16,7 +16,7 @@ from review_trust.config import TOP_K, Config
 from review_trust.functions.text import clean_text
 from review_trust.operators import embedding, features, kcore, metrics, profiles, ranking, split, suspicious, trust
 from review_trust.plans import pipeline
-from review_trust.schema import FEATURES, ITEM, USER
+from review_trust.schema import BASELINE, FEATURES, ITEM, TRUST, USER
 from review_trust.session import configure
 from review_trust.sources import tables
 from review_trust.sources.artifacts import cut, scratch_path
@@ -72,8 +72,8 @@ def _profiles(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
     return profiles.user_profiles(reviews), profiles.item_profiles(reviews)
 
 
-def _evaluation(spark: SparkSession, sf_dir: str, **options: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Baseline ranking, trust ranking and ground truth of the evaluable users."""
+def _evaluation(spark: SparkSession, sf_dir: str, **options: int) -> tuple[DataFrame, DataFrame]:
+    """Both rankings and the ground truth of the evaluable users."""
     reviews = _stored(spark, sf_dir, embedding=True)
     train, test, _ = split.temporal_split(reviews)
     users, items = _profiles(reviews)
@@ -81,12 +81,15 @@ def _evaluation(spark: SparkSession, sf_dir: str, **options: int) -> tuple[DataF
     users = users.join(split.eval_users(train, test, users), USER, "left_semi")
     factors = ranking.item_trust(train, entropy_trust(reviews))
     ranked = cut(ranking.rank_items(users, items, factors, max(TOP_K), **options), "rankings")
-    baseline, trusted = (ranked.filter(F.col("variant") == v) for v in (ranking.BASELINE, ranking.TRUST))
-    return baseline, trusted, split.ground_truth(test)
+    return ranked, split.ground_truth(test)
 
 
-def _scores(ranked: DataFrame) -> DataFrame:
-    return ranked.select(USER, "rank", ITEM, r6("score").alias("score"))
+def _only(ranked: DataFrame, variant: str) -> DataFrame:
+    return ranked.filter(F.col("variant") == variant).drop("variant")
+
+
+def _scores(ranked: DataFrame, variant: str) -> DataFrame:
+    return _only(ranked, variant).select(USER, "rank", ITEM, r6("score").alias("score"))
 
 
 # --- k-core ---
@@ -238,7 +241,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     users, items = _profiles(_stored(spark, sf_dir, embedding=True))
     plain = spark.createDataFrame([], f"{ITEM} string, item_trust_factor double")
     ranked = ranking.rank_items(users, items, plain)
-    return _scores(ranked.filter(F.col("variant") == ranking.BASELINE))
+    return _scores(ranked, BASELINE)
 
 
 @query
@@ -246,28 +249,33 @@ def rank_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = _stored(spark, sf_dir, embedding=True)
     users, items = _profiles(reviews)
     ranked = ranking.rank_items(users, items, ranking.item_trust(reviews, entropy_trust(reviews)), max(TOP_K))
-    return _scores(ranked.filter(F.col("variant") == ranking.TRUST))
+    return _scores(ranked, TRUST)
 
 
 @query
 def rank_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(_evaluation(spark, sf_dir)[0])
+    return _scores(_evaluation(spark, sf_dir)[0], BASELINE)
 
 
 @query
 def rank_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(_evaluation(spark, sf_dir)[1])
+    return _scores(_evaluation(spark, sf_dir)[0], TRUST)
 
 
 @query
 def rank_trust_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same ranking by the search for catalogues that are not broadcast."""
-    return _scores(_evaluation(spark, sf_dir, broadcast_bytes=0)[1])
+    return _scores(_evaluation(spark, sf_dir, broadcast_bytes=0)[0], TRUST)
 
 
 # --- evaluation ---
 
 
+def _shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked, _ = _evaluation(spark, sf_dir)
+    return metrics.rank_shift(_only(ranked, BASELINE), _only(ranked, TRUST))
+
+
 @query
 def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test, _ = split.temporal_split(_stored(spark, sf_dir))
@@ -289,46 +297,42 @@ def eval_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    baseline, _, truth = _evaluation(spark, sf_dir)
-    return metrics.user_metrics(baseline, truth).select(USER, "k", r6("precision").alias("precision"))
+    ranked, truth = _evaluation(spark, sf_dir)
+    return metrics.user_metrics(_only(ranked, BASELINE), truth).select(USER, "k", r6("precision").alias("precision"))
 
 
 @query
 def ndcg_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    baseline, _, truth = _evaluation(spark, sf_dir)
-    return metrics.user_metrics(baseline, truth).select(USER, "k", r6("ndcg").alias("ndcg"))
+    ranked, truth = _evaluation(spark, sf_dir)
+    return metrics.user_metrics(_only(ranked, BASELINE), truth).select(USER, "k", r6("ndcg").alias("ndcg"))
 
 
 @query
 def rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    baseline, _, truth = _evaluation(spark, sf_dir)
-    return metrics.evaluate(baseline, truth).select("metric", "k", r6("value").alias("value"))
+    ranked, truth = _evaluation(spark, sf_dir)
+    return metrics.evaluate(_only(ranked, BASELINE), truth).select("metric", "k", r6("value").alias("value"))
 
 
 @query
 def metric_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    baseline, trusted, truth = _evaluation(spark, sf_dir)
-    compared = metrics.compare_metrics(metrics.evaluate(baseline, truth), metrics.evaluate(trusted, truth))
+    compared = metrics.compare(*_evaluation(spark, sf_dir))
     return compared.select("metric", "k", *[r6(c).alias(c) for c in ("baseline", "trust", "delta")], "arrow")
 
 
 @query
 def rank_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    baseline, trusted, _ = _evaluation(spark, sf_dir)
-    return metrics.rank_shift(baseline, trusted).select(ITEM, r6("shift").alias("shift"))
+    return _shifts(spark, sf_dir).select(ITEM, r6("shift").alias("shift"))
 
 
 @query
 def rank_shift_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    baseline, trusted, _ = _evaluation(spark, sf_dir)
-    overall = metrics.overall_shift(metrics.rank_shift(baseline, trusted))
+    overall = metrics.overall_shift(_shifts(spark, sf_dir))
     return overall.select(r6("mean_shift").alias("mean_shift"))
 
 
 @query
 def most_demoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    baseline, trusted, _ = _evaluation(spark, sf_dir)
-    shifts = metrics.rank_shift(baseline, trusted).select(ITEM, r6("shift").alias("shift"))
+    shifts = _shifts(spark, sf_dir).select(ITEM, r6("shift").alias("shift"))
     return metrics.most_demoted(shifts)
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import types as T
 USER = "user_id"
 ITEM = "parent_asin"
 
+# Values of the ``variant`` column of a ranking.
+BASELINE, TRUST = "baseline", "trust"
+
 REVIEW_SCHEMA = T.StructType(
     [
         T.StructField("rating", T.DoubleType()),

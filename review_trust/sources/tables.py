@@ -54,7 +54,8 @@ def reviews(spark: SparkSession, sf_dir: str, *, text: bool = False, embedding:
         ]
     if embedding:
         vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-        df = df.join(vectors, (F.col("l_partkey") * 31 + F.col("o_custkey")) % 500 == F.col("vec_id"))
+        n_vectors = vectors.count()
+        df = df.join(vectors, (F.col("l_partkey") * 31 + F.col("o_custkey")) % n_vectors == F.col("vec_id"))
         columns.append(F.col("embedding"))
     return df.select(*columns)
 

@@ -42,7 +42,7 @@ def test_every_step_stores_its_table(spark, cfg):
     assert pipeline.stored(spark, cfg, pipeline.CLEAN).count() == n
     assert pipeline.stored(spark, cfg, pipeline.EMBEDDINGS).count() == n
     users = reviews.select("user_id").distinct().count()
-    assert pipeline.stored(spark, cfg, pipeline.TRUST).count() == users
+    assert pipeline.stored(spark, cfg, pipeline.SCORES).count() == users
     assert pipeline.stored(spark, cfg, pipeline.USER_PROFILES).count() == users
     assert pipeline.stored(spark, cfg, pipeline.METRICS).count() == 6
     assert os.path.isdir(f"{cfg.out_dir}/rankings/variant=trust")

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 
 from review_trust.operators import ranking, skew
-from review_trust.operators.ranking import BASELINE, TRUST, item_trust, rank_items
+from review_trust.operators.ranking import item_trust, rank_items
+from review_trust.schema import BASELINE, TRUST
 
 FACTORS = "parent_asin string, item_trust_factor double"
 
