@@ -9,20 +9,28 @@ from pyspark.sql import functions as F
 
 from review_trust.schema import ITEM, USER
 
+# One sum per dimension stays within whole-stage code generation up to here.
+MAX_SUMS = 64
 
-def mean_profiles(reviews: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+
+def mean_profiles(reviews: DataFrame, key: str, dim: int | None = None, vector: str = "embedding") -> DataFrame:
     """Element-wise mean of the review vectors of each ``key``, as ``profile``.
 
     The mean is a partial aggregate: each task sends one running mean per id,
-    however many reviews that id has.
+    however many reviews that id has. Vectors known to be short are added up
+    dimension by dimension, several times faster than by the vector summarizer.
     """
-    mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
-    return reviews.groupBy(key).agg(vector_to_array(mean).alias("profile"))
+    if dim is None or dim > MAX_SUMS:
+        mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
+        return reviews.groupBy(key).agg(vector_to_array(mean).alias("profile"))
+    sums = F.array(*[F.sum(F.get(vector, F.lit(i)).cast("double")) for i in range(dim)])
+    added = reviews.groupBy(key).agg(sums.alias("sums"), F.count("*").alias("n"))
+    return added.select(key, F.transform("sums", lambda s: s / F.col("n")).alias("profile"))
 
 
-def user_profiles(reviews: DataFrame) -> DataFrame:
-    return mean_profiles(reviews, USER)
+def user_profiles(reviews: DataFrame, dim: int | None = None) -> DataFrame:
+    return mean_profiles(reviews, USER, dim)
 
 
-def item_profiles(reviews: DataFrame) -> DataFrame:
-    return mean_profiles(reviews, ITEM)
+def item_profiles(reviews: DataFrame, dim: int | None = None) -> DataFrame:
+    return mean_profiles(reviews, ITEM, dim)

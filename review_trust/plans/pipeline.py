@@ -25,6 +25,7 @@ logger = logging.getLogger(__name__)
 REVIEWS, CLEAN, FEATURES, SCORES = "reviews", "reviews_clean", "features", "features_trust"
 EMBEDDINGS, USER_PROFILES, ITEM_PROFILES = "review_embeddings", "user_profiles", "item_profiles"
 RANKINGS, METRICS, SHIFTS = "rankings", "metrics", "rank_shifts"
+ALL_RANKINGS = "rankings_all_users"
 
 ROWS = {"rows": "count(1)"}
 
@@ -67,8 +68,8 @@ def embed(spark: SparkSession, cfg: Config, encoder: embedding.EncoderFactory |
         return vectors.drop("review_text")
 
     vectors = materialize(spark, cfg.path(EMBEDDINGS), build, ROWS)
-    materialize(spark, cfg.path(USER_PROFILES), lambda: profiles.user_profiles(vectors), ROWS)
-    materialize(spark, cfg.path(ITEM_PROFILES), lambda: profiles.item_profiles(vectors), ROWS)
+    materialize(spark, cfg.path(USER_PROFILES), lambda: profiles.user_profiles(vectors, cfg.encoder_dim), ROWS)
+    materialize(spark, cfg.path(ITEM_PROFILES), lambda: profiles.item_profiles(vectors, cfg.encoder_dim), ROWS)
     return vectors
 
 
@@ -86,7 +87,9 @@ def rank_all(spark: SparkSession, cfg: Config, top_k: int = 20) -> DataFrame:
     """Rankings for every user, with item trust taken from all reviews."""
     factors = ranking.item_trust(stored(spark, cfg, REVIEWS), stored(spark, cfg, SCORES))
     users, items = stored(spark, cfg, USER_PROFILES), stored(spark, cfg, ITEM_PROFILES)
-    return ranking.rank_items(users, items, factors, top_k)
+    ranked = ranking.rank_items(users, items, factors, top_k)
+    ranked.write.mode("overwrite").partitionBy("variant").parquet(cfg.path(ALL_RANKINGS))
+    return stored(spark, cfg, ALL_RANKINGS)
 
 
 def evaluate(spark: SparkSession, cfg: Config) -> str:

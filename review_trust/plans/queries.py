@@ -68,15 +68,16 @@ def entropy_trust(reviews: DataFrame) -> DataFrame:
     return scaled.select(USER, F.round("trust_score", 9).alias("trust_score"))
 
 
-def _profiles(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return profiles.user_profiles(reviews), profiles.item_profiles(reviews)
+def _profiles(spark: SparkSession, sf_dir: str, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
+    dim = tables.vector_size(spark, sf_dir)
+    return profiles.user_profiles(reviews, dim), profiles.item_profiles(reviews, dim)
 
 
 def _evaluation(spark: SparkSession, sf_dir: str, **options: int) -> tuple[DataFrame, DataFrame]:
     """Both rankings and the ground truth of the evaluable users."""
     reviews = _stored(spark, sf_dir, embedding=True)
     train, test, _ = split.temporal_split(reviews)
-    users, items = _profiles(reviews)
+    users, items = _profiles(spark, sf_dir, reviews)
     users = cut(users, "user-profiles")
     users = users.join(split.eval_users(train, test, users), USER, "left_semi")
     factors = ranking.item_trust(train, entropy_trust(reviews))
@@ -228,17 +229,17 @@ def _long(table: DataFrame, key: str) -> DataFrame:
 
 @query
 def user_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(profiles.user_profiles(tables.reviews(spark, sf_dir, embedding=True)), USER)
+    return _long(_profiles(spark, sf_dir, tables.reviews(spark, sf_dir, embedding=True))[0], USER)
 
 
 @query
 def item_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(profiles.item_profiles(tables.reviews(spark, sf_dir, embedding=True)), ITEM)
+    return _long(_profiles(spark, sf_dir, tables.reviews(spark, sf_dir, embedding=True))[1], ITEM)
 
 
 @query
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users, items = _profiles(_stored(spark, sf_dir, embedding=True))
+    users, items = _profiles(spark, sf_dir, _stored(spark, sf_dir, embedding=True))
     plain = spark.createDataFrame([], f"{ITEM} string, item_trust_factor double")
     ranked = ranking.rank_items(users, items, plain)
     return _scores(ranked, BASELINE)
@@ -247,7 +248,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rank_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = _stored(spark, sf_dir, embedding=True)
-    users, items = _profiles(reviews)
+    users, items = _profiles(spark, sf_dir, reviews)
     ranked = ranking.rank_items(users, items, ranking.item_trust(reviews, entropy_trust(reviews)), max(TOP_K))
     return _scores(ranked, TRUST)
 
@@ -292,7 +293,7 @@ def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = _stored(spark, sf_dir, embedding=True)
     train, test, _ = split.temporal_split(reviews)
-    return split.eval_users(train, test, profiles.user_profiles(reviews))
+    return split.eval_users(train, test, _profiles(spark, sf_dir, reviews)[0])
 
 
 @query

@@ -60,6 +60,11 @@ def reviews(spark: SparkSession, sf_dir: str, *, text: bool = False, embedding:
     return df.select(*columns)
 
 
+def vector_size(spark: SparkSession, sf_dir: str) -> int:
+    """Length of the vectors in the embeddings table."""
+    return table(spark, sf_dir, "embeddings").select(F.size("embedding")).first()[0]
+
+
 def web_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as marked-up reviews: titles with a link and a tag, bodies of raw HTML, some of them null."""
     page = F.col("page_id")

@@ -6,11 +6,12 @@ from review_trust.operators.embedding import embed
 from review_trust.operators.profiles import item_profiles, user_profiles
 
 
-def test_profiles_are_element_wise_means(spark):
+@pytest.mark.parametrize("dim", [None, 2, 384])
+def test_profiles_are_element_wise_means(spark, dim):
     rows = [("U1", "I1", [1.0, 0.0]), ("U1", "I2", [1.0, 2.0]), ("U2", "I1", [3.0, 4.0]), ("U2", "I3", [5.0, 6.0])]
     df = spark.createDataFrame(rows, "user_id string, parent_asin string, embedding array<float>")
-    users = {r.user_id: r.profile for r in user_profiles(df).collect()}
-    items = {r.parent_asin: r.profile for r in item_profiles(df).collect()}
+    users = {r.user_id: r.profile for r in user_profiles(df, dim).collect()}
+    items = {r.parent_asin: r.profile for r in item_profiles(df, dim).collect()}
     assert users == {"U1": [1.0, 1.0], "U2": [4.0, 5.0]}
     assert items == {"I1": [2.0, 2.0], "I2": [1.0, 2.0], "I3": [5.0, 6.0]}
 
