@@ -19,9 +19,11 @@ from review_trust.sources.artifacts import cut
 # Item vectors up to this size are broadcast; larger catalogues are searched cell by cell.
 BROADCAST_BYTES = 64 << 20
 ID_BYTES = 64
-# Rows per item block and per user slice of the cell search, and the most cells it uses.
-BLOCK_ROWS = 8192
+# Items a cell of the cell search should hold, and the most cells it uses.
+CELL_ROWS = 2048
 MAX_CELLS = 4096
+# Rows per item block and per user slice within a cell.
+BLOCK_ROWS = 8192
 # Most item vectors the driver looks at to place the cells: 50 MB at 384 dimensions.
 PIVOT_SAMPLE = 16_384
 # Users x items scored at a time inside a task: 16 MB of float64.
@@ -65,14 +67,22 @@ def _block(table: pa.Table) -> _Items:
     )
 
 
-def _score(users: pa.Array, vectors: np.ndarray, items: _Items, k: int) -> Iterator[pa.RecordBatch]:
-    """The ``k`` best items of the block for each user, for both variants from one matrix product."""
+def _score(
+    users: pa.Array, vectors: np.ndarray, items: _Items, k: int, floors: dict[str, np.ndarray] | None = None
+) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best items of the block for each user, for both variants from one matrix product.
+
+    With ``floors`` only items that reach the user's floor are returned.
+    """
     step = max(1, CHUNK_SCORES // max(1, len(items.ids)))
     for start in range(0, len(users), step):
         similarity = np.maximum(vectors[start : start + step] @ items.vectors.T, 0.0)
         for variant in (BASELINE, TRUST):
             scores = similarity * items.trust if variant == TRUST else similarity
             rows, columns, values, ranks = best_columns(scores, k)
+            if floors is not None:
+                reached = values >= floors[variant][rows + start]
+                rows, columns, values, ranks = rows[reached], columns[reached], values[reached], ranks[reached]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([variant] * len(rows), pa.string()),
@@ -120,7 +130,7 @@ class _Cells(NamedTuple):
 
 
 def _score_cells(visits: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Score (user, cell) visits against the items of the cell.
+    """Score (user, cell) visits against the items of the cell, keeping what reaches the user's floors.
 
     Cells are cut into blocks of at most about ``BLOCK_ROWS`` items and their
     visitors into slices of as many users, both by id hash, so that no task
@@ -140,7 +150,7 @@ def _score_cells(visits: DataFrame, items: DataFrame, k: int) -> DataFrame:
         visits.join(per_cell, "cell")
         .withColumn("slice", F.pmod(F.xxhash64(USER), F.col("n_v")).cast("int"))
         .withColumn("block", F.explode(blocks))
-        .select(*keys, USER, "profile")
+        .select(*keys, USER, "profile", *[f"floor_{v}" for v in (BASELINE, TRUST)])
     )
     right = (
         items.join(per_cell, "cell")
@@ -153,7 +163,8 @@ def _score_cells(visits: DataFrame, items: DataFrame, k: int) -> DataFrame:
         batches = []
         if visitors.num_rows and members.num_rows:
             vectors = unit_rows(matrix(visitors.column("profile")))
-            batches = list(_score(visitors.column(USER).combine_chunks(), vectors, _block(members), k))
+            floors = {v: visitors.column(f"floor_{v}").to_numpy() for v in (BASELINE, TRUST)}
+            batches = list(_score(visitors.column(USER).combine_chunks(), vectors, _block(members), k, floors))
         schema = pa.schema([("variant", pa.string()), (USER, pa.string()), (ITEM, pa.string()), ("score", pa.float64())])
         return pa.Table.from_batches([b.select(schema.names) for b in batches], schema)
 
@@ -190,7 +201,7 @@ def _rank_cells(users: DataFrame, items: DataFrame, n_items: int, k: int) -> Dat
     Everything skipped is proven to rank below, so no candidate is lost.
     """
     spark = users.sparkSession
-    n_cells = min(MAX_CELLS, max(2, math.ceil(n_items / BLOCK_ROWS)))
+    n_cells = min(MAX_CELLS, max(2, math.ceil(n_items / CELL_ROWS)))
     pivots = _pivots(items, n_items, n_cells)
     shared_pivots = spark.sparkContext.broadcast(pivots)
 
@@ -222,7 +233,7 @@ def _rank_cells(users: DataFrame, items: DataFrame, n_items: int, k: int) -> Dat
     used = np.array(used, dtype=np.int32)
     # The first ids overall complete any list that runs out of positive scores.
     first = spark.sparkContext.broadcast(tuple(_block(items.orderBy(ITEM).limit(k).toArrow())))
-    visit_schema = f"{USER} string, profile array<double>, cell int"
+    visit_schema = f"{USER} string, profile array<double>, cell int, floor_{BASELINE} double, floor_{TRUST} double"
 
     def home(cells: _Cells, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nearest cells of each user, until they hold ``k`` items; none for a zero vector."""
@@ -231,12 +242,13 @@ def _rank_cells(users: DataFrame, items: DataFrame, n_items: int, k: int) -> Dat
         rows, places = np.nonzero((before < k) & vectors.any(axis=1)[:, None])
         return rows, order[rows, places]
 
+    floor_names = [f"floor_{v}" for v in (BASELINE, TRUST)]
+
     def visits(batch: pa.RecordBatch, rows: np.ndarray, columns: np.ndarray) -> pa.RecordBatch:
         index = pa.array(rows)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(USER).take(index), batch.column("profile").take(index), pa.array(used[columns])],
-            names=[USER, "profile", "cell"],
-        )
+        arrays = [batch.column(c).take(index) for c in (USER, "profile", *floor_names)]
+        arrays.insert(2, pa.array(used[columns]))
+        return pa.RecordBatch.from_arrays(arrays, names=[USER, "profile", "cell", *floor_names])
 
     def go_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = _Cells(*shared_cells.value)
@@ -254,13 +266,15 @@ def _rank_cells(users: DataFrame, items: DataFrame, n_items: int, k: int) -> Dat
         for batch in batches:
             vectors = unit_rows(matrix(batch.column("profile")))
             plain = cells.bounds(vectors)
-            floors = [batch.column(f"floor_{v}").to_numpy()[:, None] - SLACK for v in (BASELINE, TRUST)]
+            floors = [batch.column(name).to_numpy()[:, None] - SLACK for name in floor_names]
             wanted = (plain >= floors[0]) | (plain * cells.max_trust >= floors[1])
             wanted &= vectors.any(axis=1)[:, None]
             wanted[home(cells, vectors)] = False
             yield visits(batch, *np.nonzero(wanted))
 
-    near = _score_cells(cut(users.mapInArrow(go_home, visit_schema), "home-visits"), placed, k)
+    # No score is below 0, so a first visit keeps everything.
+    unbounded = users.withColumns({name: F.lit(0.0) for name in floor_names})
+    near = _score_cells(cut(unbounded.mapInArrow(go_home, visit_schema), "home-visits"), placed, k)
     known = cut(_ranked(near.unionByName(users.mapInArrow(go_first, _CANDIDATES)), k), "known")
     floors = known.groupBy(USER).agg(
         *[F.min(F.when(F.col("variant") == v, F.col("score"))).alias(f"floor_{v}") for v in (BASELINE, TRUST)]

@@ -98,6 +98,7 @@ def test_matches_brute_force(spark, monkeypatch, limit, spread):
     A third of the items share one vector, so one cell is far larger than the others.
     """
     monkeypatch.setattr(ranking, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(ranking, "CELL_ROWS", 16)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 6))
     users = {f"u{n}": centres[n % 12] + spread * rng.normal(size=6) for n in range(40)}
@@ -116,6 +117,7 @@ def test_matches_brute_force(spark, monkeypatch, limit, spread):
 def test_cell_search_skips_far_cells(spark, monkeypatch):
     """With well separated clusters no user is scored against most of the catalogue."""
     monkeypatch.setattr(ranking, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(ranking, "CELL_ROWS", 16)
     seen = []
     cut = ranking.cut
 
