@@ -4,9 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, differences
+from review_trust.plans.oracles import oracles
+from review_trust.plans.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+SQL = oracles()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
