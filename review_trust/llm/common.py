@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +30,16 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once: inside other lambdas the optimizer would inline it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def positions(count: Column) -> Column:
+    """0 .. count - 1, empty if count is not positive."""
+    return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def text_key(text: Column) -> Column:
     """Tells rows apart that repeat a doc_id with another text."""
     return F.xxhash64(text)
