@@ -3,16 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from review_trust.llm import bpe, lines, winnow
+from review_trust.llm import bpe, jaccard, lines, quality, winnow
 from review_trust.llm.common import session
 from review_trust.sources.artifacts import cut
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below the threshold go."""
+    return quality.keep_good(docs, session(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that repeat across documents; a document stays even if no line is left."""
+    """Drop lines that repeat across documents; a document stays even if no line is left. n_chars is counted anew."""
+    session(spark)
+    kept = lines.dedup_lines(docs).select(*docs.columns)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every component of similar documents the one with the smallest doc_id stays."""
     session(spark)
-    return lines.dedup_lines(docs).select(*docs.columns)
+    return jaccard.keep_smallest(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +39,13 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs)
 
 
-STAGES = [("line_dedup", line_dedup), ("decontamination", decontamination), ("byte_bpe", byte_bpe)]
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
+]
 
 # A fitted classifier decides what the other stages see, which SQL can't express.
 ORACLE_SQL = None
