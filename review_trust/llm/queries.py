@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from review_trust.llm import bpe, jaccard, licenses, lines, quality, warc, winnow
+from review_trust.llm import bpe, chat, jaccard, licenses, lines, merkle, quality, urls, warc, winnow
 from review_trust.llm.common import session
 
 
@@ -31,10 +31,23 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op6_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(_table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(_table(spark, sf_dir, "conversations"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     similar = jaccard.similar_documents(_table(spark, sf_dir, "documents"))
     return similar.select("doc_id", "n_shingles", "component_id")
@@ -49,7 +62,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_line_dedup": op3_line_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_merkle": op5_merkle,
+    "op6_url_trust": op6_url_trust,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_chat": op8_chat,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_licenses": op10_licenses,
 }
@@ -58,4 +74,6 @@ ORACLES: dict[str, str] = {
     "op2_warc": warc.SQL,
     "op3_line_dedup": lines.SQL,
     "op4_decontaminate": winnow.SQL,
+    "op6_url_trust": urls.SQL,
+    "op8_chat": chat.SQL,
 }
