@@ -173,23 +173,47 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
-BASE_SQL = r"""
-WITH dw AS (
+def _sql() -> str:
+    rows = []
+    given = [(text, label, "true") for text, label in PHRASES.items()]
+    for text, label, base in given + [(text, label, "false") for label, text in NOTICES.items()]:
+        k = min(GRAM, len(tokens(text)))
+        n = len(tokens(text)) - k + 1
+        rows += [f"({k}, '{' '.join(tokens(text)[t : t + k])}', '{label}', {base}, {t}, {n})" for t in range(n)]
+    return rf"""
+WITH tpl(k, g, label, base, t, n) AS (VALUES {", ".join(rows)}),
+dw AS (
   SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
-), g AS (
-  SELECT doc_id, p - 1 AS s, array_to_string(w[p : p + 1], ' ') AS g2, array_to_string(w[p : p + 2], ' ') AS g3
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM dw)
-), b AS (
-  SELECT doc_id, s, 'cc-by' AS label FROM g WHERE g2 = 'cc by'
-  UNION ALL SELECT doc_id, s, 'gpl' FROM g WHERE g3 = 'general public license'
-  UNION ALL SELECT doc_id, s, 'reserved' FROM g WHERE g3 = 'all rights reserved'
+), pos AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM dw),
+g AS (
+  SELECT doc_id, p - 1 AS p, 2 AS k, array_to_string(w[p : p + 1], ' ') AS g FROM pos WHERE p + 1 <= len(w)
+  UNION ALL SELECT doc_id, p - 1, 3, array_to_string(w[p : p + 2], ' ') FROM pos WHERE p + 2 <= len(w)
+), d AS (
+  SELECT doc_id, label, base, n, p - t AS diagonal, list(DISTINCT t) AS ts, min(p) AS start
+  FROM g JOIN tpl ON g.k = tpl.k AND g.g = tpl.g GROUP BY ALL
+), f AS (
+  SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, label, base ORDER BY diagonal)
+    > {NEIGHBOURS}, true) THEN 1 ELSE 0 END AS s FROM d
+), m AS (
+  SELECT *, sum(s) OVER (PARTITION BY doc_id, label, base ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM f
+), c AS (
+  SELECT doc_id, label, base, span, min(start) AS start, len(list_distinct(flatten(list(ts)))) / max(n) AS coverage
+  FROM m GROUP BY 1, 2, 3, 4
 ), a AS (
-  SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word,
-    string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
-  FROM b GROUP BY doc_id
+  SELECT doc_id, count(*) FILTER (WHERE base AND coverage >= 1) AS n_base,
+    min(start) FILTER (WHERE base AND coverage >= 1) AS first_word,
+    max(start) FILTER (WHERE base AND coverage >= 1) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base AND coverage >= 1) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE (base AND coverage >= 1) OR
+      (NOT base AND coverage >= {COVERAGE})) AS labels,
+    max(coverage) FILTER (WHERE NOT base OR coverage >= 1) AS score
+  FROM c GROUP BY 1
 )
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
-  coalesce(base_labels, '') AS base_labels
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
 FROM dw LEFT JOIN a ON dw.doc_id = a.doc_id
 """
+
+
+SQL = _sql()

@@ -76,4 +76,5 @@ ORACLES: dict[str, str] = {
     "op4_decontaminate": winnow.SQL,
     "op6_url_trust": urls.SQL,
     "op8_chat": chat.SQL,
+    "op10_licenses": licenses.SQL,
 }

@@ -1,0 +1,46 @@
+"""Small awkward inputs shared by the tests of this folder."""
+
+from __future__ import annotations
+
+import random
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+# Columns whose names the operators use themselves.
+CLASHES = "n bigint, doc string, h string, words string, score double, n_lines string, block string, node string"
+DOCS = f"doc_id bigint, text string, {CLASHES}"
+SMALL = [None, "", " \t", "one", "One two", "one  two\nthree FOUR", "É é ß 漢字 \U0001f600 x"]
+
+
+def docs(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """(doc_id, text) rows with columns that clash."""
+    extra = (1, "d", "h", "w", 0.5, "l", "b", "n")
+    return spark.createDataFrame([(*r, *extra) for r in rows], DOCS)
+
+
+def prose(rng: random.Random, n: int, vocabulary: int = 400) -> str:
+    words = [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+    return " ".join(w + ("\n" if rng.random() < 0.1 else "") for w in words)
+
+
+def corpus(seed: int = 1, n: int = 60) -> list[tuple]:
+    """Texts of mixed length with exact and near copies, nulls, empties, one long text and a repeated row."""
+    rng = random.Random(seed)
+    texts = [prose(rng, rng.choice((2, 5, 9, 14, 30, 80, 200))) for _ in range(n)]
+    for i in range(0, n, 4):
+        words = texts[i].split(" ")
+        words[rng.randrange(len(words))] = "changed"
+        texts.append(" ".join(words))
+        texts.append(texts[i])
+    texts += [*SMALL, prose(rng, 20_000)]
+    rows = [(i * 3 + 1, t) for i, t in enumerate(texts)]
+    return [*rows, rows[0], (None, texts[1]), (None, None)]
+
+
+def lower(text: str) -> str:
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def word_list(text: str | None) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))

@@ -1,0 +1,75 @@
+import base64
+import hashlib
+import random
+
+import pytest
+
+from review_trust.llm import warc
+from review_trust.sources.artifacts import scratch_path
+
+PAGES = "page_id bigint, url string, html string, digest string, name string"
+
+
+def brute(rows):
+    best = {}
+    for page, _, html in rows:
+        best[html or ""] = max([i for i in (best.get(html or ""), page) if i is not None], default=None)
+    out = []
+    for page, _, html in rows:
+        raw, top = (html or "").encode(), best[html or ""]
+        sha = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        first = top is None or page == top
+        out.append((page, len(raw), sha, "response" if first else "revisit", None if first else top))
+    return sorted(out, key=str)
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(*r, "d", "n") for r in rows], PAGES)
+
+
+def test_round_trip_equals_brute_force(spark):
+    rng = random.Random(3)
+    html = ["", None, "<p>x</p>", "é" * 30_000, "WARC/1.1\r\n\r\n0\r\n\r\n" * 2_000, "\r\n" * 20_000]
+    rows = [(i, rng.choice([None, f"http://h{i}.org/\r\nX: y", "u"]), rng.choice(html)) for i in range(40)]
+    rows += [(7, "again", rows[7][2]), (None, "http://x/", "only here"), (None, None, None)]
+    got = [tuple(r) for r in warc.round_trip(pages(spark, rows)).collect()]
+    assert sorted(got, key=str) == brute(rows)
+
+
+def test_empty_table(spark):
+    assert warc.round_trip(pages(spark, [])).count() == 0
+
+
+def test_payloads_and_verification(spark):
+    path = scratch_path(spark, "warc-test")
+    warc.write_archives(pages(spark, [(1, "u", "abc" * 20_000), (2, "u", None)]), path)
+    read = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+    assert read[1].payload == b"abc" * 20_000 and read[1].verified and read[1].url == "u"
+    assert read[2].payload == b"" and read[2].verified
+
+
+def test_missing_segment_leaves_no_payload(spark):
+    path = scratch_path(spark, "warc-test")
+    warc.write_archives(pages(spark, [(1, "u", "abc" * 20_000)]), path)
+    segments = warc.read_records(spark, path, segmented=True)
+    assert segments.count() > 3
+    twice = warc.reassemble(segments.unionByName(segments)).first()
+    assert twice.block is not None
+    for lost in (1, 2, segments.count()):
+        assert warc.reassemble(segments.filter(f"number <> {lost}")).first().block is None
+
+
+def test_framing():
+    for size in (1, 7, 4096):
+        for data in (b"", b"x", bytes(range(256)) * 40):
+            assert warc.unchunked(warc.chunked(data, size)) == data
+    assert warc.unchunked(b"3;ext=1\r\nabc\r\n0\r\nTrailer: t\r\n\r\n") == b"abc"
+    with pytest.raises(ValueError):
+        warc.unchunked(b"5\r\nabc\r\n0\r\n\r\n")
+
+
+def test_parse_checks_lengths():
+    one = warc.record({"WARC-Type": "response"}, b"body") + b"\r\n\r\n"
+    assert [b for _, b in warc.parse(one + one)] == [b"body", b"body"]
+    with pytest.raises(ValueError):
+        list(warc.parse(one.replace(b"Content-Length: 4", b"Content-Length: 3")))

@@ -1,0 +1,62 @@
+import hashlib
+import random
+
+from llm_data import corpus, docs, prose
+from pyspark.sql import functions as F
+
+from review_trust.llm import merkle
+
+
+def ordered(spark, rows):
+    keys = docs(spark, rows).select("doc_id", F.xxhash64("text").alias("k"), "text").collect()
+    return sorted(keys, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.k))
+
+
+def test_edits_and_order(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "BLOCK_DOCS", 7)
+    for rows in (corpus(), corpus(2, 20), [(3, "abc")], [(None, "x"), (None, None), (1, "abcdef")]):
+        want = []
+        line = ordered(spark, rows)
+        for i, r in enumerate(line):
+            text, following = r.text or "", line[(i + 1) % len(line)].text or ""
+            third = len(text) // 3
+            edited = (text[: len(text) - third] + following[:third]).encode()
+            a, e, n = (merkle.fingerprint(x) for x in (text.encode(), edited, following.encode()))
+            digest = hashlib.sha256(edited).hexdigest()
+            want.append((r.doc_id, len(text), digest, a, e, merkle.likeness(a, e), merkle.likeness(a, n)))
+        got = [tuple(r)[:7] for r in merkle.fingerprints(docs(spark, rows)).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_empty_table(spark):
+    assert merkle.fingerprints(docs(spark, [])).count() == 0
+
+
+def test_roots_test_equality():
+    rng = random.Random(5)
+    texts = ["", "\n", "\n\n", "a", "a ", "A", "a\nb", "a b", "é"] + [prose(rng, 50) for _ in range(50)]
+    roots = {merkle.fingerprint(t.encode()).partition("|")[0] for t in texts}
+    assert len(roots) == len(texts)
+    assert all(merkle.likeness(merkle.fingerprint(t.encode()), merkle.fingerprint(t.encode())) == 1 for t in texts)
+
+
+def test_likeness_follows_the_edit():
+    rng = random.Random(6)
+    paragraphs = [prose(rng, 40).replace("\n", " ") for _ in range(40)]
+    whole = merkle.fingerprint("\n".join(paragraphs).encode())
+    last = 1.0
+    for changed in (1, 5, 20, 40):
+        other = [prose(rng, 40).replace("\n", " ") for _ in range(changed)] + paragraphs[changed:]
+        near = merkle.likeness(whole, merkle.fingerprint("\n".join(other).encode()))
+        assert near < last and abs(near - (1 - changed / 40)) < 0.1
+        last = near
+
+
+def test_first_edit_is_located():
+    rng = random.Random(7)
+    paragraphs = [prose(rng, 30).replace("\n", " ") for _ in range(30)]
+    whole = merkle.fingerprint("\n".join(paragraphs).encode())
+    for at in (0, 11, 29):
+        other = [*paragraphs[:at], "something else", *paragraphs[at + 1 :]]
+        assert merkle.first_edit(whole, merkle.fingerprint("\n".join(other).encode())) == at
+    assert merkle.first_edit(whole, whole) is None
