@@ -10,9 +10,16 @@ MICROS_PER_DAY = 86_400_000_000
 
 
 def epoch_micros(df: DataFrame, name: str = "timestamp") -> Column:
-    """Microseconds since 1970 of a column in epoch milliseconds or of a date/time type."""
-    if isinstance(df.schema[name].dataType, T.NumericType):
+    """Microseconds since 1970 of a column in epoch milliseconds or of a date/time type.
+
+    Dates and times without a zone are read as UTC, whatever the session's zone.
+    """
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.NumericType):
         return F.col(name).cast("long") * 1000
+    if isinstance(kind, (T.DateType, T.TimestampNTZType)):
+        utc = F.concat(F.col(name).cast("timestamp_ntz").cast("string"), F.lit("Z"))
+        return F.unix_micros(utc.cast("timestamp"))
     return F.unix_micros(F.col(name).cast("timestamp"))
 
 

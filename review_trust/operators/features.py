@@ -46,6 +46,11 @@ def distinct_items(reviews: DataFrame) -> DataFrame:
     return pairs.groupBy(USER).agg(F.count("*").alias("n_items"))
 
 
+def measure_text(reviews: DataFrame) -> DataFrame:
+    """``text`` replaced by its length as ``text_length``; a missing text has none."""
+    return reviews.withColumn("text_length", F.length(F.coalesce("text", F.lit("")))).drop("text")
+
+
 def _totals(reviews: DataFrame) -> DataFrame:
     """All features that add up over (user, rating) buckets.
 
@@ -53,6 +58,8 @@ def _totals(reviews: DataFrame) -> DataFrame:
     reviews reaches the second aggregation as a handful of rows.
     """
     verified = F.sum(F.col("verified_purchase").cast("double"))
+    if "text_length" not in reviews.columns:
+        reviews = measure_text(reviews)
     buckets = (
         reviews.withColumn("micros", epoch_micros(reviews))
         .groupBy(USER, "rating")
@@ -63,7 +70,7 @@ def _totals(reviews: DataFrame) -> DataFrame:
             F.count("helpful_vote").alias("n_helpful"),
             F.min("micros").alias("first"),
             F.max("micros").alias("last"),
-            F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"),
+            F.sum("text_length").alias("chars"),
         )
     )
     total = F.sum("n")
@@ -89,6 +96,8 @@ def _totals(reviews: DataFrame) -> DataFrame:
 def user_features(reviews: DataFrame) -> DataFrame:
     """The eleven features, one row per user.
 
+    A column ``text_length`` may stand for the text itself.
+
     Three aggregates by user, each combined map-side, end hash-partitioned by
     user, so the joins between them add no shuffle.
     """

@@ -13,18 +13,34 @@ from review_trust.schema import ITEM, USER
 MAX_SUMS = 64
 
 
+def vector_length(vectors: DataFrame, vector: str = "embedding") -> int:
+    """The length that all vectors of the table have, nulls left out; 0 without any."""
+    length = F.size(vector)
+    found = vectors.filter(F.col(vector).isNotNull()).agg(F.min(length).alias("low"), F.max(length).alias("high")).first()
+    if found.low != found.high:
+        raise ValueError(f"vectors of {found.low} to {found.high} elements")
+    return found.low or 0
+
+
 def mean_profiles(reviews: DataFrame, key: str, dim: int | None = None, vector: str = "embedding") -> DataFrame:
     """Element-wise mean of the review vectors of each ``key``, as ``profile``.
 
+    Null vectors are left out; an id without a vector has no profile. All vectors must have ``dim`` elements (taken
+    from the data if not given): any other length fails the job, whatever the length.
+
     The mean is a partial aggregate: each task sends one running mean per id,
-    however many reviews that id has. Vectors known to be short are added up
-    dimension by dimension, several times faster than by the vector summarizer.
+    however many reviews that id has. Short vectors are added up dimension by
+    dimension, several times faster than by the vector summarizer.
     """
-    if dim is None or dim > MAX_SUMS:
-        mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
-        return reviews.groupBy(key).agg(vector_to_array(mean).alias("profile"))
-    sums = F.array(*[F.sum(F.get(vector, F.lit(i)).cast("double")) for i in range(dim)])
-    added = reviews.groupBy(key).agg(sums.alias("sums"), F.count("*").alias("n"))
+    dim = vector_length(reviews, vector) if dim is None else dim
+    wrong = F.concat(F.lit(f"not {dim} elements in a vector but "), F.size(vector).cast("string"))
+    checked = F.when(F.size(vector) == dim, F.col(vector)).otherwise(F.raise_error(wrong))
+    rows = reviews.filter(F.col(vector).isNotNull()).select(key, checked.alias("_vector"))
+    if dim > MAX_SUMS:
+        mean = Summarizer.mean(array_to_vector(F.col("_vector").cast("array<double>")))
+        return rows.groupBy(key).agg(vector_to_array(mean).alias("profile"))
+    sums = F.array(*[F.sum(F.get("_vector", F.lit(i)).cast("double")) for i in range(dim)])
+    added = rows.groupBy(key).agg(sums.alias("sums"), F.count("*").alias("n"))
     return added.select(key, F.transform("sums", lambda s: s / F.col("n")).alias("profile"))
 
 

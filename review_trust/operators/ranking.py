@@ -8,28 +8,22 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from review_trust.functions.vectors import best_columns, matrix, unit_rows
-from review_trust.operators.skew import BROADCAST_IDS, salted_join
+from review_trust.operators.skew import fits_broadcast, salted_join
 from review_trust.schema import BASELINE, ITEM, TRUST, USER
 from review_trust.sources.artifacts import cut
 
-# Item vectors up to this size are broadcast; larger catalogues are searched cell by cell.
+# Item vectors up to this size are broadcast; larger catalogues stream past groups of users.
 BROADCAST_BYTES = 64 << 20
 ID_BYTES = 64
-# Items a cell of the cell search should hold, and the most cells it uses.
-CELL_ROWS = 2048
-MAX_CELLS = 4096
-# Rows per item block and per user slice within a cell.
-BLOCK_ROWS = 8192
-# Most item vectors the driver looks at to place the cells: 50 MB at 384 dimensions.
-PIVOT_SAMPLE = 16_384
+# Vectors of a group of users; smaller groups are made only to give every core one of some users.
+GROUP_BYTES = 128 << 20
+GROUP_USERS = 4096
 # Users x items scored at a time inside a task: 16 MB of float64.
 CHUNK_SCORES = 2 << 20
-# Slack on score bounds for rounding in the angle arithmetic.
-SLACK = 1e-6
 
 _CANDIDATES = f"variant string, {USER} string, {ITEM} string, score double"
 
@@ -41,7 +35,7 @@ def item_trust(reviews: DataFrame, trust: DataFrame) -> DataFrame:
     counted per (user, item) first, so that the salted join sees each pair once.
     """
     scores = trust.select(USER, "trust_score")
-    if scores.count() <= BROADCAST_IDS:
+    if fits_broadcast(scores, USER, scores.count()):
         scored = reviews.select(USER, ITEM, F.lit(1).alias("n")).join(F.broadcast(scores), USER, "left")
     else:
         pairs = cut(reviews.groupBy(USER, ITEM).agg(F.count("*").alias("n")), "pairs")
@@ -67,22 +61,14 @@ def _block(table: pa.Table) -> _Items:
     )
 
 
-def _score(
-    users: pa.Array, vectors: np.ndarray, items: _Items, k: int, floors: dict[str, np.ndarray] | None = None
-) -> Iterator[pa.RecordBatch]:
-    """The ``k`` best items of the block for each user, for both variants from one matrix product.
-
-    With ``floors`` only items that reach the user's floor are returned.
-    """
+def _score(users: pa.Array, vectors: np.ndarray, items: _Items, k: int) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best items of the block for each user, for both variants from one matrix product."""
     step = max(1, CHUNK_SCORES // max(1, len(items.ids)))
     for start in range(0, len(users), step):
         similarity = np.maximum(vectors[start : start + step] @ items.vectors.T, 0.0)
         for variant in (BASELINE, TRUST):
             scores = similarity * items.trust if variant == TRUST else similarity
             rows, columns, values, ranks = best_columns(scores, k)
-            if floors is not None:
-                reached = values >= floors[variant][rows + start]
-                rows, columns, values, ranks = rows[reached], columns[reached], values[reached], ranks[reached]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([variant] * len(rows), pa.string()),
@@ -95,13 +81,6 @@ def _score(
             )
 
 
-def _ranked(candidates: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` candidates per variant and user. Catalyst limits each map task to ``k`` rows per group."""
-    unique = candidates.groupBy("variant", USER, ITEM).agg(F.max("score").alias("score"))
-    order = Window.partitionBy("variant", USER).orderBy(F.desc("score"), ITEM)
-    return unique.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
 def _rank_broadcast(users: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """Every task holds all item vectors; users are neither shuffled nor repeated."""
     block = users.sparkSession.sparkContext.broadcast(tuple(_block(items.toArrow())))
@@ -115,172 +94,111 @@ def _rank_broadcast(users: DataFrame, items: DataFrame, k: int) -> DataFrame:
     return users.mapInArrow(rank, _CANDIDATES + ", rank int")
 
 
-class _Cells(NamedTuple):
-    """Item cells: a pivot each, the widest angle from it, the highest trust and the size."""
-
-    pivots: np.ndarray
-    radius: np.ndarray
-    max_trust: np.ndarray
-    size: np.ndarray
-
-    def bounds(self, vectors: np.ndarray) -> np.ndarray:
-        """Upper bound on the cosine between each vector and any item of each cell."""
-        angle = np.arccos(np.clip(vectors @ self.pivots.T, -1.0, 1.0))
-        return np.cos(np.maximum(angle - self.radius, 0.0))
-
-
-def _score_cells(visits: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Score (user, cell) visits against the items of the cell, keeping what reaches the user's floors.
-
-    Cells are cut into blocks of at most about ``BLOCK_ROWS`` items and their
-    visitors into slices of as many users, both by id hash, so that no task
-    receives a large cell whole. Sizes per cell are at most ``MAX_CELLS`` rows.
-    """
-    per_cell = (
-        visits.groupBy("cell")
-        .agg(F.count("*").alias("v"))
-        .join(items.groupBy("cell").agg(F.count("*").alias("i")), "cell")
-        .select("cell", *[F.ceil(F.col(c) / BLOCK_ROWS).cast("int").alias(f"n_{c}") for c in ("v", "i")])
-    )
-    per_cell = F.broadcast(cut(per_cell, "cells"))
-    blocks = F.sequence(F.lit(0), F.col("n_i") - 1)
-    slices = F.sequence(F.lit(0), F.col("n_v") - 1)
-    keys = ["cell", "block", "slice"]
-    left = (
-        visits.join(per_cell, "cell")
-        .withColumn("slice", F.pmod(F.xxhash64(USER), F.col("n_v")).cast("int"))
-        .withColumn("block", F.explode(blocks))
-        .select(*keys, USER, "profile", *[f"floor_{v}" for v in (BASELINE, TRUST)])
-    )
-    right = (
-        items.join(per_cell, "cell")
-        .withColumn("block", F.pmod(F.xxhash64(ITEM), F.col("n_i")).cast("int"))
-        .withColumn("slice", F.explode(slices))
-        .select(*keys, ITEM, "profile", "item_trust_factor")
-    )
-
-    def score(visitors: pa.Table, members: pa.Table) -> pa.Table:
-        batches = []
-        if visitors.num_rows and members.num_rows:
-            vectors = unit_rows(matrix(visitors.column("profile")))
-            floors = {v: visitors.column(f"floor_{v}").to_numpy() for v in (BASELINE, TRUST)}
-            batches = list(_score(visitors.column(USER).combine_chunks(), vectors, _block(members), k, floors))
-        schema = pa.schema([("variant", pa.string()), (USER, pa.string()), (ITEM, pa.string()), ("score", pa.float64())])
-        return pa.Table.from_batches([b.select(schema.names) for b in batches], schema)
+class _Best:
+    """The running ``k`` best items of a group of users, for one variant."""
+
+    def __init__(self, n_users: int, k: int):
+        self.scores = np.full((n_users, k), -np.inf)
+        self.ids = np.full((n_users, k), None, dtype=object)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, first: int) -> None:
+        """Merge a block's scores of the users from ``first`` on; its ids follow all those seen before."""
+        k = self.scores.shape[1]
+        rows, columns, values, ranks = best_columns(scores, k)
+        own = slice(first, first + len(scores))
+        block = np.full((len(scores), k), -np.inf)
+        names = np.full((len(scores), k), None, dtype=object)
+        block[rows, ranks - 1], names[rows, ranks - 1] = values, ids[columns]
+        both = np.concatenate((self.scores[own], block), axis=1)
+        order = np.argsort(-both, axis=1, kind="stable")[:, :k]
+        self.scores[own] = np.take_along_axis(both, order, axis=1)
+        self.ids[own] = np.take_along_axis(np.concatenate((self.ids[own], names), axis=1), order, axis=1)
+
+
+class _Group:
+    """A group of users that is scored against the items as they stream by in the order of their ids."""
+
+    def __init__(self, users: list[pa.Table], k: int):
+        table = pa.concat_tables(users)
+        self.ids = table.column("id").combine_chunks()
+        self.vectors = unit_rows(matrix(table.column("profile")))
+        self.best = {variant: _Best(len(self.ids), k) for variant in (BASELINE, TRUST)}
+
+    def score(self, items: pa.Table) -> None:
+        ids = items.column("id").to_numpy(zero_copy_only=False)
+        vectors, trust = unit_rows(matrix(items.column("profile"))), items.column("item_trust_factor").to_numpy()
+        step = max(1, CHUNK_SCORES // len(ids))
+        for first in range(0, len(self.ids), step):
+            similarity = np.maximum(self.vectors[first : first + step] @ vectors.T, 0.0)
+            self.best[BASELINE].add(similarity, ids, first)
+            self.best[TRUST].add(similarity * trust, ids, first)
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        for variant, best in self.best.items():
+            rows, ranks = np.nonzero(best.scores > -np.inf)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([variant] * len(rows), pa.string()),
+                    self.ids.take(pa.array(rows)),
+                    pa.array(best.ids[rows, ranks], pa.string()),
+                    pa.array(best.scores[rows, ranks]),
+                    pa.array((ranks + 1).astype(np.int32)),
+                ],
+                names=["variant", USER, ITEM, "score", "rank"],
+            )
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, _CANDIDATES)
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Parts of sorted batches in which the keys are equal, with the keys."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not table.num_rows:
+            continue
+        columns = [table.column(k).to_numpy() for k in keys]
+        changes = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        bounds = [0, *changes.tolist(), table.num_rows]
+        for start, end in zip(bounds, bounds[1:]):
+            yield tuple(c[start] for c in columns), table.slice(start, end - start)
 
-def _pivots(items: DataFrame, n_items: int, n_cells: int) -> np.ndarray:
-    """Cell centres: items far apart, each next one the farthest from those before.
 
-    They are picked from a sample of about ``PIVOT_SAMPLE`` items at most, so
-    that dense regions get no more centres than they need and few items end up
-    far from every centre.
-    """
-    share = min(1.0, min(8 * n_cells, PIVOT_SAMPLE) / n_items)
-    limit = min(2**63 - 1, int(share * 2**64) - 2**63)
-    sample = unit_rows(matrix(items.filter(F.xxhash64(ITEM) <= F.lit(limit)).orderBy(ITEM).toArrow().column("profile")))
-    sample = sample[sample.any(axis=1)]
-    if not len(sample):
-        sample = unit_rows(matrix(items.limit(1).toArrow().column("profile")))
-    chosen = [0]
-    nearest = sample @ sample[0]
-    while len(chosen) < min(n_cells, len(sample)) and nearest.min() < 1.0 - SLACK:
-        chosen.append(int(nearest.argmin()))
-        nearest = np.maximum(nearest, sample @ sample[chosen[-1]])
-    return sample[chosen]
-
-
-def _rank_cells(users: DataFrame, items: DataFrame, n_items: int, k: int) -> DataFrame:
+def _rank_streamed(users: DataFrame, items: DataFrame, n_users: int, dim: int, k: int) -> DataFrame:
     """Exact top-K for catalogues too large to broadcast.
 
-    Items are grouped around pivots. A first pass scores each user against the
-    nearest cells only and so gets a floor for the k-th score; a second pass
-    visits just the cells whose best possible score reaches that floor.
-    Everything skipped is proven to rank below, so no candidate is lost.
+    Users are dealt once into groups whose vectors fit ``GROUP_BYTES``; every group is sent the items, a task holds one
+    group and one batch of items at a time, and each user's best ``k`` are kept as the items stream by. No user vector
+    is repeated, no row per (user, item block) is written, and the result leaves as ``k`` rows per user and variant.
     """
-    spark = users.sparkSession
-    n_cells = min(MAX_CELLS, max(2, math.ceil(n_items / CELL_ROWS)))
-    pivots = _pivots(items, n_items, n_cells)
-    shared_pivots = spark.sparkContext.broadcast(pivots)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dots = unit_rows(matrix(batch.column("profile"))) @ shared_pivots.value.T
-            batch = batch.append_column("cell", pa.array(dots.argmax(axis=1).astype(np.int32)))
-            yield batch.append_column("dot", pa.array(dots.max(axis=1)))
-
-    placed = cut(
-        items.mapInArrow(assign, f"{ITEM} string, profile array<double>, item_trust_factor double, cell int, dot double"),
-        "item-cells",
+    cores = users.sparkSession.sparkContext.defaultParallelism
+    n_groups = max(math.ceil(n_users * (dim * 8 + ID_BYTES) / GROUP_BYTES), min(cores, math.ceil(n_users / GROUP_USERS)), 1)
+    of_user = F.pmod(F.xxhash64(USER), F.lit(n_groups)).cast("int")
+    side = users.select(
+        of_user.alias("part"), F.lit(0).alias("kind"), F.col(USER).alias("id"), "profile", F.lit(1.0).alias("item_trust_factor")
     )
-    stats = {
-        row["cell"]: row
-        for row in placed.groupBy("cell")
-        .agg(F.min("dot").alias("dot"), F.max("item_trust_factor").alias("trust"), F.count("*").alias("n"))
-        .collect()
-    }
-    used = sorted(stats)
-    shared_cells = spark.sparkContext.broadcast(
-        (
-            pivots[used],
-            np.arccos(np.clip([stats[c]["dot"] for c in used], -1.0, 1.0)),
-            np.array([stats[c]["trust"] for c in used]),
-            np.array([stats[c]["n"] for c in used]),
-        )
+    sent = items.select(
+        F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("part"),
+        F.lit(1).alias("kind"),
+        F.col(ITEM).alias("id"),
+        "profile",
+        "item_trust_factor",
     )
-    used = np.array(used, dtype=np.int32)
-    # The first ids overall complete any list that runs out of positive scores.
-    first = spark.sparkContext.broadcast(tuple(_block(items.orderBy(ITEM).limit(k).toArrow())))
-    visit_schema = f"{USER} string, profile array<double>, cell int, floor_{BASELINE} double, floor_{TRUST} double"
-
-    def home(cells: _Cells, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Nearest cells of each user, until they hold ``k`` items; none for a zero vector."""
-        order = np.argsort(-cells.bounds(vectors), axis=1, kind="stable")
-        before = np.cumsum(cells.size[order], axis=1) - cells.size[order]
-        rows, places = np.nonzero((before < k) & vectors.any(axis=1)[:, None])
-        return rows, order[rows, places]
-
-    floor_names = [f"floor_{v}" for v in (BASELINE, TRUST)]
-
-    def visits(batch: pa.RecordBatch, rows: np.ndarray, columns: np.ndarray) -> pa.RecordBatch:
-        index = pa.array(rows)
-        arrays = [batch.column(c).take(index) for c in (USER, "profile", *floor_names)]
-        arrays.insert(2, pa.array(used[columns]))
-        return pa.RecordBatch.from_arrays(arrays, names=[USER, "profile", "cell", *floor_names])
-
-    def go_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = _Cells(*shared_cells.value)
-        for batch in batches:
-            yield visits(batch, *home(cells, unit_rows(matrix(batch.column("profile")))))
-
-    def go_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Items(*first.value)
-        for batch in batches:
-            for scored in _score(batch.column(USER), unit_rows(matrix(batch.column("profile"))), block, k):
-                yield scored.select(["variant", USER, ITEM, "score"])
 
-    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = _Cells(*shared_cells.value)
-        for batch in batches:
-            vectors = unit_rows(matrix(batch.column("profile")))
-            plain = cells.bounds(vectors)
-            floors = [batch.column(name).to_numpy()[:, None] - SLACK for name in floor_names]
-            wanted = (plain >= floors[0]) | (plain * cells.max_trust >= floors[1])
-            wanted &= vectors.any(axis=1)[:, None]
-            wanted[home(cells, vectors)] = False
-            yield visits(batch, *np.nonzero(wanted))
-
-    # No score is below 0, so a first visit keeps everything.
-    unbounded = users.withColumns({name: F.lit(0.0) for name in floor_names})
-    near = _score_cells(cut(unbounded.mapInArrow(go_home, visit_schema), "home-visits"), placed, k)
-    known = cut(_ranked(near.unionByName(users.mapInArrow(go_first, _CANDIDATES)), k), "known")
-    floors = known.groupBy(USER).agg(
-        *[F.min(F.when(F.col("variant") == v, F.col("score"))).alias(f"floor_{v}") for v in (BASELINE, TRUST)]
-    )
-    far = _score_cells(cut(users.join(floors, USER).mapInArrow(go_on, visit_schema), "far-visits"), placed, k)
-    return _ranked(known.drop("rank").unionByName(far), k)
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, waiting, group = None, [], None
+        for (this, kind), rows in _runs(batches, ("part", "kind")):
+            if this != part:
+                if group:
+                    yield from group.result()
+                part, waiting, group = this, [], None
+            if kind == 0:
+                waiting.append(rows)
+            elif waiting:
+                group = group or _Group(waiting, k)
+                group.score(rows)
+        if group:
+            yield from group.result()
+
+    dealt = side.unionByName(sent).repartition(n_groups, "part").sortWithinPartitions("part", "kind", "id")
+    return dealt.mapInArrow(rank, _CANDIDATES + ", rank int")
 
 
 def rank_items(
@@ -311,5 +229,6 @@ def rank_items(
     elif n_items * (dim * 8 + ID_BYTES) <= broadcast_bytes:
         ranked = _rank_broadcast(users, items, top_k)
     else:
-        ranked = _rank_cells(cut(users, "users"), items, n_items, top_k)
+        users = cut(users, "users")
+        ranked = _rank_streamed(users, items, users.count(), dim, top_k)
     return ranked.select("variant", USER, "rank", ITEM, "score")

@@ -7,45 +7,68 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Any key outside the HOT_KEYS heaviest holds at most 1/HOT_KEYS of the rows;
-# a key of fewer than HOT_ROWS rows is small whatever its share.
-HOT_KEYS = 1000
-HOT_ROWS = 10_000
-SALTS = 64
+from review_trust.sources.artifacts import cut
 
-# Largest id set that is broadcast: about 60 MB of strings.
+# Rows of one key that a task should get at most; a key with more is spread over as many salts as that takes.
+TARGET_ROWS = 1_000_000
+
+# Largest id set that is broadcast: rows, and bytes of the ids besides some for each row.
 BROADCAST_IDS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 32
+
+
+def fits_broadcast(ids: DataFrame, key: str, n_ids: int) -> bool:
+    """True if a table of ``n_ids`` rows is small in rows and in the bytes of its ``key``."""
+    if n_ids > BROADCAST_IDS:
+        return False
+    size = ids.agg(F.sum(F.octet_length(F.col(key).cast("string")))).first()[0] or 0
+    return size + n_ids * ROW_BYTES <= BROADCAST_BYTES
 
 
-def hot_keys(rows: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The heaviest keys of ``rows``: at most ``HOT_KEYS`` rows, whatever the input size."""
-    counts = rows.groupBy(*on).agg(F.count("*").alias("_n"))
-    heaviest = counts.filter(F.col("_n") >= HOT_ROWS).orderBy(F.desc("_n"), *on).limit(HOT_KEYS)
-    return heaviest.select(*on, F.lit(True).alias("_hot"))
+def hot_keys(rows: DataFrame, on: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
+    """Every key of more than ``TARGET_ROWS`` rows with its number of salts, so that no salt has many more rows.
+
+    ``counts`` (the keys and ``n``) saves counting where the caller knows them. There are at most
+    rows / TARGET_ROWS such keys.
+    """
+    if counts is None:
+        counts = rows.groupBy(*on).agg(F.count("*").alias("n"))
+    salts = F.ceil(F.col("n") / TARGET_ROWS).cast("int").alias("_salts")
+    return counts.filter(F.col("n") > TARGET_ROWS).select(*on, salts)
 
 
 def salted_join(
-    rows: DataFrame, table: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left"
+    rows: DataFrame,
+    table: DataFrame,
+    on: Sequence[str],
+    spread: Sequence[str],
+    how: str = "left",
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join review-level ``rows`` with a ``table`` that has one row per key.
 
-    Rows of a hot key are spread over ``SALTS`` partitions by the hash of their
-    ``spread`` columns, and the few table rows of those keys are repeated once
-    per salt; every other key joins as usual.
+    Rows of a hot key are spread over its salts by the hash of their ``spread``
+    columns, and the table rows of those keys are repeated once per salt; every
+    other key joins as usual.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(rows, on))
-    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
-    left = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = table.join(hot, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    hot = cut(hot_keys(rows, on, counts), "hot-keys")
+    if hot.count() <= BROADCAST_IDS:
+        hot = F.broadcast(hot)
+    n_salts = F.coalesce("_salts", F.lit(1))
+    salt = F.pmod(F.xxhash64(*spread), n_salts).cast("int")
+    left = rows.join(hot, on, "left").withColumn("_salt", salt).drop("_salts")
+    right = table.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n_salts - 1))).drop("_salts")
     joined = left.join(right, [*on, "_salt"], how).drop("_salt")
     return joined.select(*rows.columns) if how == "left_semi" else joined
 
 
-def semi_join_ids(rows: DataFrame, ids: DataFrame, key: str, n_ids: int, spread: Sequence[str]) -> DataFrame:
+def semi_join_ids(
+    rows: DataFrame, ids: DataFrame, key: str, n_ids: int, spread: Sequence[str], counts: DataFrame | None = None
+) -> DataFrame:
     """Keep the rows whose ``key`` is in ``ids``: broadcast while the set is small, else salted."""
     ids = ids.select(key)
-    if n_ids <= BROADCAST_IDS:
+    if fits_broadcast(ids, key, n_ids):
         return rows.join(F.broadcast(ids), key, "left_semi").select(*rows.columns)
-    return salted_join(rows, ids, [key], spread, "left_semi")
+    return salted_join(rows, ids, [key], spread, "left_semi", counts)

@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from review_trust.config import TEST_RATIO
 from review_trust.functions.times import epoch_micros
@@ -42,9 +43,9 @@ def order_statistic(df: DataFrame, value: Column, q: float) -> int | None:
             values.filter(F.col("v").between(low, high))
             .groupBy(bucket)
             .agg(F.count("*").alias("n"))
-            .orderBy("bucket")
             .collect()
         )
+        counts.sort(key=lambda row: row["bucket"])
         ends = accumulate(row["n"] for row in counts)
         for row, end in zip(counts, ends):
             if rank < end:
@@ -65,10 +66,14 @@ class Split(NamedTuple):
 
 def temporal_split(reviews: DataFrame, test_ratio: float = TEST_RATIO) -> Split:
     """Split at the (1 - test_ratio) quantile of time; a review without a time falls in neither part."""
-    micros = epoch_micros(reviews)
-    cutoff = order_statistic(reviews, micros, 1.0 - test_ratio)
+    if isinstance(reviews.schema["timestamp"].dataType, T.IntegralType):
+        # The column itself is compared, so that the bounds reach the file reader.
+        time, unit = F.col("timestamp"), 1000
+    else:
+        time, unit = epoch_micros(reviews), 1
+    cutoff = order_statistic(reviews, time, 1.0 - test_ratio)
     limit = F.lit(cutoff).cast("long")
-    return Split(reviews.filter(micros <= limit), reviews.filter(micros > limit), cutoff)
+    return Split(reviews.filter(time <= limit), reviews.filter(time > limit), None if cutoff is None else cutoff * unit)
 
 
 def ground_truth(test: DataFrame) -> DataFrame:

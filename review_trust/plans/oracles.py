@@ -236,6 +236,14 @@ pages_reviews AS (
             "AND parent_asin IN (SELECT parent_asin FROM core)",
         ),
         "clean_text": _sql([pages, _cleaned("pages_reviews")], "SELECT page_id, title, text, review_text FROM cleaned"),
+        "embed_text": (
+            "WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+')) AS word "
+            "FROM documents), c AS (SELECT doc_id, "
+            f"CAST(CAST('0x' || left(md5(word), 8) AS BIGINT) % {ENCODER_DIM} AS BIGINT) AS pos, count(*) AS n "
+            "FROM w WHERE word <> '' GROUP BY 1, 2) "
+            "SELECT doc_id, pos, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 6) "
+            "+ 0.0 AS value FROM c"
+        ),
         "embed_text_norms": (
             f"SELECT doc_id, CAST({ENCODER_DIM} AS BIGINT) AS dim, "
             "CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm "

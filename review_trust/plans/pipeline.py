@@ -1,7 +1,8 @@
 """The six steps from raw reviews to the evaluation report.
 
 Each step reads the stored tables of earlier steps and stores its own. A step
-whose table is already finished is skipped; only the evaluation always runs.
+whose table is already finished is skipped, provided it was built with the same
+parameters; only the evaluation always runs.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ def ingest(spark: SparkSession, cfg: Config) -> DataFrame:
         raw = read_json(spark, cfg.raw_path)
         return kcore.core_reviews(raw, kcore.k_core(raw, cfg.min_interactions))
 
-    return materialize(spark, cfg.path(REVIEWS), build, ROWS)
+    parameters = {"raw_path": cfg.raw_path, "min_interactions": cfg.min_interactions}
+    return materialize(spark, cfg.path(REVIEWS), build, ROWS, parameters=parameters)
 
 
 def preprocess(spark: SparkSession, cfg: Config) -> DataFrame:
@@ -67,9 +69,12 @@ def embed(spark: SparkSession, cfg: Config, encoder: embedding.EncoderFactory |
         vectors = embedding.embed(reviews, encoder=encoder, dim=cfg.encoder_dim, batch_size=cfg.encoder_batch)
         return vectors.drop("review_text")
 
-    vectors = materialize(spark, cfg.path(EMBEDDINGS), build, ROWS)
-    materialize(spark, cfg.path(USER_PROFILES), lambda: profiles.user_profiles(vectors, cfg.encoder_dim), ROWS)
-    materialize(spark, cfg.path(ITEM_PROFILES), lambda: profiles.item_profiles(vectors, cfg.encoder_dim), ROWS)
+    name = "hashed words" if encoder is None else f"{encoder.__module__}.{encoder.__qualname__}"
+    parameters = {"encoder": name} | ({"dim": cfg.encoder_dim} if encoder is None else {})
+    vectors = materialize(spark, cfg.path(EMBEDDINGS), build, ROWS, parameters=parameters)
+    dim = profiles.vector_length(vectors)
+    materialize(spark, cfg.path(USER_PROFILES), lambda: profiles.user_profiles(vectors, dim), ROWS)
+    materialize(spark, cfg.path(ITEM_PROFILES), lambda: profiles.item_profiles(vectors, dim), ROWS)
     return vectors
 
 
@@ -80,6 +85,7 @@ def anomaly(spark: SparkSession, cfg: Config) -> DataFrame:
         cfg.path(SCORES),
         lambda: trust.trust_scores(stored(spark, cfg, FEATURES), cfg.n_trees, cfg.sample_size, cfg.seed),
         {"min_trust": "min(trust_score)", "max_trust": "max(trust_score)"},
+        parameters={"n_trees": cfg.n_trees, "sample_size": cfg.sample_size, "seed": cfg.seed},
     )
 
 
@@ -129,7 +135,7 @@ def suspicious_report(spark: SparkSession, cfg: Config) -> str:
     return text
 
 
-STEPS: dict[str, Callable[[SparkSession, Config], object]] = {
+STEPS: dict[str, Callable[..., object]] = {
     "ingest": ingest,
     "preprocess": preprocess,
     "features": build_features,
@@ -139,8 +145,13 @@ STEPS: dict[str, Callable[[SparkSession, Config], object]] = {
 }
 
 
-def run(spark: SparkSession, cfg: Config, steps: Iterable[str] | None = None) -> None:
-    """Run the named steps, or all of them, in pipeline order."""
+def run(
+    spark: SparkSession,
+    cfg: Config,
+    steps: Iterable[str] | None = None,
+    encoder: embedding.EncoderFactory | None = None,
+) -> None:
+    """Run the named steps, or all of them, in pipeline order; ``encoder`` replaces the default one."""
     wanted = set(STEPS if steps is None else steps)
     unknown = wanted - set(STEPS)
     if unknown:
@@ -148,4 +159,4 @@ def run(spark: SparkSession, cfg: Config, steps: Iterable[str] | None = None) ->
     for name, step in STEPS.items():
         if name in wanted:
             logger.info("step %s", name)
-            step(spark, cfg)
+            step(spark, cfg, encoder) if name == "embed" else step(spark, cfg)

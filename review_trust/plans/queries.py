@@ -58,8 +58,14 @@ def _stored(spark: SparkSession, sf_dir: str, **columns: bool) -> DataFrame:
     return cut(tables.reviews(spark, sf_dir, **columns), "reviews")
 
 
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reviews with the length of their text instead of the text, stored for the three aggregates over them."""
+    wide = tables.reviews(spark, sf_dir, text=True)
+    return cut(features.measure_text(wide).drop("title"), "measured")
+
+
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(features.user_features(tables.reviews(spark, sf_dir, text=True)), "features")
+    return cut(features.user_features(_measured(spark, sf_dir)), "features")
 
 
 def entropy_trust(reviews: DataFrame) -> DataFrame:
@@ -69,7 +75,7 @@ def entropy_trust(reviews: DataFrame) -> DataFrame:
 
 
 def _profiles(spark: SparkSession, sf_dir: str, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
-    dim = tables.vector_size(spark, sf_dir)
+    dim = profiles.vector_length(tables.table(spark, sf_dir, "embeddings"))
     return profiles.user_profiles(reviews, dim), profiles.item_profiles(reviews, dim)
 
 
@@ -130,16 +136,22 @@ def q_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_text(tables.web_reviews(spark, sf_dir))
 
 
+def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return embedding.embed(documents, "text").drop("text")
+
+
 @query
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = tables.spread(tables.table(spark, sf_dir, "documents")).select("doc_id", "text")
-    return embedding.embed(documents, "text").drop("text")
+    """The vectors element by element, zeros left out."""
+    values = _embedded(spark, sf_dir).select("doc_id", F.posexplode("embedding").alias("pos", "value")).filter("value <> 0")
+    return values.select("doc_id", F.col("pos").cast("long").alias("pos"), r6(F.col("value").cast("double")).alias("value"))
 
 
 @query
 def embed_text_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     squares = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
-    return embed_text(spark, sf_dir).select(
+    return _embedded(spark, sf_dir).select(
         "doc_id", F.size("embedding").cast("long").alias("dim"), F.round(F.sqrt(squares), 4).alias("norm")
     )
 
@@ -149,7 +161,7 @@ def embed_text_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = features.user_features(tables.reviews(spark, sf_dir, text=True))
+    table = features.user_features(_measured(spark, sf_dir))
     return table.select(
         USER, *[r6(c).alias(c) if t == "double" else F.col(c) for c, t in table.dtypes if c != USER]
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import tempfile
 import uuid
@@ -25,13 +26,20 @@ def materialize(
     build: Callable[[], DataFrame],
     metrics: Mapping[str, str] | None = None,
     partition_by: tuple[str, ...] = (),
+    parameters: Mapping[str, object] | None = None,
 ) -> DataFrame:
     """Read the table at ``path``; build and write it first if it is not there yet.
 
     ``metrics`` are SQL aggregates observed by the write job itself, so a step
-    summary costs no extra pass.
+    summary costs no extra pass. ``parameters`` are what the table was built
+    with; they are stored beside it, and a table built with others is refused.
     """
+    wanted = json.dumps(parameters or {}, sort_keys=True)
     if exists(spark, path):
+        if exists(spark, f"{path}.parameters"):
+            found = spark.read.text(f"{path}.parameters").first()[0]
+            if found != wanted:
+                raise ValueError(f"{path} was built with {found}, not {wanted}: remove it or use another folder")
         logger.info("%s exists, step skipped", path)
         return spark.read.parquet(path)
     df = build()
@@ -39,6 +47,7 @@ def materialize(
     if metrics:
         observation = Observation(path)
         df = df.observe(observation, *[F.expr(e).alias(n) for n, e in metrics.items()])
+    spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.parameters")
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     if observation is not None:
         logger.info("%s written: %s", path, observation.get)
@@ -72,7 +81,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     The result has no lineage to recompute when an executor is lost, is pruned
     by column like any Parquet table, and has known file sizes for planning.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df, name).table
+
+
+class Scratch:
+    """A scratch table that can be removed once nothing reads it any more."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark = df.sparkSession
+        self.path = scratch_path(self.spark, name)
+        df.write.parquet(self.path)
+        self.table = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def remove(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -77,6 +77,31 @@ def test_timestamp_column(spark):
     assert (row.activity_span_days, row.burstiness) == (3, 1)
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_times_without_a_zone_are_utc(spark, zone):
+    """Including a day on which New York skips an hour."""
+    hours = [(10, 0), (10, 10), (10, 23), (11, 1)]
+    rows = [("u", f"i{n}", T0, 1.0, True, 0, "") for n in range(len(hours))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    naive = F.element_at(
+        F.array(*[F.lit(f"2024-03-{d} {h:02}:30:00") for d, h in hours]), F.substring("parent_asin", 2, 1).cast("int") + 1
+    )
+    micros = F.unix_micros(F.concat(naive, F.lit("Z")).cast("timestamp"))
+    kinds = {
+        "ntz": naive.cast("timestamp_ntz"),
+        "date": naive.cast("date"),
+        "long": (micros / 1000).cast("long"),
+    }
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = {k: user_features(df.withColumn("timestamp", c)).first() for k, c in kinds.items()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert {k: r.burstiness for k, r in got.items()} == {"ntz": 3, "date": 3, "long": 3}
+    # 25 hours from the first to the last review.
+    assert {k: r.activity_span_days for k, r in got.items()} == {"ntz": 1, "date": 1, "long": 1}
+
+
 def test_matches_a_direct_computation(spark):
     rng = random.Random(7)
     rows = []

@@ -1,3 +1,4 @@
+import dataclasses
 import json
 import os
 import random
@@ -118,3 +119,33 @@ def test_cut_reads_back_what_it_wrote(spark):
     table = artifacts.cut(df, "t")
     assert table.dtypes == df.dtypes and sorted(table.collect()) == sorted(df.collect())
     assert table.inputFiles()
+
+
+def test_a_table_of_other_parameters_is_refused(spark, cfg):
+    with pytest.raises(ValueError, match="was built with"):
+        pipeline.run(spark, dataclasses.replace(cfg, min_interactions=3), ["ingest"])
+    with pytest.raises(ValueError, match="was built with"):
+        pipeline.run(spark, cfg, ["embed"], encoder=letters())
+    pipeline.run(spark, cfg, ["ingest", "embed", "anomaly"])
+
+
+def letters():
+    """An encoder of 70 letter counts, more than the configured dimension; local, so that it travels with the job."""
+
+    def load():
+        import numpy as np
+
+        def encode(texts):
+            return np.array([[t.count(chr(97 + i % 26)) + i for i in range(70)] for t in texts], dtype=np.float32)
+
+        return encode
+
+    return load
+
+
+def test_own_encoder_of_another_length(spark, cfg, tmp_path):
+    own = dataclasses.replace(cfg, out_dir=str(tmp_path / "out"))
+    pipeline.run(spark, own, ["ingest", "preprocess", "embed"], encoder=letters())
+    for name in (pipeline.EMBEDDINGS, pipeline.USER_PROFILES, pipeline.ITEM_PROFILES):
+        column = "embedding" if name == pipeline.EMBEDDINGS else "profile"
+        assert {len(r[0]) for r in pipeline.stored(spark, own, name).select(column).collect()} == {70}

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from review_trust.functions.text import clean_text
 from review_trust.operators import features, metrics, profiles, suspicious
+from review_trust.plans.queries import QUERIES
 from review_trust.schema import REVIEW_SCHEMA
 from review_trust.sources.reviews import read_json
 
@@ -56,6 +57,18 @@ def test_profiles_combine_before_the_shuffle(reviews):
         assert "partial_" in text and text.count("Exchange") == 1
 
 
+def test_rank_shift_shuffles_twice(spark, no_broadcast):
+    ranked = spark.createDataFrame([("u", 1, "i")], "user_id string, rank int, parent_asin string")
+    text = plan(metrics.rank_shift(ranked, ranked))
+    assert text.count("Exchange") == 2 and "Join" not in text
+
+
+def test_feature_query_reads_its_sources_once(spark):
+    text = plan(QUERIES["user_features"](spark, "/root/testdata/sf0.001"))
+    assert text.count("FileScan") == 3 and "RoundRobin" not in text
+    assert not any(name in text for name in ("lineitem", "orders", "documents"))  # joined once, when stored
+
+
 def test_no_plan_holds_a_cross_join(spark, reviews):
     trust = spark.createDataFrame([("u", 0.5)], "user_id string, trust_score double")
     ranked = spark.createDataFrame([("trust", "u", 1, "i")], "variant string, user_id string, rank int, parent_asin string")

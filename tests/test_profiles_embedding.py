@@ -6,7 +6,7 @@ from review_trust.operators.embedding import embed
 from review_trust.operators.profiles import item_profiles, user_profiles
 
 
-@pytest.mark.parametrize("dim", [None, 2, 384])
+@pytest.mark.parametrize("dim", [None, 2])
 def test_profiles_are_element_wise_means(spark, dim):
     rows = [("U1", "I1", [1.0, 0.0]), ("U1", "I2", [1.0, 2.0]), ("U2", "I1", [3.0, 4.0]), ("U2", "I3", [5.0, 6.0])]
     df = spark.createDataFrame(rows, "user_id string, parent_asin string, embedding array<float>")
@@ -16,6 +16,24 @@ def test_profiles_are_element_wise_means(spark, dim):
     assert items == {"I1": [2.0, 2.0], "I2": [1.0, 2.0], "I3": [5.0, 6.0]}
 
 
+@pytest.mark.parametrize("dim", [8, 64, 65, 384])
+def test_null_vectors_are_left_out_at_any_length(spark, dim):
+    rows = [("U1", [1.0] * dim), ("U1", None), ("U1", [3.0] * dim), ("U2", None)]
+    df = spark.createDataFrame([(u, "I", v) for u, v in rows], "user_id string, parent_asin string, embedding array<float>")
+    for given in (None, dim):
+        assert {r.user_id: r.profile for r in user_profiles(df, given).collect()} == {"U1": [2.0] * dim}
+
+
+@pytest.mark.parametrize("dim", [2, 5, 70])
+def test_another_length_fails(spark, dim):
+    df = spark.createDataFrame([("U", "I", [1.0, 2.0, 3.0])], "user_id string, parent_asin string, embedding array<float>")
+    with pytest.raises(Exception, match="elements in a vector"):
+        user_profiles(df, dim).collect()
+    mixed = df.unionByName(df.withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
+    with pytest.raises(ValueError, match="vectors of 1 to 3"):
+        user_profiles(mixed)
+
+
 def test_default_encoder(spark):
     texts = ["This is great.", "this IS great", "another text", "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, review_text string")

@@ -20,7 +20,7 @@ def db():
 
 def test_every_sql_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"embed_text", "iforest_trust", "full_run"}
+    assert set(QUERIES) - set(SQL) == {"iforest_trust", "full_run"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from review_trust.operators import ranking, skew
@@ -58,8 +59,8 @@ def test_item_trust_and_fused_ranking(spark):
 
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_item_trust_weighs_reviews_and_defaults_to_one(spark, monkeypatch, limit):
-    monkeypatch.setattr(ranking, "BROADCAST_IDS", limit)
-    monkeypatch.setattr(skew, "HOT_ROWS", 5)
+    monkeypatch.setattr(skew, "BROADCAST_IDS", limit)
+    monkeypatch.setattr(skew, "TARGET_ROWS", 5)
     rows = [("hot", f"i{n % 7}") for n in range(100)] + [("v", "i0")] * 3 + [("unknown", "i1")]
     reviews = spark.createDataFrame(rows, "user_id string, parent_asin string")
     trust = spark.createDataFrame([("hot", 0.25), ("v", 0.5)], "user_id string, trust_score double")
@@ -93,12 +94,9 @@ def test_empty_catalogue(spark):
 @pytest.mark.parametrize("limit", [64 << 20, 0])
 @pytest.mark.parametrize("spread", [0.02, 10.0])
 def test_matches_brute_force(spark, monkeypatch, limit, spread):
-    """Tight clusters, where the cell search skips most items, and none, where it skips nothing.
-
-    A third of the items share one vector, so one cell is far larger than the others.
-    """
-    monkeypatch.setattr(ranking, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(ranking, "CELL_ROWS", 16)
+    """Tight clusters and none; a third of the items share one vector, so ties cross the batches."""
+    monkeypatch.setattr(ranking, "GROUP_USERS", 7)
+    monkeypatch.setattr(ranking, "CHUNK_SCORES", 500)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 6))
     users = {f"u{n}": centres[n % 12] + spread * rng.normal(size=6) for n in range(40)}
@@ -114,31 +112,38 @@ def test_matches_brute_force(spark, monkeypatch, limit, spread):
         same(lists(ranked, variant), brute_force(users, items, weights, 7, variant))
 
 
-def test_cell_search_skips_far_cells(spark, monkeypatch):
-    """With well separated clusters no user is scored against most of the catalogue."""
-    monkeypatch.setattr(ranking, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(ranking, "CELL_ROWS", 16)
-    seen = []
-    cut = ranking.cut
+def test_only_items_are_repeated(spark, monkeypatch):
+    """Each user crosses the shuffle once, each item once per group of users, and nothing is written on the way."""
+    monkeypatch.setattr(ranking, "GROUP_USERS", 10)
+    sent, stored = [], []
+    real = ranking.cut
+    monkeypatch.setattr(ranking, "cut", lambda df, name: stored.append(name) or real(df, name))
+    stream = ranking._runs
 
-    def watch(df, name):
-        table = cut(df, name)
-        if name.endswith("-visits"):
-            seen.append(table.count())
-        return table
+    def watch(batches, keys):
+        for key, rows in stream(batches, keys):
+            sent.append((key, rows))
+            yield key, rows
 
-    monkeypatch.setattr(ranking, "cut", watch)
     rng = np.random.default_rng(6)
-    centres = np.eye(20)
-    items = {f"i{n}": centres[n % 20] + 0.01 * rng.normal(size=20) for n in range(400)}
-    users = {f"u{n}": centres[n % 20] + 0.01 * rng.normal(size=20) for n in range(40)}
-    ranked = rank_items(
-        profiles(spark, "user_id", users),
-        profiles(spark, "parent_asin", items),
-        spark.createDataFrame([], FACTORS),
-        top_k=5,
-        broadcast_bytes=0,
-    )
+    items = {f"i{n}": rng.normal(size=4) for n in range(50)}
+    users = {f"u{n}": rng.normal(size=4) for n in range(40)}
+    args = profiles(spark, "user_id", users), profiles(spark, "parent_asin", items), spark.createDataFrame([], FACTORS)
+    ranked = rank_items(*args, top_k=5, broadcast_bytes=0)
+    assert stored == ["items", "users"]
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and plan.count("Generate explode") == 1 and "Join" not in plan
     same(lists(ranked, BASELINE), brute_force(users, items, {}, 5, BASELINE))
-    cells = -(-len(items) // 16)
-    assert sum(seen) < 0.5 * cells * len(users)
+    # The task itself: users of two groups, items in two batches each.
+    table = lambda part, kind, ids, vectors: pa.RecordBatch.from_pydict(
+        {
+            "part": pa.array([part] * len(ids), pa.int32()),
+            "kind": pa.array([kind] * len(ids), pa.int32()),
+            "id": ids,
+            "profile": vectors,
+            "item_trust_factor": [1.0] * len(ids),
+        }
+    )
+    batches = [table(0, 0, ["u"], [[1.0, 0.0]]), table(0, 1, ["a"], [[0.0, 1.0]]), table(0, 1, ["b"], [[1.0, 0.0]])]
+    parts = list(watch(iter(batches), ("part", "kind")))
+    assert [(int(p), int(k), t.num_rows) for (p, k), t in parts] == [(0, 0, 1), (0, 1, 1), (0, 1, 1)]

@@ -51,3 +51,12 @@ def test_ground_truth_and_evaluable_users(spark):
     profiles = spark.createDataFrame([("a",), ("c",), ("d",)], "user_id string")
     assert sorted(tuple(r) for r in split.ground_truth(test).collect()) == [("a", "x"), ("b", "y"), ("d", "x")]
     assert [r.user_id for r in split.eval_users(train, test, profiles).collect()] == ["a"]
+
+
+def test_bounds_reach_the_file_reader(spark, tmp_path):
+    path = str(tmp_path / "r")
+    reviews(spark, [("u", f"i{n}", n) for n in range(20)]).write.parquet(path)
+    train, test, cutoff = split.temporal_split(spark.read.parquet(path))
+    assert cutoff == 15_000 and train.count() == 16
+    for part, bound in ((train, "LessThanOrEqual(timestamp,15)"), (test, "GreaterThan(timestamp,15)")):
+        assert bound in part._jdf.queryExecution().executedPlan().toString()
