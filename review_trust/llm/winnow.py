@@ -9,22 +9,19 @@ the gram. Items shorter than a window are joined on the hash of all their words.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from review_trust.llm.common import broadcast_if_small, text_key, words
+from review_trust.llm.common import broadcast_if_small, let, positions, text_key, words
 from review_trust.sources.artifacts import cut
 
 WINDOW = 10
 GRAM = 5
 
 
-def _get(array: str, offset: Column) -> Column:
-    return F.get(F.col(array), offset)
-
-
 def _run_length(tests: list[Column]) -> Column:
     """How many tests hold before the first one that doesn't (null counts as failing)."""
     length = F.lit(len(tests))
@@ -33,48 +30,56 @@ def _run_length(tests: list[Column]) -> Column:
     return length
 
 
-def fingerprints(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """Rows with an array column ``words``, once per selected gram: its hash ``h`` and its place ``p`` from 0.
+def fingerprints(tokens: Column, window: int, gram: int) -> Column:
+    """The selected grams of an array of words: their place p from 0, hash h, the words before and from p on.
 
     The gram at p is selected if it is the rightmost smallest of some window of consecutive grams: as many neighbours
-    as a window has besides it must be larger, those on its left larger or equal.
+    as a window has besides it must be larger, those on its left larger or equal. Each element holds only the words
+    that a window around it can reach, so no row carries the whole text along.
     """
     span = window - gram
-    last = F.size("words") - gram
-    hashes = F.when(
-        last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice("words", i + 1, F.lit(gram))))
-    )
-    p, h = F.col("p"), F.col("h")
-    left = _run_length([_get("_grams", p - i) >= h for i in range(1, span + 1)])
-    right = _run_length([_get("_grams", p + i) > h for i in range(1, span + 1)])
-    grams = rows.withColumn("_grams", hashes)
-    placed = grams.select("*", F.posexplode_outer("_grams").alias("p", "h")).filter(h.isNotNull())
-    return placed.filter(left + right >= span).drop("_grams")
 
+    def selected(h: Column) -> Callable[[Column], Column]:
+        def test(p: Column) -> Column:
+            left = _run_length([F.get(h, p - i) >= F.get(h, p) for i in range(1, span + 1)])
+            right = _run_length([F.get(h, p + i) > F.get(h, p) for i in range(1, span + 1)])
+            return left + right >= span
 
-def _context(prints: DataFrame, side: str, window: int, gram: int) -> DataFrame:
-    """The words before and from the gram on, as many as a window can hold."""
-    span = window - gram
-    before = F.slice("words", F.greatest(F.col("p") - span, F.lit(0)) + 1, F.least(F.col("p"), F.lit(span)))
-    return prints.select(
-        *[c for c in prints.columns if c != "words"],
-        before.alias(f"{side}_before"),
-        F.slice("words", F.col("p") + 1, F.lit(window)).alias(f"{side}_from"),
-    )
+        return test
+
+    def element(w: Column, h: Column) -> Callable[[Column], Column]:
+        return lambda p: F.struct(
+            p.alias("p"),
+            F.get(h, p).alias("h"),
+            F.slice(w, F.greatest(p - span, F.lit(0)) + 1, F.least(p, F.lit(span))).alias("before"),
+            F.slice(w, p + 1, F.lit(window)).alias("from"),
+        )
+
+    def grams(hashes: Column) -> Column:
+        return F.transform(
+            positions(F.size(hashes) - gram + 1), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(gram)])
+        )
+
+    def pick(w: Column, h: Column) -> Column:
+        return F.transform(F.filter(positions(F.size(h)), selected(h)), element(w, h))
+
+    return let(tokens, lambda w: let(let(F.transform(w, lambda x: F.xxhash64(x)), grams), lambda h: pick(w, h)))
 
 
 def _long_hits(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
     """Runs of at least ``window`` equal words around a shared fingerprint: doc_id, doc, item_id, start, length."""
-    test = _context(fingerprints(items, window, gram), "item", window, gram).drop("p")
+    test = items.select("item_id", F.inline(fingerprints(F.col("words"), window, gram)))
+    test = test.select("item_id", "h", F.col("before").alias("item_before"), F.col("from").alias("item_from"))
     test = broadcast_if_small(cut(test, "item-fingerprints"), 100_000)  # a few hundred bytes a row
-    train = _context(fingerprints(docs, window, gram), "doc", window, gram)
+    train = docs.select("doc_id", "doc", F.inline_outer(fingerprints(F.col("words"), window, gram)))
     joined = train.join(test, "h")
-    same = [
-        F.try_element_at("doc_before", F.lit(-i)) == F.try_element_at("item_before", F.lit(-i))
-        for i in range(1, window - gram + 1)
-    ]
-    left = _run_length(same)
-    right = _run_length([F.get("doc_from", F.lit(i)) == F.get("item_from", F.lit(i)) for i in range(window)])
+    left = _run_length(
+        [
+            F.try_element_at("before", F.lit(-i)) == F.try_element_at("item_before", F.lit(-i))
+            for i in range(1, window - gram + 1)
+        ]
+    )
+    right = _run_length([F.get("from", F.lit(i)) == F.get("item_from", F.lit(i)) for i in range(window)])
     start = (F.col("p") - left).alias("start")
     runs = joined.select("doc_id", "doc", "item_id", start, left.alias("l"), right.alias("r"))
     # The gram itself must be equal, not only its hash.
@@ -86,12 +91,12 @@ def _short_hits(docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
     """Places where all ``length`` words of a short item stand."""
     whole = items.select("item_id", "words", F.xxhash64("words").alias("h")).withColumnRenamed("words", "item_words")
     whole = broadcast_if_small(cut(whole, "short-items"), 100_000)
-    placed = docs.select("doc_id", "doc", "words", F.posexplode_outer("words").alias("start", "_word"))
-    here = F.slice("words", F.col("start") + 1, F.lit(length))
-    grams = placed.filter(F.col("start") <= F.size("words") - length).select(
-        "doc_id", "doc", "start", here.alias("here"), F.xxhash64(here).alias("h")
+    grams = let(
+        F.col("words"),
+        lambda w: F.transform(positions(F.size(w) - length + 1), lambda p: F.slice(w, p + 1, F.lit(length))),
     )
-    hits = grams.join(whole, "h").filter(F.col("here") == F.col("item_words"))
+    placed = docs.select("doc_id", "doc", F.posexplode_outer(grams).alias("start", "here"))
+    hits = placed.withColumn("h", F.xxhash64("here")).join(whole, "h").filter(F.col("here") == F.col("item_words"))
     return hits.select("doc_id", "doc", "item_id", "start", F.lit(length).alias("length"))
 
 
