@@ -29,6 +29,7 @@ HEADLINE = (
     "temporal_split",
     "rank_baseline",
     "rank_trust",
+    "rank_trust_cells",
     "rank_metrics",
     "metric_delta",
     "rank_shift",

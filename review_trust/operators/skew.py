@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from review_trust.sources.artifacts import cut
@@ -18,12 +18,18 @@ BROADCAST_BYTES = 64 << 20
 ROW_BYTES = 32
 
 
-def fits_broadcast(ids: DataFrame, key: str, n_ids: int) -> bool:
-    """True if a table of ``n_ids`` rows is small in rows and in the bytes of its ``key``."""
+def key_bytes(key: str) -> Column:
+    """Bytes of a key, to be summed up."""
+    return F.octet_length(F.col(key).cast("string"))
+
+
+def fits_broadcast(ids: DataFrame, key: str, n_ids: int, n_bytes: int | None = None) -> bool:
+    """True if a table of ``n_ids`` rows is small in rows and in the bytes of its ``key``, counted if not given."""
     if n_ids > BROADCAST_IDS:
         return False
-    size = ids.agg(F.sum(F.octet_length(F.col(key).cast("string")))).first()[0] or 0
-    return size + n_ids * ROW_BYTES <= BROADCAST_BYTES
+    if n_bytes is None:
+        n_bytes = ids.agg(F.sum(key_bytes(key))).first()[0] or 0
+    return n_bytes + n_ids * ROW_BYTES <= BROADCAST_BYTES
 
 
 def hot_keys(rows: DataFrame, on: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
@@ -65,10 +71,16 @@ def salted_join(
 
 
 def semi_join_ids(
-    rows: DataFrame, ids: DataFrame, key: str, n_ids: int, spread: Sequence[str], counts: DataFrame | None = None
+    rows: DataFrame,
+    ids: DataFrame,
+    key: str,
+    n_ids: int,
+    spread: Sequence[str],
+    counts: DataFrame | None = None,
+    n_bytes: int | None = None,
 ) -> DataFrame:
     """Keep the rows whose ``key`` is in ``ids``: broadcast while the set is small, else salted."""
     ids = ids.select(key)
-    if fits_broadcast(ids, key, n_ids):
+    if fits_broadcast(ids, key, n_ids, n_bytes):
         return rows.join(F.broadcast(ids), key, "left_semi").select(*rows.columns)
     return salted_join(rows, ids, [key], spread, "left_semi", counts)

@@ -60,8 +60,7 @@ def _stored(spark: SparkSession, sf_dir: str, **columns: bool) -> DataFrame:
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reviews with the length of their text instead of the text, stored for the three aggregates over them."""
-    wide = tables.reviews(spark, sf_dir, text=True)
-    return cut(features.measure_text(wide).drop("title"), "measured")
+    return cut(tables.reviews(spark, sf_dir, text_length=True), "measured")
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +137,7 @@ def q_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = tables.spread(documents, f"{sf_dir}/documents.parquet")
     return embedding.embed(documents, "text").drop("text")
 
 

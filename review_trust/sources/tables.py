@@ -12,11 +12,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reviews(spark: SparkSession, sf_dir: str, *, text: bool = False, embedding: bool = False) -> DataFrame:
+# Tables up to this size are dealt to all cores where a query does heavy work on each row.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """Give every core work on a small table that lies in fewer splits than there are cores.
+
+    What moves is bounded by ``SPREAD_BYTES`` whatever the cluster: a larger table is left as it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return df.repartition(cores) if size <= SPREAD_BYTES else df
+
+
+def reviews(
+    spark: SparkSession, sf_dir: str, *, text: bool = False, text_length: bool = False, embedding: bool = False
+) -> DataFrame:
     """One review per line item: who ordered which part, when, and how it was rated.
 
-    ``text`` joins the title and body in, ``embedding`` a vector per review;
-    both are left out unless asked for, so a query pays only for what it reads.
+    ``text`` joins the title and body in, ``text_length`` the length of the
+    body, ``embedding`` a vector per review; all are left out unless asked for,
+    so a query pays only for what it reads.
     """
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -33,15 +52,16 @@ def reviews(spark: SparkSession, sf_dir: str, *, text: bool = False, embedding:
         (F.col("l_returnflag") != "R").alias("verified_purchase"),
         (F.nullif(F.col("l_linenumber"), F.lit(7)) - 1).cast("long").alias("helpful_vote"),
     ]
-    if text:
-        documents = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    if text or text_length:
+        body = F.col("text") if text else F.length("text")
+        documents = table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
         n_documents = documents.count()  # row count from the file footers
         df = df.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(
             documents, (F.col("l_orderkey") * 7 + F.col("l_partkey")) % n_documents == F.col("doc_id")
         )
-        columns += [
-            F.col("p_name").alias("title"),
-            F.when(F.col("l_linenumber") != 5, F.col("body")).alias("text"),
+        body = F.when(F.col("l_linenumber") != 5, F.col("body"))
+        columns += [F.col("p_name").alias("title"), body.alias("text")] if text else [
+            F.coalesce(body, F.lit(0)).alias("text_length")
         ]
     if embedding:
         vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -56,7 +76,7 @@ def web_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.col("page_id")
     title = F.concat(F.lit("Visit "), "url", F.lit(" now <b>bold</b>"))
     text = F.concat("html", F.lit(" see www.x"), page, F.lit(".org/a  end"))
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages"), f"{sf_dir}/pages.parquet").select(
         "page_id",
         F.when(page % 10 != 3, title).alias("title"),
         F.when(page % 10 != 7, text).alias("text"),
