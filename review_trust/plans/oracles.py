@@ -194,6 +194,43 @@ cleaned AS (
 )"""
 
 
+def _whole_run() -> list[str]:
+    """All steps of the run on the core reviews, with the default encoder, up to the plain ranking's metrics."""
+    steps = [cte.replace("reviews AS", "all_reviews AS").replace("FROM reviews", "FROM all_reviews") for cte in _core()]
+    steps += [
+        "core_rows AS MATERIALIZED (SELECT row_number() OVER () AS rid, user_id, parent_asin, timestamp, title, text "
+        "FROM all_reviews WHERE user_id IN (SELECT user_id FROM core) AND parent_asin IN (SELECT parent_asin FROM core))",
+        "reviews AS (SELECT user_id, parent_asin, timestamp FROM core_rows)",
+        _cleaned("core_rows"),
+        _embedded("vectors", "cleaned", "rid", "review_text"),
+    ]
+    for name, key in (("up", "user_id"), ("ip", "parent_asin")):
+        steps += [
+            f"{name}_n AS (SELECT {key}, count(*) AS n FROM core_rows GROUP BY {key})",
+            f"{name}_sum AS (SELECT {key}, pos, sum(value) AS s FROM vectors JOIN core_rows USING (rid) GROUP BY ALL)",
+            f"{name} AS MATERIALIZED (SELECT a.{key}, list(coalesce(s, 0) / n ORDER BY i) AS p FROM {name}_n a "
+            f"CROSS JOIN range({ENCODER_DIM}) r(i) LEFT JOIN {name}_sum b ON a.{key} = b.{key} AND b.pos = i "
+            f"GROUP BY a.{key})",
+        ]
+    none = "item_trust AS (SELECT parent_asin, 1.0 AS item_trust_factor FROM core_rows WHERE false)"
+    return [*steps, _SPLIT, none, _BASELINE, _scored("scored", "base"), _means("means", "scored")]
+
+
+def _embedded(name: str, source: str, key: str, text: str) -> str:
+    """The default encoder's vectors, element by element without zeros."""
+    return f"""
+{name}_words AS (
+  SELECT {key}, unnest(string_split_regex(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM {source}
+),
+{name}_counts AS (
+  SELECT {key}, CAST(CAST('0x' || left(md5(word), 8) AS BIGINT) % {ENCODER_DIM} AS BIGINT) AS pos, count(*) AS n
+  FROM {name}_words WHERE word <> '' GROUP BY 1, 2
+),
+{name} AS MATERIALIZED (
+  SELECT {key}, pos, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS value FROM {name}_counts
+)"""
+
+
 def _sql(ctes: list[str], select: str) -> str:
     return f"WITH {','.join(ctes)}\n{select}" if ctes else select
 
@@ -236,13 +273,8 @@ pages_reviews AS (
             "AND parent_asin IN (SELECT parent_asin FROM core)",
         ),
         "clean_text": _sql([pages, _cleaned("pages_reviews")], "SELECT page_id, title, text, review_text FROM cleaned"),
-        "embed_text": (
-            "WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+')) AS word "
-            "FROM documents), c AS (SELECT doc_id, "
-            f"CAST(CAST('0x' || left(md5(word), 8) AS BIGINT) % {ENCODER_DIM} AS BIGINT) AS pos, count(*) AS n "
-            "FROM w WHERE word <> '' GROUP BY 1, 2) "
-            "SELECT doc_id, pos, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 6) "
-            "+ 0.0 AS value FROM c"
+        "embed_text": _sql(
+            [_embedded("vectors", "documents", "doc_id", "text")], f"SELECT doc_id, pos, {_r6('value')} FROM vectors"
         ),
         "embed_text_norms": (
             f"SELECT doc_id, CAST({ENCODER_DIM} AS BIGINT) AS dim, "
@@ -268,6 +300,17 @@ pages_reviews AS (
             [_REVIEWS, _HIST, _ENTROPY, _TRUST, _SPLIT, _item_trust("train")],
             f"SELECT parent_asin, {_r6('item_trust_factor')} FROM item_trust",
         ),
+        "item_trust_flagged": _sql(
+            [
+                _REVIEWS,
+                _HIST,
+                _ENTROPY,
+                _TRUST.replace("trust AS", "every_trust AS"),
+                "trust AS (SELECT * FROM every_trust WHERE trust_score < 0.9)",
+                _item_trust("reviews"),
+            ],
+            f"SELECT parent_asin, {_r6('item_trust_factor')} FROM item_trust",
+        ),
         "suspicious_users": _sql(
             [_REVIEWS, _HIST, _ENTROPY, _TRUST],
             f"SELECT user_id, trust_score FROM trust ORDER BY trust_score, user_id LIMIT {REPORT_ROWS}",
@@ -341,4 +384,5 @@ pages_reviews AS (
             [*both, _SHIFTS, f"rounded AS (SELECT parent_asin, {_r6('shift')} FROM shifts)"],
             f"SELECT parent_asin, shift FROM rounded ORDER BY shift, parent_asin LIMIT {REPORT_ROWS}",
         ),
+        "full_run_baseline": _sql(_whole_run(), f"SELECT metric, k, {_r6('value')} FROM means"),
     }

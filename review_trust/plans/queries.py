@@ -219,6 +219,14 @@ def item_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factors.select(ITEM, r6("item_trust_factor").alias("item_trust_factor"))
 
 
+@query
+def item_trust_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only scores below 0.9 are known; every other reviewer counts as fully trusted."""
+    reviews = _stored(spark, sf_dir)
+    factors = ranking.item_trust(reviews, entropy_trust(reviews).filter("trust_score < 0.9"))
+    return factors.select(ITEM, r6("item_trust_factor").alias("item_trust_factor"))
+
+
 @query
 def suspicious_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suspicious.suspicious_users(entropy_trust(_reviews(spark, sf_dir)))
@@ -361,3 +369,9 @@ def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = Config(raw_path=f"{folder}/raw", out_dir=f"{folder}/out", min_interactions=CORE)
     pipeline.run(spark, cfg)
     return pipeline.stored(spark, cfg, pipeline.METRICS)
+
+
+@query
+def full_run_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the whole run that depends on no random tree."""
+    return full_run(spark, sf_dir).select("metric", "k", r6("baseline").alias("value"))
