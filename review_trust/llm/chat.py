@@ -53,28 +53,36 @@ def reply_links(messages: DataFrame) -> DataFrame:
 
 
 def threads(parents: DataFrame) -> DataFrame:
-    """``parents`` (conv_id, turn, reply_to), one row per turn, with the turn that began the thread and the depth."""
+    """``parents`` (conv_id, turn, reply_to), one row per turn, with the turn that began the thread and the depth.
+
+    Pointers are doubled until they arrive at a first message. A round joins only the messages that are still under
+    way, so short threads cost no more for a long one beside them.
+    """
     first = F.col("reply_to").isNull()
     root, depth = F.coalesce("reply_to", "turn").alias("root"), F.when(first, 0).otherwise(1).alias("depth")
-    current = cut(parents.select("conv_id", "turn", "reply_to", root, depth), "threads")
+    current = cut(parents.select("conv_id", "turn", "reply_to", root, depth, first.alias("arrived")), "threads")
+    done, active = current.filter("arrived"), current.filter("NOT arrived")
     for _ in range(ROUNDS):
-        # A row whose pointer has arrived at a first message has nothing further to follow.
-        ahead = current.select(
-            "conv_id", F.col("turn").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth")
-        ).filter("_depth > 0")
-        moved = current.join(ahead, ["conv_id", "root"], "left").select(
+        if active.limit(1).count() == 0:
+            break
+        ahead = done.unionByName(active).select(
+            "conv_id",
+            F.col("turn").alias("root"),
+            F.col("root").alias("_root"),
+            F.col("depth").alias("_depth"),
+            F.col("arrived").alias("_arrived"),
+        )
+        moved = active.join(ahead, ["conv_id", "root"]).select(
             "conv_id",
             "turn",
             "reply_to",
-            F.coalesce("_root", "root").alias("root"),
-            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-            F.col("_root").isNotNull().alias("_moved"),
+            F.col("_root").alias("root"),
+            (F.col("depth") + F.col("_depth")).alias("depth"),
+            F.col("_arrived").alias("arrived"),
         )
         current = cut(moved, "threads")
-        if current.filter("_moved").limit(1).count() == 0:
-            break
-        current = current.drop("_moved")
-    return current.select("conv_id", "turn", "reply_to", "root", "depth")
+        done, active = done.unionByName(current.filter("arrived")), current.filter("NOT arrived")
+    return done.select("conv_id", "turn", "reply_to", "root", "depth")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
