@@ -365,14 +365,15 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     frequent = frequent_shingles(known)
     sets = cut(document_sets(docs, frequent), "shingle-sets")
     with_id = sets.filter("doc_id IS NOT NULL")
-    node_ids = with_id.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"))
+    node_ids = cut(with_id.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id")), "set-ids")
     # Copies of one set, then links between sets; a repeated doc_id joins its sets by itself.
     found = cut(links(known, with_id, frequent), "links")
     ends = found.join(node_ids.withColumnsRenamed({"node": "u", "id": "a"}), "u")
     ends = ends.join(node_ids.withColumnsRenamed({"node": "v", "id": "b"}), "v")
     nodes = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
     labelled = node_ids.join(nodes, "id", "left").select("node", F.coalesce("component", "id").alias("component"))
-    joined = sets.join(labelled, "node", "left")
+    # Stored, so that the join shuffles it by itself and may split the copies of one set among tasks. 16 bytes a row.
+    joined = sets.join(broadcast_if_small(cut(labelled, "set-components")), "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "doc", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
