@@ -16,7 +16,8 @@ MAX_SUMS = 64
 def vector_length(vectors: DataFrame, vector: str = "embedding") -> int:
     """The length that all vectors of the table have, nulls left out; 0 without any."""
     length = F.size(vector)
-    found = vectors.filter(F.col(vector).isNotNull()).agg(F.min(length).alias("low"), F.max(length).alias("high")).first()
+    known = vectors.filter(F.col(vector).isNotNull())
+    found = known.agg(F.min(length).alias("low"), F.max(length).alias("high")).first()
     if found.low != found.high:
         raise ValueError(f"vectors of {found.low} to {found.high} elements")
     return found.low or 0

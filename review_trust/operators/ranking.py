@@ -169,10 +169,15 @@ def _rank_streamed(users: DataFrame, items: DataFrame, n_users: int, dim: int, k
     is repeated, no row per (user, item block) is written, and the result leaves as ``k`` rows per user and variant.
     """
     cores = users.sparkSession.sparkContext.defaultParallelism
-    n_groups = max(math.ceil(n_users * (dim * 8 + ID_BYTES) / GROUP_BYTES), min(cores, math.ceil(n_users / GROUP_USERS)), 1)
+    by_size = math.ceil(n_users * (dim * 8 + ID_BYTES) / GROUP_BYTES)
+    n_groups = max(by_size, min(cores, math.ceil(n_users / GROUP_USERS)), 1)
     of_user = F.pmod(F.xxhash64(USER), F.lit(n_groups)).cast("int")
     side = users.select(
-        of_user.alias("part"), F.lit(0).alias("kind"), F.col(USER).alias("id"), "profile", F.lit(1.0).alias("item_trust_factor")
+        of_user.alias("part"),
+        F.lit(0).alias("kind"),
+        F.col(USER).alias("id"),
+        "profile",
+        F.lit(1.0).alias("item_trust_factor"),
     )
     sent = items.select(
         F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("part"),
