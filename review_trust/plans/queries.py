@@ -144,7 +144,8 @@ def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors element by element, zeros left out."""
-    values = _embedded(spark, sf_dir).select("doc_id", F.posexplode("embedding").alias("pos", "value"))
+    # The outer form: the plain one would compute every vector again for a filter on its size.
+    values = _embedded(spark, sf_dir).select("doc_id", F.posexplode_outer("embedding").alias("pos", "value"))
     value = r6(F.col("value").cast("double"))
     return values.filter("value <> 0").select("doc_id", F.col("pos").cast("long").alias("pos"), value.alias("value"))
 
