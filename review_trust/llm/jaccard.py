@@ -102,7 +102,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
     counts = sample.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n"))
     top = counts.filter(F.col("n") >= SAMPLE_HITS).orderBy(F.desc("n"), "shingle").limit(FREQUENT)
-    return np.sort(np.array([r.shingle for r in top.select("shingle").collect()], dtype=np.int64))
+    return np.sort(top.select("shingle").toArrow().column("shingle").to_numpy().astype(np.int64))
 
 
 def document_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -328,9 +328,16 @@ def links(docs: DataFrame, sets: DataFrame, frequent: np.ndarray) -> DataFrame:
     filled = sets.filter("n > 0")
     listed = filled.select("node", "n", F.posexplode("first").alias("i", "shingle"))
     lengths = listed.groupBy("shingle").agg(
-        F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.count("*").alias("c")
+        F.min("node").alias("_lo"),
+        F.max("node").alias("_hi"),
+        F.count("*").alias("c"),
+        F.min("n").alias("_n"),
+        F.max("n").alias("_m"),
+        F.min(F.col("n") - F.col("i")).alias("_rest"),
     )
-    shared = cut(lengths.filter("_lo <> _hi").select("shingle", "c"), "shared-shingles")
+    # In a list of two sets both sizes and places are known here: most of them can't be linked.
+    able = (F.col("c") > 2) | _reaches(F.col("_n"), F.col("_m"), F.col("_rest"))
+    shared = cut(lengths.filter((F.col("_lo") != F.col("_hi")) & able).select("shingle", "c"), "shared-shingles")
     mean = shared.agg(F.avg("c")).first()[0] or 1.0
     small = filled.filter(F.col("n") <= LIGHT_MAX).groupBy("n").agg(F.count_distinct("node").alias("c")).collect()
     limit = boundary({r.n: r.c for r in small}, mean)
@@ -338,7 +345,7 @@ def links(docs: DataFrame, sets: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     # Sets just below the boundary are listed as well, for their links across it. 8 bytes a row.
     heavy = listed.filter(F.col("n") >= -(-PERCENT * limit // 100))
-    postings = heavy.join(broadcast_if_small(shared.select("shingle"), 2_000_000), "shingle").distinct()
+    postings = heavy.join(broadcast_if_small(shared.select("shingle"), 1_000_000), "shingle").distinct()
     members = cut(bundles(postings), "bundles")
     wanted = broadcast_if_small(cut(members.select("node").distinct(), "bundled"), 2_000_000)
     first = filled.select("node", "first").join(wanted, "node", "left_semi").dropDuplicates(["node"])
