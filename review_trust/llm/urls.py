@@ -2,7 +2,7 @@
 
 Pages that a rule fits are seeds: the share of a host's pages that rules allow is its trust, the share that they block
 its distrust. Trust flows from a host to the hosts it links to (personalised PageRank), distrust from a host to the hosts
-that link to it (the same on reversed links). Host edges are links in pages to another host, and both ways between a host
+that link to it (the same on reversed links), both until they have converged. Host edges are links in pages to another host, and both ways between a host
 and a host directly below it. Pages that no rule fits get the verdict of their host: block where distrust exceeds trust
 by a factor, else allow. DataFrame operations only.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from review_trust.llm.common import UPPER, ascii_lower, broadcast_if_small
-from review_trust.sources.artifacts import cut
+from review_trust.sources.artifacts import Scratch, cut
 
 # The rules of the query, (verdict, host, path).
 RULES = (
@@ -26,6 +26,12 @@ RULES = (
 # A list compiled into one expression; longer ones would need a join.
 MAX_RULES = 500
 DAMPING = 0.85
+# Converged when a round moves less than this, summed over all hosts: what is still to come is at most
+# DAMPING / (1 - DAMPING) times as much, 6e-6, far below LEAST.
+TOLERANCE = 1e-6
+# Every round moves at most DAMPING times what the one before moved, so this many serve 1e15 seeds.
+MAX_ROUNDS = 300
+# Rounds that the SQL unrolls, from the seeds themselves.
 ROUNDS = 6
 # Hosts with this many times more distrust than trust are blocked; less distrust than LEAST counts as none.
 FACTOR = 2.0
@@ -68,33 +74,69 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.unionByName(below).unionByName(above).filter("src <> dst").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Trust and distrust of hosts after ``rounds`` steps: host, trust, distrust.
-
-    ``seeds`` has host, trust, distrust. Both run in one table keyed by kind, with distrust on reversed edges; a host
-    divides its value among its links. Every round is stored, so none is computed again.
-    """
+def _links_and_seeds(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (kind, src, dst, links of src) with those of distrust reversed, and seeds above 0 (host, kind, seed)."""
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"))
     )
     out = both.groupBy("kind", "src").agg(F.count("*").alias("links"))
     both = cut(both.join(out, ["kind", "src"]), "host-links")
     start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")))
-    start = cut(start.toDF("host", "kind", "seed").filter("seed > 0"), "host-seeds")
-    rank = start.withColumnRenamed("seed", "value")
-    for _ in range(rounds):
-        moved = both.join(rank.withColumnRenamed("host", "src"), ["kind", "src"])
-        moved = moved.select("kind", F.col("dst").alias("host"), (F.col("value") / F.col("links")).alias("part"))
-        gained = moved.groupBy("kind", "host").agg(F.sum("part").alias("gain"))
-        value = (1 - DAMPING) * F.coalesce("seed", F.lit(0.0)) + DAMPING * F.coalesce("gain", F.lit(0.0))
-        rank = start.join(gained, ["kind", "host"], "full_outer").select("kind", "host", value.alias("value"))
-        rank = cut(rank, "rank")
+    return both, cut(start.toDF("host", "kind", "seed").filter("seed > 0"), "host-seeds")
+
+
+def _gains(both: DataFrame, rank: DataFrame) -> DataFrame:
+    """What hosts are given (kind, host, gain) when every host of ``rank`` divides its value among its links."""
+    moved = both.join(rank.withColumnRenamed("host", "src"), ["kind", "src"])
+    moved = moved.select("kind", F.col("dst").alias("host"), (F.col("value") / F.col("links")).alias("part"))
+    return moved.groupBy("kind", "host").agg(F.sum("part").alias("gain"))
+
+
+def _by_host(rank: DataFrame) -> DataFrame:
     return rank.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("value")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("value")).otherwise(0.0)).alias("distrust"),
     )
 
 
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Trust and distrust of hosts after ``rounds`` steps from the seeds, as the SQL has them: host, trust, distrust.
+
+    Not converged, so ``judge`` takes ``converged`` instead.
+    """
+    both, start = _links_and_seeds(edges, seeds)
+    rank = start.withColumnRenamed("seed", "value")
+    for _ in range(rounds):
+        value = (1 - DAMPING) * F.coalesce("seed", F.lit(0.0)) + DAMPING * F.coalesce("gain", F.lit(0.0))
+        rank = start.join(_gains(both, rank), ["kind", "host"], "full_outer").select("kind", "host", value.alias("value"))
+        rank = cut(rank, "rank")
+    return _by_host(rank)
+
+
+def converged(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, limit: int = MAX_ROUNDS) -> DataFrame:
+    """Trust and distrust of hosts when they have converged: host, trust, distrust.
+
+    ``seeds`` has host, trust, distrust. Both run in one table keyed by kind, with distrust on reversed edges; a host
+    divides its value among its links. Every host begins with 1 - DAMPING of its seed, and a round passes on only what
+    the round before has added, until that is less than ``tolerance`` in all. Every round is stored, so none is computed
+    again, and the one before it removed. More than ``limit`` rounds are an error.
+    """
+    both, start = _links_and_seeds(edges, seeds)
+    first = (1 - DAMPING) * F.col("seed")
+    rank = Scratch(start.select("kind", "host", first.alias("value"), first.alias("added")), "rank")
+    for _ in range(limit):
+        moving = rank.table.agg(F.sum("added")).first()[0] or 0.0
+        if moving < tolerance:
+            return _by_host(rank.table)
+        added = rank.table.filter("added > 0").select("kind", "host", F.col("added").alias("value"))
+        gain = DAMPING * F.coalesce("gain", F.lit(0.0))
+        step = rank.table.join(_gains(both, added), ["kind", "host"], "full_outer")
+        value = F.coalesce("value", F.lit(0.0)) + gain
+        last, rank = rank, Scratch(step.select("kind", "host", value.alias("value"), gain.alias("added")), "rank")
+        last.remove()
+    raise RuntimeError(f"trust has not converged after {limit} rounds")
+
+
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, host, path, rule, verdict, trust, distrust of the host.
 
@@ -108,7 +150,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     allowed, denied = F.avg((own == "allow").cast("double")), F.avg((own == "block").cast("double"))
     seeds = judged.filter("host <> ''").groupBy("host").agg(allowed.alias("trust"), denied.alias("distrust"))
     seeds = seeds.filter("trust > 0 OR distrust > 0")
-    hosts = cut(propagate(host_edges(rows), seeds), "host-trust")
+    hosts = cut(converged(host_edges(rows), seeds), "host-trust")
     joined = judged.join(broadcast_if_small(hosts, 100_000), "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     blocked = (distrust > LEAST) & (distrust > FACTOR * trust)

@@ -83,5 +83,54 @@ def test_ranks_equal_brute_force(spark):
         assert r.distrust == pytest.approx(value["distrust"][r.host])
 
 
+def brute_converged(edges, seeds):
+    """Trust and distrust by dense iteration until nothing changes any more."""
+    hosts = sorted({h for e in edges for h in e} | {h for s in seeds.values() for h in s})
+    value = {}
+    for kind, seed in seeds.items():
+        way = edges if kind == "trust" else [(y, x) for x, y in edges]
+        out = {h: sum(x == h for x, _ in way) for h in hosts}
+        value[kind] = dict.fromkeys(hosts, 0.0)
+        for _ in range(400):
+            gain = {h: sum(value[kind][x] / out[x] for x, y in way if y == h) for h in hosts}
+            value[kind] = {h: 0.15 * seed.get(h, 0) + 0.85 * gain[h] for h in hosts}
+    return value
+
+
+def converged(spark, edges, seeds, **options):
+    hosts = sorted({h for s in seeds.values() for h in s})
+    table = [(h, seeds["trust"].get(h, 0.0), seeds["distrust"].get(h, 0.0)) for h in hosts]
+    seeds = spark.createDataFrame(table, "host string, trust double, distrust double")
+    return urls.converged(spark.createDataFrame(edges, "src string, dst string"), seeds, **options)
+
+
+def test_converged_ranks_equal_brute_force(spark):
+    chain = [(f"h{i}", f"h{i + 1}") for i in range(9)]
+    loop = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("d", "a"), ("c", "d")]
+    edges, seeds = chain + loop, {"trust": {"h0": 1.0, "a": 1.0, "d": 0.25}, "distrust": {"h9": 1.0, "c": 0.5}}
+    want = brute_converged(edges, seeds)
+    got = {r.host: r for r in converged(spark, edges, seeds).collect()}
+    assert got.keys() == want["trust"].keys()
+    for h, r in got.items():
+        assert (r.trust, r.distrust) == pytest.approx((want["trust"][h], want["distrust"][h]), abs=6e-6)
+    assert got["h2"].distrust == pytest.approx(0.15 * 0.85**7)
+    with pytest.raises(RuntimeError):
+        converged(spark, edges, seeds, limit=3)
+
+
+def test_distrust_reaches_the_end_of_a_chain(spark):
+    link = '<a href="http://%s/x">x</a>'
+    rows = [(i, f"http://h{i}.net/", link % f"h{i + 1}.net") for i in range(9)]
+    rows.append((9, "http://h9.net/", link % "bad.com"))
+    rows += [(10, "http://bad.com/de/", None), (11, "http://good.com/fr/", link % "h4.net")]
+    got = {r.page_id: r for r in judged(spark, rows).collect()}
+    # Half of what h4 passes on goes to good.com, which links to it as well.
+    want = [0.15 * 0.85 ** (10 - i) / (2 if i < 4 else 1) for i in range(10)]
+    assert [got[i].distrust for i in range(10)] == pytest.approx(want)
+    # Six links from the blocked host and one from the allowed one: 0.0566 of distrust, 0.1275 of trust.
+    assert got[4].trust == pytest.approx(0.1275) and got[4].verdict == "allow"
+    assert [got[i].verdict for i in range(4)] == ["block"] * 4
+
+
 def test_empty_table(spark):
     assert judged(spark, []).count() == 0
