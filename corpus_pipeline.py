@@ -9,6 +9,10 @@ from review_trust.llm import bpe, jaccard, lines, quality, winnow
 from review_trust.llm.common import session
 from review_trust.sources.artifacts import cut
 
+# Near duplicates share this much of their word shingles; op9_ngram_jaccard has values of its own.
+SHINGLE_WORDS = 5
+PERCENT = 80
+
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold go."""
@@ -25,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of similar documents the one with the smallest doc_id stays."""
     session(spark)
-    return jaccard.keep_smallest(docs)
+    return jaccard.keep_smallest(docs, SHINGLE_WORDS, PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,8 +36,9 @@ from review_trust.llm.components import components
 from review_trust.llm.shingles import HASH_BITS, shingles, texts_words
 from review_trust.sources.artifacts import cut
 
+# What the operator takes if nothing else is asked for.
 SHINGLE_WORDS = 4
-# Linked if 100 * intersection >= PERCENT * union.
+# Linked if 100 * intersection >= percent * union.
 PERCENT = 85
 # Sets of at most this size may be enumerated; the boundary lies at or below it.
 LIGHT_MAX = 20
@@ -52,19 +53,19 @@ BLOCK_SHINGLES = 1 << 21
 _LAST = np.int64(1 << HASH_BITS)
 
 
-def needed(a: int, b: int) -> int:
+def needed(a: int, b: int, percent: int = PERCENT) -> int:
     """Shingles that linked sets of sizes a and b share at least."""
-    return -(-PERCENT * (a + b) // (100 + PERCENT))
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def prefix_length(n: int) -> int:
+def prefix_length(n: int, percent: int = PERCENT) -> int:
     """How many first shingles of a set of size n every set that is linked to it shares one of."""
-    return n - -(-PERCENT * n // 100) + 1
+    return n - -(-percent * n // 100) + 1
 
 
-def partners(n: int) -> range:
+def partners(n: int, percent: int = PERCENT) -> range:
     """Sizes of sets that can be linked to one of size n."""
-    return range(-(-PERCENT * n // 100), 100 * n // PERCENT + 1)
+    return range(-(-percent * n // 100), 100 * n // percent + 1)
 
 
 def _ordered(text_shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -75,9 +76,9 @@ def _ordered(text_shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.sort(np.where(frequent[at] == text_shingles, text_shingles + _LAST, text_shingles))
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+def _texts(batch: pa.RecordBatch, shingle_words: int) -> Iterator[np.ndarray]:
     for words in texts_words(batch.column("text").cast(pa.binary()).to_pylist()):
-        yield shingles(words, SHINGLE_WORDS)
+        yield shingles(words, shingle_words)
 
 
 def _node(text_shingles: np.ndarray) -> int:
@@ -91,12 +92,12 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, shingle_words: int) -> np.ndarray:
     """The most frequent shingles of a sample of documents: at most FREQUENT numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for found in _texts(batch):
+            for found in _texts(batch, shingle_words):
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["shingle"])
 
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
@@ -105,12 +106,12 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(top.select("shingle").toArrow().column("shingle").to_numpy().astype(np.int64))
 
 
-def document_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def document_sets(docs: DataFrame, frequent: np.ndarray, shingle_words: int, percent: int) -> DataFrame:
     """Per row: doc_id, doc, n (size), node (digest; null if empty), its first shingles, and all of them if few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_texts(batch))
+            found = list(_texts(batch, shingle_words))
             ordered = [_ordered(f, frequent) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -118,7 +119,7 @@ def document_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     batch.column("doc"),
                     pa.array([len(f) for f in found], pa.int64()),
                     pa.array([_node(f) if len(f) else None for f in found], pa.int64()),
-                    _lists([o[: prefix_length(len(o))] if len(o) else o for o in ordered]),
+                    _lists([o[: prefix_length(len(o), percent)] if len(o) else o for o in ordered]),
                     _lists([o if len(o) <= LIGHT_MAX else o[:0] for o in ordered]),
                 ],
                 ["doc_id", "doc", "n", "node", "first", "light"],
@@ -129,12 +130,12 @@ def document_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def whole_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def whole_sets(docs: DataFrame, frequent: np.ndarray, shingle_words: int) -> DataFrame:
     """Per row: node and all its shingles in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_texts(batch))
+            found = list(_texts(batch, shingle_words))
             ordered = _lists([_ordered(f, frequent) for f in found])
             nodes = pa.array([_node(f) for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays([nodes, ordered], ["node", "shingles"])
@@ -145,31 +146,33 @@ def whole_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 # Light sets -----------------------------------------------------------------------------------------------------------
 
 
-def subset_sizes(n: int) -> list[tuple[int, int, int]]:
+def subset_sizes(n: int, percent: int) -> list[tuple[int, int, int]]:
     """(smaller size, larger size, shared shingles) for every size that a set of size n can be linked to."""
-    sizes = [(min(n, m), max(n, m), needed(n, m)) for m in partners(n) if m]
+    sizes = [(min(n, m), max(n, m), needed(n, m, percent)) for m in partners(n, percent) if m]
     return [s for s in sizes if s[2] <= s[0]]
 
 
-def boundary(sizes: dict[int, int], list_length: float) -> int:
-    """The size from which scanning lists is cheaper than enumerating subsets, for this histogram of sizes."""
+def boundary(costs: dict[int, tuple[int, int]], list_length: float) -> int:
+    """The size from which scanning lists is cheaper than enumerating subsets.
+
+    ``costs`` has, for every size, how many subsets and how many first shingles all sets of that size list.
+    """
 
     def cost(limit: int) -> float:
-        light = sum(c * sum(math.comb(n, k) for _, _, k in subset_sizes(n)) for n, c in sizes.items() if n < limit)
-        heavy = sum(c * prefix_length(n) * list_length for n, c in sizes.items() if n >= limit)
-        return light + heavy
+        light = sum(subsets for n, (subsets, _) in costs.items() if n < limit)
+        return light + sum(first * list_length for n, (_, first) in costs.items() if n >= limit)
 
     return min(range(1, LIGHT_MAX + 2), key=cost)
 
 
-def light_links(sets: DataFrame, limit: int) -> DataFrame:
+def light_links(sets: DataFrame, limit: int, percent: int) -> DataFrame:
     """Links (u, v) between sets of fewer than ``limit`` shingles, from equal subsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, light in zip(batch.column("node").to_pylist(), batch.column("light").to_pylist()):
                 n, keys, smaller, larger = len(light), [], [], []
-                for lo, hi, k in subset_sizes(n):
+                for lo, hi, k in subset_sizes(n, percent):
                     if hi >= limit:
                         continue
                     for subset in combinations(light, k):
@@ -199,16 +202,16 @@ def light_links(sets: DataFrame, limit: int) -> DataFrame:
 # Heavy sets -----------------------------------------------------------------------------------------------------------
 
 
-def _reaches(a: Column, b: Column, overlap: Column) -> Column:
-    return (100 + PERCENT) * overlap >= PERCENT * (a + b)
+def _reaches(a: Column, b: Column, overlap: Column, percent: int) -> Column:
+    return (100 + percent) * overlap >= percent * (a + b)
 
 
-def bundles(postings: DataFrame) -> DataFrame:
+def bundles(postings: DataFrame, percent: int) -> DataFrame:
     """Members of the lists, gathered by the smallest member: pivot, size class, node, n.
 
     ``postings`` has shingle, node, n, i (place among the node's shingles), for shingles with two nodes at least.
     """
-    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) + 1e-9)
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)
     listed = postings.withColumn("class", F.explode(F.array(size_class, size_class + 1)))
     rest = F.col("n") - F.col("i")
     for _ in range(2):  # members that leave may take the last chance of others
@@ -217,7 +220,7 @@ def bundles(postings: DataFrame) -> DataFrame:
         )
         best = best.filter("_lo <> _hi")
         listed = listed.join(best, ["shingle", "class"])
-        able = _reaches(F.col("n"), F.col("_n"), F.least(rest, F.col("_rest")))
+        able = _reaches(F.col("n"), F.col("_n"), F.least(rest, F.col("_rest")), percent)
         listed = listed.filter(able).select(*postings.columns, "class")
     pivots = listed.groupBy("shingle", "class").agg(F.min("node").alias("pivot"), F.max("node").alias("_hi"))
     pivots = pivots.filter("pivot <> _hi").drop("_hi")
@@ -270,7 +273,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "node")
 
 
-def survivors(members: DataFrame) -> DataFrame:
+def survivors(members: DataFrame, percent: int) -> DataFrame:
     """Members (with ``first``) that share enough first shingles with another one: pivot, class, node, n.
 
     Up to the smaller of both sets' last listed shingle their overlap is known; beyond it they share at most what is
@@ -287,7 +290,7 @@ def survivors(members: DataFrame) -> DataFrame:
             for i, common in enumerate(_overlaps(first)):
                 known = np.searchsorted(first[i], last, "right")
                 bound = common + np.minimum(sizes[i] - known, sizes - listed)
-                ok = (last <= last[i]) & ((100 + PERCENT) * bound >= PERCENT * (sizes[i] + sizes))
+                ok = (last <= last[i]) & ((100 + percent) * bound >= percent * (sizes[i] + sizes))
                 ok &= (block != block[i]) | same
                 ok[i] = False
                 if ok.any():
@@ -300,7 +303,7 @@ def survivors(members: DataFrame) -> DataFrame:
     return _grouped(members).mapInArrow(run, "pivot bigint, class bigint, node bigint, n bigint").distinct()
 
 
-def exact_links(members: DataFrame) -> DataFrame:
+def exact_links(members: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) among members (with ``shingles``) of a bundle: enough of them to connect all that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +312,7 @@ def exact_links(members: DataFrame) -> DataFrame:
             label = np.arange(len(nodes))
             us, vs = [], []
             for i, common in enumerate(_overlaps(_numpy_lists(group.column("shingles")))):
-                ok = (100 + PERCENT) * common >= PERCENT * (sizes[i] + sizes)
+                ok = (100 + percent) * common >= percent * (sizes[i] + sizes)
                 ok &= (block != block[i]) | same
                 ok[i] = False
                 new = np.unique(label[ok])
@@ -323,7 +326,7 @@ def exact_links(members: DataFrame) -> DataFrame:
     return _grouped(members).mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def links(docs: DataFrame, sets: DataFrame, frequent: np.ndarray) -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame, frequent: np.ndarray, shingle_words: int, percent: int) -> DataFrame:
     """Links (u, v) between nodes that connect all linked sets; ``sets`` is the stored result of ``document_sets``."""
     filled = sets.filter("n > 0")
     listed = filled.select("node", "n", F.posexplode("first").alias("i", "shingle"))
@@ -336,45 +339,51 @@ def links(docs: DataFrame, sets: DataFrame, frequent: np.ndarray) -> DataFrame:
         F.min(F.col("n") - F.col("i")).alias("_rest"),
     )
     # In a list of two sets both sizes and places are known here: most of them can't be linked.
-    able = (F.col("c") > 2) | _reaches(F.col("_n"), F.col("_m"), F.col("_rest"))
+    able = (F.col("c") > 2) | _reaches(F.col("_n"), F.col("_m"), F.col("_rest"), percent)
     shared = cut(lengths.filter((F.col("_lo") != F.col("_hi")) & able).select("shingle", "c"), "shared-shingles")
     mean = shared.agg(F.avg("c")).first()[0] or 1.0
     small = filled.filter(F.col("n") <= LIGHT_MAX).groupBy("n").agg(F.count_distinct("node").alias("c")).collect()
-    limit = boundary({r.n: r.c for r in small}, mean)
-    light = light_links(sets, limit)
+    costs = {
+        r.n: (r.c * sum(math.comb(r.n, k) for _, _, k in subset_sizes(r.n, percent)), r.c * prefix_length(r.n, percent))
+        for r in small
+    }
+    limit = boundary(costs, mean)
+    light = light_links(sets, limit, percent)
 
     # Sets just below the boundary are listed as well, for their links across it. 8 bytes a row.
-    heavy = listed.filter(F.col("n") >= -(-PERCENT * limit // 100))
+    heavy = listed.filter(F.col("n") >= -(-percent * limit // 100))
     postings = heavy.join(broadcast_if_small(shared.select("shingle"), 1_000_000), "shingle").distinct()
-    members = cut(bundles(postings), "bundles")
+    members = cut(bundles(postings, percent), "bundles")
     wanted = broadcast_if_small(cut(members.select("node").distinct(), "bundled"), 2_000_000)
     first = filled.select("node", "first").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    n_first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    passed = cut(survivors(in_blocks(members, n_first).join(first, "node")), "survivors")
+    n_first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    passed = cut(survivors(in_blocks(members, n_first).join(first, "node"), percent), "survivors")
 
     nodes = passed.select("node").distinct()
     of_nodes = filled.select("node", "doc_id").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     ids = broadcast_if_small(cut(of_nodes.join(nodes, "node", "left_semi").select("doc_id"), "verified"), 2_000_000)
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    whole = whole_sets(texts, frequent).dropDuplicates(["node"])
-    exact = exact_links(in_blocks(passed, F.col("n")).join(whole, "node"))
+    whole = whole_sets(texts, frequent, shingle_words).dropDuplicates(["node"])
+    exact = exact_links(in_blocks(passed, F.col("n")).join(whole, "node"), percent)
     return light.unionByName(exact)
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, doc, n_shingles, component_id.
 
+    Documents are linked if their shingles of ``shingle_words`` words have a similarity of ``percent`` percent at least.
+
     The component is the smallest doc_id that links reach. Texts without words have no shingles and are linked with
     nothing. Rows without a doc_id are linked with nothing either and have a null component; rows that repeat a doc_id
     are one document that has the links of all of them, and each gets a row. ``doc`` is a hash of the text.
     """
     known = docs.filter("doc_id IS NOT NULL")
-    frequent = frequent_shingles(known)
-    sets = cut(document_sets(docs, frequent), "shingle-sets")
+    frequent = frequent_shingles(known, shingle_words)
+    sets = cut(document_sets(docs, frequent, shingle_words, percent), "shingle-sets")
     with_id = sets.filter("doc_id IS NOT NULL")
     node_ids = cut(with_id.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id")), "set-ids")
     # Copies of one set, then links between sets; a repeated doc_id joins its sets by itself.
-    found = cut(links(known, with_id, frequent), "links")
+    found = cut(links(known, with_id, frequent, shingle_words, percent), "links")
     ends = found.join(node_ids.withColumnsRenamed({"node": "u", "id": "a"}), "u")
     ends = ends.join(node_ids.withColumnsRenamed({"node": "v", "id": "b"}), "v")
     nodes = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -385,8 +394,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "doc", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def keep_smallest(docs: DataFrame) -> DataFrame:
+def keep_smallest(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id; all their columns stay."""
-    similar = similar_documents(docs)
+    similar = similar_documents(docs, shingle_words, percent)
     extra = similar.filter("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(broadcast_if_small(cut(extra, "near-duplicates")), F.col("doc_id") == F.col("_id"), "left_anti")

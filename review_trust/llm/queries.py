@@ -49,7 +49,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    similar = jaccard.similar_documents(_table(spark, sf_dir, "documents"))
+    similar = jaccard.similar_documents(_table(spark, sf_dir, "documents"), shingle_words=4, percent=85)
     return similar.select("doc_id", "n_shingles", "component_id")
 
 

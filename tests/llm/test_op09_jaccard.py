@@ -90,6 +90,31 @@ def test_frequent_passage(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def brute_components(rows, size, percent):
+    """Components of (doc_id, text) rows, all with an id and words."""
+    sets = []
+    for _, text in rows:
+        w = text.split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))})
+    label = {d: d for d, _ in rows}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                x, y = sorted((label[rows[i][0]], label[rows[j][0]]))
+                label = {d: x if c == y else c for d, c in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("size, percent", [(5, 80), (3, 70)])
+def test_other_shingles_and_similarities(spark, size, percent):
+    rows = []
+    for k, length in enumerate((6, 9, 12, 15, 18, 22, 24, 28, 60, 150)):
+        rows += [(10_000 * k + d, t) for d, t in near_copies(k + 20, length, 25)]
+    got = jaccard.similar_documents(docs(spark, rows), shingle_words=size, percent=percent).collect()
+    want = brute_components(rows, size, percent)
+    assert {r.doc_id: r.component_id for r in got} == want != brute_components(rows, 4, 85)
+
+
 def test_needed_and_prefix():
     for a in range(1, 60):
         for b in range(a, 60):

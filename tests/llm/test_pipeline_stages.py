@@ -5,6 +5,8 @@ import pytest
 from llm_data import corpus, docs, word_list
 from pyspark.sql import functions as F
 
+from review_trust.llm import jaccard
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -55,6 +57,26 @@ def test_duplicates_and_leaks_go_and_clean_documents_stay(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 10, 11]
 
 
+def test_near_copies_between_the_two_settings_go(spark):
+    def similarity(a, b, size):
+        a, b = ({tuple(t[i : i + size]) for i in range(len(t) - size + 1)} for t in (a, b))
+        return len(a & b) / len(a | b)
+
+    rows = []
+    for i, (length, changed) in enumerate(((50, 1), (58, 2), (75, 3), (400, 35))):
+        words = [hashlib.md5(f"{i} {j}".encode()).hexdigest() for j in range(length)]
+        copy = [*words[:20], *[f"new{j}" for j in range(changed)], *words[20 + changed :]]
+        assert similarity(words, copy, 5) >= 0.8 and similarity(words, copy, 4) < 0.85
+        rows += [(i, " ".join(words)), (100 + i, " ".join(copy))]
+    words = [hashlib.md5(f"far {j}".encode()).hexdigest() for j in range(40)]
+    rows += [(50, " ".join(words)), (150, " ".join([*words[:20], "new", *words[21:]]))]
+    assert similarity(words, rows[-1][1].split(), 5) < 0.8
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 50, 150]
+    kept = jaccard.keep_smallest(documents(spark, rows), shingle_words=4, percent=85)
+    assert kept.count() == len(rows)
+
+
 def test_run_is_the_stages_one_after_the_other(spark):
     rows = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, SF).collect()}
     table = spark.read.parquet(f"{SF}/documents.parquet")
