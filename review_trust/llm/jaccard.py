@@ -373,7 +373,7 @@ def similar_documents(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, perce
 
     Documents are linked if their shingles of ``shingle_words`` words have a similarity of ``percent`` percent at least.
 
-    The component is the smallest doc_id that links reach. Texts without words have no shingles and are linked with
+    The component is the smallest doc_id that links reach. Texts without words have no shingles and link
     nothing. Rows without a doc_id are linked with nothing either and have a null component; rows that repeat a doc_id
     are one document that has the links of all of them, and each gets a row. ``doc`` is a hash of the text.
     """
@@ -382,14 +382,27 @@ def similar_documents(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, perce
     sets = cut(document_sets(docs, frequent, shingle_words, percent), "shingle-sets")
     with_id = sets.filter("doc_id IS NOT NULL")
     node_ids = cut(with_id.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id")), "set-ids")
-    # Copies of one set, then links between sets; a repeated doc_id joins its sets by itself.
     found = cut(links(known, with_id, frequent, shingle_words, percent), "links")
     ends = found.join(node_ids.withColumnsRenamed({"node": "u", "id": "a"}), "u")
     ends = ends.join(node_ids.withColumnsRenamed({"node": "v", "id": "b"}), "v")
-    nodes = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # A doc_id with several texts ties their sets together.
+    several = with_id.groupBy("doc_id").agg(
+        F.min("node").alias("_lo"),
+        F.max("node").alias("_hi"),
+        F.count("node").alias("_filled"),
+        F.count("*").alias("_rows"),
+    )
+    several = several.filter("_lo <> _hi OR (_filled > 0 AND _filled < _rows)").select("doc_id")
+    tied = with_id.join(several, "doc_id", "left_semi").join(node_ids, "node").filter("id <> doc_id")
+    ends = ends.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    nodes = components(ends.unionByName(tied.select(F.col("id").alias("u"), F.col("doc_id").alias("v"))))
     labelled = node_ids.join(nodes, "id", "left").select("node", F.coalesce("component", "id").alias("component"))
     # Stored, so that the join shuffles it by itself and may split the copies of one set among tasks. 16 bytes a row.
-    joined = sets.join(broadcast_if_small(cut(labelled, "set-components")), "node", "left")
+    columns = ["doc_id", "doc", "n", "component"]
+    filled = sets.filter("n > 0").join(broadcast_if_small(cut(labelled, "set-components")), "node", "left")
+    # A text without words goes with the other texts of its doc_id.
+    empty = sets.filter("n = 0").join(nodes.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    joined = filled.select(*columns).unionByName(empty.select(*columns))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "doc", F.col("n").alias("n_shingles"), component.alias("component_id"))
 

@@ -115,6 +115,13 @@ def test_other_shingles_and_similarities(spark, size, percent):
     assert {r.doc_id: r.component_id for r in got} == want != brute_components(rows, 4, 85)
 
 
+def test_repeated_ids_tie_their_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (8, ""), (6, c), (9, d), (9, d), (10, ""), (2, None), (7, " ")]
+    assert run(spark, rows) == brute(rows)
+    assert {(i, c) for i, _, c in run(spark, rows)} == {(3, 3), (5, 3), (7, 3), (8, 6), (6, 6), (9, 9), (10, 10), (2, 2)}
+
+
 def test_needed_and_prefix():
     for a in range(1, 60):
         for b in range(a, 60):
