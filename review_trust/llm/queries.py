@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from review_trust.llm import bpe, chat, jaccard, licenses, lines, merkle, quality, urls, warc, winnow
+from review_trust.llm import bpe, chat, jaccard, licenses, lines, merkle, quality, simhash, urls, warc, winnow
 from review_trust.llm.common import session
 
 
@@ -57,6 +57,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digests(_table(spark, sf_dir, "documents"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_licenses": op10_licenses,
+    "op12_simhash": op12_simhash,
 }
 
 ORACLES: dict[str, str] = {

@@ -1,0 +1,111 @@
+import random
+
+import numpy as np
+import xxhash
+from llm_data import corpus, docs, lower, prose
+from pyspark.sql import functions as F
+
+from review_trust.llm import simhash
+
+
+def plain_print(text, size=3):
+    words = [w for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in lower(text or "")).split(" ") if w]
+    shingles = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute(rows):
+    """doc_id, fingerprint and component of every row, comparing all pairs; rows of one id are tied."""
+    marks, parent = [plain_print(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            same = rows[i][0] is not None and rows[i][0] == rows[j][0]
+            if same or (marks[i] ^ marks[j]).bit_count() <= 2:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    out = []
+    for i, (doc_id, _) in enumerate(rows):
+        ids = [r[0] for j, r in enumerate(rows) if find(j) == find(i) and r[0] is not None]
+        out.append((doc_id, f"{marks[i]:016x}", min(ids, default=None)))
+    return sorted(out, key=str)
+
+
+def run(spark, rows, **options):
+    got = simhash.near_duplicates(docs(spark, rows), **options).collect()
+    return sorted(((r.doc_id, r.fingerprint, r.component_id) for r in got), key=str)
+
+
+def chains(seed, length, n):
+    """Copies of copies of one text, each with a word changed."""
+    rng = random.Random(seed)
+    texts = [prose(rng, length, 5_000).split()]
+    for i in range(n):
+        words = list(rng.choice(texts))
+        words[rng.randrange(length)] = f"x{i}"
+        texts.append(words)
+    return [((i * 577) % 10_007, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_equals_brute_force(spark):
+    rows = corpus()
+    assert run(spark, rows) == brute(rows)
+
+
+def test_groups_of_near_copies_at_any_crowd(spark):
+    rows = chains(3, 300, 150)
+    want = brute(rows)
+    assert len({c for _, _, c in want}) < len(rows) - 20  # there is something to link
+    assert run(spark, rows) == want
+    assert run(spark, rows, crowd=2) == want
+
+
+def test_a_repeated_doc_id_ties_its_texts(spark):
+    a, b = prose(random.Random(1), 50), prose(random.Random(2), 50)
+    rows = [(3, a), (5, a), (5, b), (9, b), (7, None), (8, " "), (None, a), (None, "alone here")]
+    got = run(spark, rows)
+    assert got == brute(rows)
+    assert {c for d, _, c in got if d in (3, 5, 9)} == {3}
+
+
+def test_no_rows_and_awkward_columns(spark):
+    assert simhash.near_duplicates(docs(spark, [])).count() == 0
+    odd = docs(spark, [(1, "a b c d"), (2, "a b c d")]).withColumns(
+        {c: F.lit(1) for c in ("_id", "_doc", "fp", "u", "V", "first", "key", "component", "smallest", "meta.url")}
+    )
+    assert [r.component_id for r in simhash.near_duplicates(odd).collect()] == [1, 1]
+
+
+def test_words_one_error_apart_share_a_nearest_index():
+    golay = simhash.Golay()
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 1 << 23, 2_000)
+    mine = golay.indices(words)
+    assert set((mine >= 0).sum(axis=1).tolist()) == {1, 6}
+    for bit in [None, *range(23)]:
+        other = golay.indices(words ^ (0 if bit is None else 1 << bit))
+        met = ((mine[:, :1] == other) & (other >= 0)).any(axis=1) | ((other[:, :1] == mine) & (mine >= 0)).any(axis=1)
+        assert met.all()
+
+
+def test_nearest_codeword_is_within_three_errors():
+    golay = simhash.Golay()
+    assert (np.bitwise_count(golay.errors[:, 0]) <= 3).all()
+    assert len(np.unique(golay.errors[:, 0])) == 2048
+
+
+def test_every_pair_of_bits_links(spark):
+    base = 0x0123456789ABCDEF
+    flips = [1 << i for i in range(0, 64, 5)]
+    values = {base ^ a ^ b for a in flips for b in flips if a < b} | {base} | {base ^ 7 ^ 7 << 30}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    for crowd in (1, 64):
+        found = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp bigint"), crowd).collect()
+        assert all(((r.u ^ r.v) & (1 << 64) - 1).bit_count() <= 2 for r in found)
+        assert {r.u for r in found} | {r.v for r in found} == {v for v in signed if v != base ^ 7 ^ 7 << 30}
