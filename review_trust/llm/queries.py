@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from review_trust.llm import bpe, chat, jaccard, licenses, lines, merkle, quality, simhash, urls, warc, winnow
+from review_trust.llm import bpe, chat, jaccard, licenses, lines, merkle, periodic, quality, repair, simhash, urls, warc, winnow
 from review_trust.llm.common import session
 
 
@@ -57,10 +57,19 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(_table(spark, sf_dir, "documents"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = _table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damage(messages), messages)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
@@ -72,7 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_licenses": op10_licenses,
+    "op11_periodic": op11_periodic,
     "op12_simhash": op12_simhash,
+    "op13_repair": op13_repair,
 }
 
 ORACLES: dict[str, str] = {

@@ -1,0 +1,118 @@
+import hashlib
+import random
+import re
+import zlib
+from fractions import Fraction
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from llm_data import corpus, docs, prose
+from pyspark.sql import functions as F
+
+from review_trust.llm import periodic, queries
+
+
+def plain_runs(words, least=24):
+    """All runs, by trying every period at every place."""
+    n, found = len(words), {}
+    for p in range(1, n // 3 + 1):
+        i = 0
+        while i + p < n:
+            j = i
+            while j + p < n and words[j] == words[j + p]:
+                j += 1
+            if j - i + p >= max(least, 3 * p):
+                found.setdefault((i, j - i + p), p)  # the smallest period comes first
+            i = j + 1
+    return sorted(((s, n, p) for (s, n), p in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def plain_row(doc_id, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n, h = len(words), zlib.crc32(str(doc_id).encode())
+    if doc_id is not None and h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    runs = plain_runs(words)
+    gone = {i for s, m, p in runs for i in range(s + p, s + m)}
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=(None,) * 3)
+    listed = "".join(f"{s},{m},{p}\n" for s, m, p in runs)
+    kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+    digest = [hashlib.sha256(x.encode()).hexdigest() for x in (listed, kept)]
+    return (doc_id, len(runs), *best, 1000 * best[1] // best[2] if runs else None, *digest)
+
+
+def brute_lyndon(s):
+    """Longest Lyndon words: up to the next smaller suffix."""
+    return [next((j - i for j in range(i + 1, len(s)) if s[j:] < s[i:]), len(s) - i) for i in range(len(s))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=60))
+def test_lyndon_array(symbols):
+    assert periodic.lyndon_lengths(symbols) == brute_lyndon(symbols)
+    assert periodic.lyndon_lengths([3 - s for s in symbols]) == brute_lyndon([3 - s for s in symbols])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from([b"a", b"b", b"c"]), min_size=1, max_size=9), st.integers(1, 9)), max_size=8))
+def test_runs_of_repeated_pieces(pieces):
+    words = [w for piece, times in pieces for w in piece * times]
+    for least in (6, 24):
+        assert periodic.find_runs(words, least) == plain_runs(words, least)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_runs_in_prose(seed):
+    rng = random.Random(seed)
+    words = []
+    for _ in range(12):
+        words += prose(rng, rng.randrange(1, 60), 50).encode().split()
+        root = prose(rng, rng.randrange(1, 40), 3).encode().split()
+        words += (root * 6)[: rng.randrange(len(root), 6 * len(root) + 1)]
+    assert periodic.find_runs(words) == plain_runs(words)
+
+
+def test_words_that_defeat_prefix_hashes():
+    """Sequences whose hashes agree although they differ (any base, arithmetic of 64 bits) change nothing."""
+    bits = [bin(i).count("1") % 2 for i in range(2_048)]
+    words = [b"ab"[b : b + 1] for b in bits + [1 - b for b in bits] + bits] + [b"c", b"d"] * 20
+    assert periodic.find_runs(words) == plain_runs(words)
+
+
+def test_linear_on_one_long_run():
+    words = [b"x", b"y", b"z"] * 100_000 + [b"x"]
+    assert periodic.find_runs(words) == [(0, 300_001, 3)]
+    assert periodic.find_runs([b"x"] * 200_000) == [(0, 200_000, 1)]
+
+
+def test_equals_brute_force(spark):
+    rng = random.Random(6)
+    rows = corpus() + [(1_000 + i, prose(rng, rng.randrange(150), 90)) for i in range(150)]
+    rows = [(d, t if len(t or "") < 20_000 else t[:6_000]) for d, t in rows]
+    rows += [(5, "na " * 24), (6, "na " * 23), (7, "a b c d e f g h " * 3), (8, "A a " * 30), (9, "é ß " * 12 + "  x")]
+    got = periodic.digests(docs(spark, rows)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted((plain_row(*r) for r in rows), key=str)
+    assert {r.doc_id: r.n_runs for r in got if r.doc_id in (5, 6, 7)}.keys() == {5, 6, 7}
+
+
+def test_whole_table(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    small = [r for r in rows if len(r.text or "") < 30_000]
+    got = {r.doc_id: tuple(r) for r in queries.op11_periodic(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    assert all(got[r.doc_id] == plain_row(*r) for r in small)
+
+
+def test_texts_and_odd_columns(spark):
+    assert periodic.collapse_runs(docs(spark, [])).count() == 0
+    odd = docs(spark, [(1, "go on " * 20 + "end"), (2, None)]).withColumns(
+        {c: F.lit(1) for c in ("_id", "runs", "start", "Best", "collapsed", "meta.url")}
+    )
+    got = {r.doc_id: r for r in periodic.collapse_runs(odd).collect()}
+    assert got[1].collapsed == "go on end" and [tuple(r) for r in got[1].runs] == [(0, 40, 2)]
+    assert got[2].collapsed == "" and got[2].runs == []
