@@ -129,14 +129,15 @@ def _runs_of(words: np.ndarray, min_words: int) -> set[Run]:
     n = len(words)
     at = np.arange(n)
     orders = [lyndon_lengths(order.tolist()) for order in (words, words.max() - words)]
-    found = np.unique(np.concatenate([np.stack((at, lengths), axis=1) for lengths in orders]), axis=0)
+    i, p = np.divmod(np.unique(np.concatenate([at * (n + 1) + lengths for lengths in orders])), n + 1)
     hashes = _Prefixes(words)
-    i, p = found[:, 0], found[:, 1]
     # Of three periods or more around a root one is whole to the right of it, or to the left.
     right, left = np.flatnonzero(i + 2 * p <= n), np.flatnonzero(i >= p)
     right = right[hashes.equal(i[right], i[right] + p[right], p[right])]
     left = left[hashes.equal(i[left] - p[left], i[left], p[left])]
     keep = np.union1d(right, left)
+    if not len(keep):
+        return set()
     i, p = i[keep], p[keep]
     start = i - hashes.extend(i, i + p, -1)
     end = i + p + hashes.extend(i, i + p, 1)
