@@ -64,17 +64,24 @@ def encode_text(enc: tiktoken.Encoding, text: str) -> np.ndarray:
     return np.concatenate(ids)
 
 
+def encode_whole(enc: tiktoken.Encoding, text: str) -> np.ndarray:
+    return enc.encode_to_numpy(text, disallowed_special=())
+
+
 def encode(docs: DataFrame, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, ids (little-endian unsigned 32-bit integers).
 
     ``ranks`` is a rank file that every executor can read, by default the one of the tokenizer package. A null text
-    counts as empty and has no ids; a null doc_id and repeated rows are passed on; other columns are left out.
+    counts as empty and has no ids; a null doc_id and repeated rows are passed on; other columns are left out. Long
+    texts are cut for the pattern of the package only, whose matches are known to end there; with any other ``pattern``
+    the library gets every text whole.
     """
+    to_ids = encode_text if pattern == public_tokenizers.PATTERN else encode_whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks or public_tokenizers.path(RANKS), pattern)
         for batch in batches:
-            ids = [encode_text(enc, text or "") for text in batch.column("text").to_pylist()]
+            ids = [to_ids(enc, text or "") for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),

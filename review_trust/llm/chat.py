@@ -82,6 +82,8 @@ def threads(parents: DataFrame) -> DataFrame:
         )
         current = cut(moved, "threads")
         done, active = done.unionByName(current.filter("arrived")), current.filter("NOT arrived")
+    else:
+        raise RuntimeError(f"reply chains of more than 2 ** {ROUNDS} messages")
     return done.select("conv_id", "turn", "reply_to", "root", "depth")
 
 

@@ -45,6 +45,26 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def field(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def leave_out(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``gone``: doc_id and, if it has it, doc (``text_key``); nulls count as equal.
+
+    The columns of ``docs`` are packed while it is joined, so none of their names can clash.
+    """
+    names = ["doc_id", "doc"][: len(gone.columns)]
+    packed = docs.select(
+        F.struct(*[field(c) for c in docs.columns]).alias("row"),
+        F.col("doc_id").alias("own_doc_id"),
+        text_key(F.col("text")).alias("own_doc"),
+    )
+    mine = [F.col(f"own_{c}").eqNullSafe(F.col(c)) for c in names]
+    return packed.join(broadcast_if_small(gone.select(*names)), mine, "left_anti").select("row.*")
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows; else as it is, for a shuffled join.
 

@@ -1,4 +1,4 @@
-"""Connected components by alternating stars, as joins and aggregates over the edge table."""
+"""Connected components by linking to hubs in turns, as joins and aggregates over the edge table."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _star(pairs: DataFrame, larger: bool) -> DataFrame:
+def _to_hub(pairs: DataFrame, larger: bool) -> DataFrame:
     """Link neighbours of every u to the smallest of u and its neighbours: the larger ones, or u and the smaller ones."""
     smallest = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     linked = pairs.join(smallest, "u")
@@ -30,14 +30,14 @@ def components(edges: DataFrame) -> DataFrame:
     """The smallest id reachable from every id in ``edges`` (u, v): columns id, component.
 
     Every round moves all neighbours of an id to its smallest neighbour, first the larger and then the smaller ones;
-    it ends when the edges are stars. Edges are aggregated before they are joined, and a hot id's edges are spread by
+    it ends when every edge leads to its component's hub. Edges are aggregated before they are joined, and a hot id's edges are spread by
     skewed joins, so no id's neighbours need to fit into one task. Loops, repeated edges and nulls change nothing.
     """
     current = cut(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     state = None
     for _ in range(MAX_ROUNDS):
-        large = _star(_both_ways(current), larger=True)
-        small = _star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), larger=False)
+        large = _to_hub(_both_ways(current), larger=True)
+        small = _to_hub(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), larger=False)
         current = cut(small, "edges")
         mixed = F.xxhash64("u", "v").cast("decimal(38,0)")
         new = current.agg(F.count("*"), F.sum(mixed)).first()

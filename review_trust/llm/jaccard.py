@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from review_trust.llm.common import broadcast_if_small, groups, text_key
+from review_trust.llm.common import broadcast_if_small, groups, leave_out, text_key
 from review_trust.llm.components import components
 from review_trust.llm.shingles import HASH_BITS, shingles, texts_words
 from review_trust.sources.artifacts import cut
@@ -410,5 +410,5 @@ def similar_documents(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, perce
 def keep_smallest(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id; all their columns stay."""
     similar = similar_documents(docs, shingle_words, percent)
-    extra = similar.filter("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(broadcast_if_small(cut(extra, "near-duplicates")), F.col("doc_id") == F.col("_id"), "left_anti")
+    extra = similar.filter("component_id < doc_id").select("doc_id").distinct()
+    return leave_out(docs, cut(extra, "near-duplicates"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from review_trust.llm.common import BLANKS, broadcast_if_small, text_key
+from review_trust.llm.common import BLANKS, broadcast_if_small, field, text_key
 from review_trust.sources.artifacts import cut, scratch_path
 
 MIN_CHARS = 40
@@ -86,7 +86,8 @@ class LineRuns:
 
     def add(self, batch: DataFrame) -> None:
         """Merge-anti-join a batch (doc_id, h) with the runs and add its own run."""
-        own = batch.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+        own = batch.select("doc_id", "h").distinct()
+        own = own.groupBy("h").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
         new = F.lit(True)
         for i, name in enumerate(n for level in self.levels for n in level):
             known = self.spark.table(name).select("h", F.lit(True).alias(f"known{i}"))
@@ -130,10 +131,22 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` (doc_id, text and others) with repeated long lines dropped, plus ``n_lines`` and ``n_dropped``.
 
-    ``text`` is replaced by the lines that stay. A null text is one empty line and comes out empty. Every row is a
-    document of its own; rows of equal doc_id that hold the same line all keep it if theirs is the largest doc_id.
-    A null doc_id is smaller than any other. Columns n_lines and n_dropped of the input are replaced.
+    ``text`` is replaced by the lines that stay. A null text is one empty line and comes out empty. Rows of equal doc_id
+    are one document: it counts once, and all of them keep a line if theirs is the largest doc_id. A null doc_id is
+    smaller than any other and counts as no document. Columns n_lines and n_dropped of the input are replaced.
     """
+    others = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return _deduped(docs, others, min_chars, min_docs, batches, counted=True)
+
+
+def keep_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+    """``docs`` with repeated long lines dropped from ``text`` as by ``dedup_lines``, all other columns as they are."""
+    return _deduped(docs, docs.columns, min_chars, min_docs, batches, counted=False)
+
+
+def _deduped(
+    docs: DataFrame, others: list[str], min_chars: int, min_docs: int, batches: int, counted: bool
+) -> DataFrame:
     spark = docs.sparkSession
     cuts = [
         c
@@ -158,20 +171,24 @@ def dedup_lines(
         F.col("keeper").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") < F.col("keeper")))
     )
     drops = losers.groupBy("doc_id", "doc").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("_drop"))
-    drops = drops.select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc"), "_drop").hint("shuffle_hash")
+    drops = drops.withColumnsRenamed({"doc_id": "_id", "doc": "_doc"}).hint("shuffle_hash")
     mine = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_doc"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     stay = F.array_except(F.sequence(F.lit(1), F.size("_lines")), F.transform("_drop", lambda p: p + 1))
     text = F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(
         F.array_join(F.transform(stay, lambda p: F.element_at("_lines", p)), "\n")
     )
-    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*others).join(drops, mine, "left").withColumn("_lines", lines)
-    return joined.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in others],
+    # Other columns are packed while the rows are joined, so none of their names can clash.
+    carried = [c for c in others if c not in ("doc_id", "text")]
+    row = [F.struct(*[field(c) for c in carried]).alias("_row")] if carried else []
+    joined = docs.select("doc_id", "text", *row).join(drops, mine, "left").withColumn("_lines", lines)
+    counts = [
         F.size("_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    ]
+    done = joined.select("doc_id", text.alias("text"), *counts, *(["_row"] if carried else []))
+    columns = [F.col(c) if c in ("doc_id", "text") else F.col("_row").getField(c).alias(c) for c in others]
+    return done.select(*columns, *(["n_lines", "n_dropped"] if counted else []))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from review_trust.llm.common import broadcast_if_small, let, text_key
+from review_trust.llm.common import leave_out, let, text_key
 from review_trust.sources.artifacts import cut
 
 # Documents the rules are fitted on at most; beyond that a sample by hash of about this size.
@@ -156,6 +156,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that are predicted to be of low quality, with all their columns."""
     scored = score_documents(docs, labels)
-    bad = scored.filter("predicted = 0").select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc")).distinct()
-    mine = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_doc"))
-    return docs.join(broadcast_if_small(cut(bad, "low-quality")), mine, "left_anti")
+    bad = scored.filter("predicted = 0").select("doc_id", "doc").distinct()
+    return leave_out(docs, cut(bad, "low-quality"))

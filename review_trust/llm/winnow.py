@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from review_trust.llm.common import broadcast_if_small, let, positions, text_key, words
+from review_trust.llm.common import broadcast_if_small, leave_out, let, positions, text_key, words
 from review_trust.sources.artifacts import cut
 
 WINDOW = 10
@@ -164,9 +164,8 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that share a span with the benchmark; all their columns and repeated rows stay."""
-    hit = shared_spans(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc")).distinct()
-    mine = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_doc"))
-    return docs.join(broadcast_if_small(cut(hit, "contaminated")), mine, "left_anti")
+    hit = shared_spans(docs, benchmark).select("doc_id", "doc").distinct()
+    return leave_out(docs, cut(hit, "contaminated"))
 
 
 SQL = r"""

@@ -60,3 +60,11 @@ def test_empty_table_and_columns(spark):
 def test_runs_are_dropped(spark):
     lines.dedup_lines(docs(spark, repeated_lines(3, 30))).count()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_documents_count_once_however_many_rows_they_have(spark):
+    line = "a line that is certainly long enough to count"
+    got = lines.digests(docs(spark, [(9, line)] * 4 + [(3, line)])).collect()
+    assert all(r.n_dropped == 0 for r in got)
+    got = lines.digests(docs(spark, [(i, line) for i in (9, 9, 9, 3, 4, 5, 6)])).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in got) == [(3, 1), (4, 1), (5, 1), (6, 1), (9, 0), (9, 0), (9, 0)]

@@ -44,6 +44,14 @@ def test_very_long_texts():
         assert bpe.encode_text(enc(), text).tolist() == enc().encode_ordinary(text)
 
 
+def test_another_pattern_gets_whole_texts(spark):
+    pattern = r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s+(?!\S)|\s+"
+    own = bpe.encoding(public_tokenizers.path(bpe.RANKS), pattern)
+    texts = ["a!!" + "\n" * 1_500 + "b", "word. " * 20_000 + "!" * 30 + "\n" * 40, ""]
+    got = {r.doc_id: r.ids for r in bpe.encode(docs(spark, list(enumerate(texts))), pattern=pattern).collect()}
+    assert [np.frombuffer(got[i], "<u4").tolist() for i in range(3)] == [own.encode_ordinary(t) for t in texts]
+
+
 def test_empty_table_and_ids(spark):
     assert bpe.digests(docs(spark, [])).count() == 0
     rows = bpe.encode(docs(spark, list(enumerate(SMALL)))).collect()

@@ -27,6 +27,17 @@ def test_awkward_rows_keep_their_columns(spark, name):
     assert empty.columns == source.columns and empty.count() == 0
 
 
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES[:-1]])
+def test_columns_of_any_name_pass_through(spark, name):
+    names = ("_id", "_doc", "_drop", "_lines", "_row", "row", "own_doc_id", "meta.url", "N_Lines", "n_dropped", "a`b", "h")
+    source = documents(spark, corpus()).drop("h", "n_lines")
+    source = source.select(*[F.lit(n).alias(n) for n in names], *source.columns)
+    kept = dict(corpus_pipeline.STAGES)[name](spark, source, SF)
+    assert kept.columns == source.columns and kept.schema.simpleString() == source.schema.simpleString()
+    rows = kept.collect()
+    assert rows and all(tuple(r[: len(names)]) == names for r in rows)
+
+
 def test_last_stage(spark):
     rows = corpus()
     got = corpus_pipeline.byte_bpe(spark, documents(spark, rows), SF)
