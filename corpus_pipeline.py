@@ -22,7 +22,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that repeat across documents; a document stays even if no line is left. n_chars is counted anew."""
     session(spark)
-    kept = lines.dedup_lines(docs).select(*docs.columns)
+    kept = lines.keep_lines(docs)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
