@@ -29,7 +29,7 @@ HEADLINE = (
     "temporal_split",
     "rank_baseline",
     "rank_trust",
-    "rank_trust_cells",
+    "rank_trust_rounds",
     "rank_metrics",
     "metric_delta",
     "rank_shift",

@@ -3,25 +3,27 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from review_trust.functions.vectors import best_columns, matrix, unit_rows
+from review_trust.functions.vectors import SCORE_DIGITS, best_columns, matrix, unit_rows
 from review_trust.operators.skew import fits_broadcast, salted_join
 from review_trust.schema import BASELINE, ITEM, TRUST, USER
-from review_trust.sources.artifacts import cut
+from review_trust.sources.artifacts import Scratch, cut
 
-# Item vectors up to this size are broadcast; larger catalogues stream past groups of users.
+# Item vectors up to this size are broadcast; larger catalogues are broadcast in blocks of this size, one by one.
 BROADCAST_BYTES = 64 << 20
 ID_BYTES = 64
-# Vectors of a group of users; smaller groups are made only to give every core one of some users.
-GROUP_BYTES = 128 << 20
-GROUP_USERS = 4096
+# Groups of similar items that are skipped together, and cells they come from.
+TILE_ITEMS = 4096
+MAX_CELLS = 4096
 # Users x items scored at a time inside a task: 16 MB of float64.
 CHUNK_SCORES = 2 << 20
 
@@ -94,116 +96,204 @@ def _rank_broadcast(users: DataFrame, items: DataFrame, k: int) -> DataFrame:
     return users.mapInArrow(rank, _CANDIDATES + ", rank int")
 
 
-class _Best:
-    """The running ``k`` best items of a group of users, for one variant."""
+class _Tile(NamedTuple):
+    """Items of one cell in id order, with what bounds their similarity to a user."""
 
-    def __init__(self, n_users: int, k: int):
-        self.scores = np.full((n_users, k), -np.inf)
-        self.ids = np.full((n_users, k), None, dtype=object)
+    order: np.ndarray
+    ids: np.ndarray
+    vectors: np.ndarray
+    trust: np.ndarray
+    center: np.ndarray
+    cosine: float  # of the widest angle between the center and a vector
+    best_trust: float
 
-    def add(self, scores: np.ndarray, ids: np.ndarray, first: int) -> None:
-        """Merge a block's scores of the users from ``first`` on; its ids follow all those seen before."""
-        k = self.scores.shape[1]
-        rows, columns, values, ranks = best_columns(scores, k)
-        own = slice(first, first + len(scores))
-        block = np.full((len(scores), k), -np.inf)
-        names = np.full((len(scores), k), None, dtype=object)
-        block[rows, ranks - 1], names[rows, ranks - 1] = values, ids[columns]
-        both = np.concatenate((self.scores[own], block), axis=1)
-        order = np.argsort(-both, axis=1, kind="stable")[:, :k]
-        self.scores[own] = np.take_along_axis(both, order, axis=1)
-        self.ids[own] = np.take_along_axis(np.concatenate((self.ids[own], names), axis=1), order, axis=1)
-
-
-class _Group:
-    """A group of users that is scored against the items as they stream by in the order of their ids."""
-
-    def __init__(self, users: list[pa.Table], k: int):
-        table = pa.concat_tables(users)
-        self.ids = table.column("id").combine_chunks()
-        self.vectors = unit_rows(matrix(table.column("profile")))
-        self.best = {variant: _Best(len(self.ids), k) for variant in (BASELINE, TRUST)}
-
-    def score(self, items: pa.Table) -> None:
-        ids = items.column("id").to_numpy(zero_copy_only=False)
-        vectors, trust = unit_rows(matrix(items.column("profile"))), items.column("item_trust_factor").to_numpy()
-        step = max(1, CHUNK_SCORES // len(ids))
-        for first in range(0, len(self.ids), step):
-            similarity = np.maximum(self.vectors[first : first + step] @ vectors.T, 0.0)
-            self.best[BASELINE].add(similarity, ids, first)
-            self.best[TRUST].add(similarity * trust, ids, first)
-
-    def result(self) -> Iterator[pa.RecordBatch]:
-        for variant, best in self.best.items():
-            rows, ranks = np.nonzero(best.scores > -np.inf)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([variant] * len(rows), pa.string()),
-                    self.ids.take(pa.array(rows)),
-                    pa.array(best.ids[rows, ranks], pa.string()),
-                    pa.array(best.scores[rows, ranks]),
-                    pa.array((ranks + 1).astype(np.int32)),
-                ],
-                names=["variant", USER, ITEM, "score", "rank"],
-            )
 
+def _tile(rows: pa.Table) -> _Tile:
+    vectors = unit_rows(matrix(rows.column("profile")))
+    center = unit_rows(vectors.sum(axis=0, keepdims=True))[0]
+    trust = rows.column("item_trust_factor").to_numpy()
+    ids = rows.column(ITEM).to_numpy(zero_copy_only=False)
+    cosine = float(np.clip((vectors @ center).min(), -1.0, 1.0))
+    return _Tile(rows.column("order").to_numpy(), ids, vectors, trust, center, cosine, float(trust.max()))
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pa.Table]]:
-    """Parts of sorted batches in which the keys are equal, with the keys."""
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if not table.num_rows:
-            continue
-        columns = [table.column(k).to_numpy() for k in keys]
-        changes = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        bounds = [0, *changes.tolist(), table.num_rows]
-        for start, end in zip(bounds, bounds[1:]):
-            yield tuple(c[start] for c in columns), table.slice(start, end - start)
 
+def _tiles(block: pa.Table) -> list[_Tile]:
+    block = block.sort_by([("tile", "ascending"), ("order", "ascending")])
+    number = block.column("tile").to_numpy()
+    bounds = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+    return [_tile(block.slice(a, b - a)) for a, b in zip(bounds, bounds[1:])]
 
-def _rank_streamed(users: DataFrame, items: DataFrame, n_users: int, dim: int, k: int) -> DataFrame:
-    """Exact top-K for catalogues too large to broadcast.
 
-    Users are dealt once into groups whose vectors fit ``GROUP_BYTES``; every group is sent the items, a task holds one
-    group and one batch of items at a time, and each user's best ``k`` are kept as the items stream by. No user vector
-    is repeated, no row per (user, item block) is written, and the result leaves as ``k`` rows per user and variant.
+class _Best:
+    """The best ``k`` items so far of a batch of users, for one variant; empty places have a score of -inf."""
+
+    def __init__(self, n_users: int, k: int):
+        self.scores = np.full((n_users, k), -np.inf)
+        self.order = np.full((n_users, k), np.iinfo(np.int64).max)
+        self.ids = np.full((n_users, k), None, dtype=object)
+
+    def load(self, batch: pa.RecordBatch, variant: str) -> None:
+        size = pc.list_value_length(batch.column(f"{variant}_order")).to_numpy()
+        rows = np.repeat(np.arange(len(size)), size)
+        places = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
+        for name, into in (("score", self.scores), ("order", self.order), ("id", self.ids)):
+            into[rows, places] = batch.column(f"{variant}_{name}").flatten().to_numpy(zero_copy_only=False)
+
+    def save(self) -> list[pa.Array]:
+        full = self.scores > -np.inf
+        ends = pa.array(np.concatenate(([0], np.cumsum(full.sum(axis=1)))).astype(np.int32))
+        kinds = ((self.scores, pa.float64()), (self.order, pa.int64()), (self.ids, pa.string()))
+        return [pa.ListArray.from_arrays(ends, pa.array(values[full], kind)) for values, kind in kinds]
+
+    def least(self) -> np.ndarray:
+        """What a score must reach to matter; rounding may still lift it by one unit of the last digit."""
+        return self.scores[:, -1] - 2.0 * 10.0**-SCORE_DIGITS
+
+    def add(self, users: np.ndarray, scores: np.ndarray, tile: _Tile) -> None:
+        """Merge the scores of some users (rows) with all items of the tile (columns)."""
+        k = self.scores.shape[1]
+        hopeful = np.flatnonzero(scores.max(axis=1) >= self.least()[users])
+        users = users[hopeful]
+        rows, columns, values, ranks = best_columns(scores[hopeful], k)
+        new = [np.full((len(users), k), fill, dtype) for fill, dtype in ((-np.inf, None), (0, np.int64), (None, object))]
+        for into, what in zip(new, (values, tile.order[columns], tile.ids[columns])):
+            into[rows, ranks - 1] = what
+        both = [np.concatenate((old[users], x), axis=1) for old, x in zip((self.scores, self.order, self.ids), new)]
+        by_id = np.argsort(both[1], axis=1, kind="stable")
+        by_score = np.argsort(-np.take_along_axis(both[0], by_id, axis=1), axis=1, kind="stable")[:, :k]
+        chosen = np.take_along_axis(by_id, by_score, axis=1)
+        for old, x in zip((self.scores, self.order, self.ids), both):
+            old[users] = np.take_along_axis(x, chosen, axis=1)
+
+
+def _score_tiles(vectors: np.ndarray, tiles: list[_Tile], best: dict[str, _Best]) -> None:
+    """Score a batch of users against tiles, leaving out those that cannot change a user's best items.
+
+    No item of a tile is nearer to the user than the tile's center less its widest angle.
     """
-    cores = users.sparkSession.sparkContext.defaultParallelism
-    by_size = math.ceil(n_users * (dim * 8 + ID_BYTES) / GROUP_BYTES)
-    n_groups = max(by_size, min(cores, math.ceil(n_users / GROUP_USERS)), 1)
-    of_user = F.pmod(F.xxhash64(USER), F.lit(n_groups)).cast("int")
-    side = users.select(
-        of_user.alias("part"),
-        F.lit(0).alias("kind"),
-        F.col(USER).alias("id"),
-        "profile",
-        F.lit(1.0).alias("item_trust_factor"),
-    )
-    sent = items.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("part"),
-        F.lit(1).alias("kind"),
-        F.col(ITEM).alias("id"),
-        "profile",
-        "item_trust_factor",
-    )
+    if not len(vectors):
+        return
+    centers = np.clip(vectors @ np.stack([t.center for t in tiles]).T, -1.0, 1.0)
+    inside = np.array([t.cosine for t in tiles])
+    across = np.sqrt(1.0 - centers**2) * np.sqrt(1.0 - inside**2)
+    reach = np.where(centers >= inside, 1.0, centers * inside + across) + 1e-9
+    reach = np.maximum(reach, 0.0)
+    for t in np.argsort(-reach.mean(axis=0)):
+        tile = tiles[t]
+        trusted = np.maximum(reach[:, t] * tile.best_trust, 0.0)
+        users = np.flatnonzero((reach[:, t] >= best[BASELINE].least()) | (trusted >= best[TRUST].least()))
+        step = max(1, CHUNK_SCORES // len(tile.ids))
+        for first in range(0, len(users), step):
+            some = users[first : first + step]
+            similarity = np.maximum(vectors[some] @ tile.vectors.T, 0.0)
+            best[BASELINE].add(some, similarity, tile)
+            best[TRUST].add(some, similarity * tile.trust, tile)
+
+
+_STATE = ", ".join(
+    f"{variant}_{name} array<{kind}>"
+    for variant in (BASELINE, TRUST)
+    for name, kind in (("score", "double"), ("order", "bigint"), ("id", "string"))
+)
+
+
+def _blocks(items: DataFrame, n_items: int, dim: int, block_bytes: int) -> tuple[DataFrame, int]:
+    """The items in cells of similar ones, cut into tiles and these packed into blocks: ``order``, ``tile``, ``block``.
+
+    The centers of the cells are items picked by a hash, at most ``MAX_CELLS``; they decide what is skipped, not what is
+    found. ``order`` grows with the id.
+    """
+    spark = items.sparkSession
+    n_cells = min(MAX_CELLS, math.ceil(math.sqrt(n_items) / 4))
+    picked = items.orderBy(F.xxhash64(ITEM), ITEM).limit(n_cells).select("profile").toArrow()  # at most MAX_CELLS rows
+    centers = spark.sparkContext.broadcast(unit_rows(matrix(picked.column("profile"))))
 
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, waiting, group = None, [], None
-        for (this, kind), rows in _runs(batches, ("part", "kind")):
-            if this != part:
-                if group:
-                    yield from group.result()
-                part, waiting, group = this, [], None
-            if kind == 0:
-                waiting.append(rows)
-            elif waiting:
-                group = group or _Group(waiting, k)
-                group.score(rows)
-        if group:
-            yield from group.result()
-
-    dealt = side.unionByName(sent).repartition(n_groups, "part").sortWithinPartitions("part", "kind", "id")
-    return dealt.mapInArrow(rank, _CANDIDATES + ", rank int")
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = unit_rows(matrix(batch.column("profile")))
+            cells = (vectors @ centers.value.T).argmax(axis=1) if len(vectors) else np.zeros(0)
+            columns = [*batch.columns, pa.array(cells.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "cell"])
+
+    ordered = items.repartitionByRange(ITEM).sortWithinPartitions(ITEM).withColumn("order", F.monotonically_increasing_id())
+    kinds = f"{ITEM} string, profile array<double>, item_trust_factor double, `order` bigint, cell int"
+    celled = cut(ordered.mapInArrow(nearest, kinds), "cells")
+    rows = max(1, block_bytes // (dim * 8 + ID_BYTES))
+    place, block, filled, n_tiles = [], 0, 0, 0
+    for cell, n in celled.groupBy("cell").count().orderBy("cell").collect():  # at most MAX_CELLS rows
+        parts = math.ceil(n / min(rows, TILE_ITEMS))
+        for part in range(parts):
+            size = math.ceil(n / parts)
+            if filled and filled + size > rows:
+                block, filled = block + 1, 0
+            place.append((cell, part, parts, n_tiles, block))
+            filled, n_tiles = filled + size, n_tiles + 1
+    places = spark.createDataFrame(place, "cell int, part int, parts int, tile int, block int")
+    parts = F.broadcast(places.select("cell", "parts").distinct())
+    part = F.pmod(F.xxhash64(ITEM), F.col("parts")).cast("int").alias("part")
+    spread = celled.join(parts, "cell").select(*celled.columns, part)
+    return spread.join(places.drop("parts"), ["cell", "part"]).drop("cell", "part"), block + 1
+
+
+def _rank_in_rounds(users: DataFrame, items: DataFrame, n_items: int, dim: int, k: int, block_bytes: int) -> DataFrame:
+    """Exact top-K for catalogues too large to broadcast at once.
+
+    Blocks of items are broadcast one after the other. Users stay where they are: a round reads them with their best
+    items so far and writes both again, so what moves is every item once to every executor, whatever the number of
+    users. A batch of users skips the tiles that cannot change its best items.
+    """
+    spark = users.sparkSession
+    placed, n_blocks = _blocks(items, n_items, dim, block_bytes)
+    if n_blocks > 1:  # a round reads the folder of its block only
+        placed = cut(placed.repartition("block"), "blocks", ("block",))
+    state = None
+
+    def round_of(tiles: Broadcast, first: bool, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                best = {variant: _Best(batch.num_rows, k) for variant in (BASELINE, TRUST)}
+                if not first:
+                    for variant, b in best.items():
+                        b.load(batch, variant)
+                _score_tiles(unit_rows(matrix(batch.column("profile"))), tiles.value, best)
+                if last:
+                    yield from _listed(batch.column(USER), best)
+                    continue
+                arrays = [batch.column(USER), batch.column("profile"), *best[BASELINE].save(), *best[TRUST].save()]
+                names = [USER, "profile", *(c.split()[0] for c in _STATE.split(", "))]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+        return run
+
+    for block in range(n_blocks):
+        last = block == n_blocks - 1
+        # About block_bytes: a hash deals the items of a large cell to its tiles.
+        tiles = spark.sparkContext.broadcast(_tiles(placed.filter(F.col("block") == block).toArrow()))
+        kinds = f"{_CANDIDATES}, rank int" if last else f"{USER} string, profile array<double>, {_STATE}"
+        before = state.table if state else users
+        after = before.mapInArrow(round_of(tiles, block == 0, last), kinds)
+        if last:
+            return after
+        old, state = state, Scratch(after, "best-items")
+        tiles.unpersist()
+        if old:
+            old.remove()
+    raise AssertionError("no block")
+
+
+def _listed(users: pa.Array, best: dict[str, _Best]) -> Iterator[pa.RecordBatch]:
+    for variant, b in best.items():
+        rows, ranks = np.nonzero(b.scores > -np.inf)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([variant] * len(rows), pa.string()),
+                users.take(pa.array(rows)),
+                pa.array(b.ids[rows, ranks], pa.string()),
+                pa.array(b.scores[rows, ranks]),
+                pa.array((ranks + 1).astype(np.int32)),
+            ],
+            names=["variant", USER, ITEM, "score", "rank"],
+        )
 
 
 def rank_items(
@@ -212,12 +302,14 @@ def rank_items(
     trust_factors: DataFrame,
     top_k: int = 10,
     broadcast_bytes: int = BROADCAST_BYTES,
+    block_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Both rankings of ``top_k`` items per user as (variant, user, rank, item, score).
 
     The score is the cosine of the profiles, not below 0; the ``trust`` variant
     multiplies it by the item's trust factor, 1.0 where there is none. Items a
-    user has already reviewed stay in. Equal scores rank by item id.
+    user has already reviewed stay in. Equal scores rank by item id. Item vectors of more than ``broadcast_bytes`` are
+    broadcast in blocks of ``block_bytes``, with the same result.
     """
     items = cut(
         item_profiles.join(trust_factors, ITEM, "left").select(
@@ -234,6 +326,5 @@ def rank_items(
     elif n_items * (dim * 8 + ID_BYTES) <= broadcast_bytes:
         ranked = _rank_broadcast(users, items, top_k)
     else:
-        users = cut(users, "users")
-        ranked = _rank_streamed(users, items, users.count(), dim, top_k)
+        ranked = _rank_in_rounds(cut(users, "users"), items, n_items, dim, top_k, block_bytes)
     return ranked.select("variant", USER, "rank", ITEM, "score")

@@ -349,7 +349,7 @@ pages_reviews AS (
         ),
         "rank_baseline": _sql([*_BASE, _BASELINE], f"{scores} base"),
         "rank_trust": _sql([*_BASE, _TRUSTED], f"{scores} trusted"),
-        "rank_trust_cells": _sql([*_BASE, _TRUSTED], f"{scores} trusted"),
+        "rank_trust_rounds": _sql([*_BASE, _TRUSTED], f"{scores} trusted"),
         "temporal_split": _sql(
             [_REVIEWS, _SPLIT],
             "SELECT user_id, parent_asin, timestamp, 'train' AS part FROM train UNION ALL "

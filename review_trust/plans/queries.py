@@ -286,8 +286,8 @@ def rank_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def rank_trust_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same ranking by the search for catalogues that are not broadcast."""
+def rank_trust_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranking by rounds over broadcast blocks, as for catalogues too large to broadcast at once."""
     return _scores(_evaluation(spark, sf_dir, broadcast_bytes=0)[0], TRUST)
 
 

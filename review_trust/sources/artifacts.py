@@ -75,22 +75,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a scratch table and read it back.
+def cut(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as a scratch table, in folders by ``partition_by``, and read it back.
 
     The result has no lineage to recompute when an executor is lost, is pruned
     by column like any Parquet table, and has known file sizes for planning.
     """
-    return Scratch(df, name).table
+    return Scratch(df, name, partition_by).table
 
 
 class Scratch:
     """A scratch table that can be removed once nothing reads it any more."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()):
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark, name)
-        df.write.parquet(self.path)
+        df.write.partitionBy(*partition_by).parquet(self.path)
         self.table = self.spark.read.schema(df.schema).parquet(self.path)
 
     def remove(self) -> None:

@@ -95,7 +95,7 @@ def test_empty_catalogue(spark):
 @pytest.mark.parametrize("spread", [0.02, 10.0])
 def test_matches_brute_force(spark, monkeypatch, limit, spread):
     """Tight clusters and none; a third of the items share one vector, so ties cross the batches."""
-    monkeypatch.setattr(ranking, "GROUP_USERS", 7)
+    monkeypatch.setattr(ranking, "TILE_ITEMS", 17)
     monkeypatch.setattr(ranking, "CHUNK_SCORES", 500)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 6))
@@ -106,44 +106,61 @@ def test_matches_brute_force(spark, monkeypatch, limit, spread):
     weights = {i: round(float(rng.uniform()), 3) for i in items if i != "i3"}
     factors = spark.createDataFrame(list(weights.items()), FACTORS)
     ranked = rank_items(
-        profiles(spark, "user_id", users), profiles(spark, "parent_asin", items), factors, top_k=7, broadcast_bytes=limit
+        profiles(spark, "user_id", users),
+        profiles(spark, "parent_asin", items),
+        factors,
+        top_k=7,
+        broadcast_bytes=limit,
+        block_bytes=80 * (6 * 8 + ranking.ID_BYTES),
     ).cache()
     for variant in (BASELINE, TRUST):
         same(lists(ranked, variant), brute_force(users, items, weights, 7, variant))
 
 
-def test_only_items_are_repeated(spark, monkeypatch):
-    """Each user crosses the shuffle once, each item once per group of users, and nothing is written on the way."""
-    monkeypatch.setattr(ranking, "GROUP_USERS", 10)
-    sent, stored = [], []
-    real = ranking.cut
-    monkeypatch.setattr(ranking, "cut", lambda df, name: stored.append(name) or real(df, name))
-    stream = ranking._runs
+def test_users_stay_in_place(spark, monkeypatch):
+    """No exchange moves a user, and every block is broadcast once."""
+    monkeypatch.setattr(ranking, "TILE_ITEMS", 5)
+    plans, sent = [], []
+    real, tiles = ranking.Scratch, ranking._tiles
 
-    def watch(batches, keys):
-        for key, rows in stream(batches, keys):
-            sent.append((key, rows))
-            yield key, rows
+    def scratch(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name)
 
+    monkeypatch.setattr(ranking, "Scratch", scratch)
+    monkeypatch.setattr(ranking, "_tiles", lambda block: sent.append(block.num_rows) or tiles(block))
     rng = np.random.default_rng(6)
     items = {f"i{n}": rng.normal(size=4) for n in range(50)}
     users = {f"u{n}": rng.normal(size=4) for n in range(40)}
     args = profiles(spark, "user_id", users), profiles(spark, "parent_asin", items), spark.createDataFrame([], FACTORS)
-    ranked = rank_items(*args, top_k=5, broadcast_bytes=0)
-    assert stored == ["items", "users"]
-    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("RepartitionByExpression") == 1 and plan.count("Generate explode") == 1 and "Join" not in plan
-    same(lists(ranked, BASELINE), brute_force(users, items, {}, 5, BASELINE))
-    # The task itself: users of two groups, items in two batches each.
-    table = lambda part, kind, ids, vectors: pa.RecordBatch.from_pydict(
+    ranked = rank_items(*args, top_k=5, broadcast_bytes=0, block_bytes=16 * (4 * 8 + ranking.ID_BYTES))
+    assert sum(sent) == 50 and max(sent) <= 32 and [name for name, _ in plans] == ["best-items"] * (len(sent) - 1)
+    for plan in [p for _, p in plans] + [ranked._jdf.queryExecution().executedPlan().toString()]:
+        assert "Exchange" not in plan and "Join" not in plan
+    for variant in (BASELINE, TRUST):
+        same(lists(ranked, variant), brute_force(users, items, {}, 5, variant))
+
+
+def test_tiles_out_of_reach_are_skipped(monkeypatch):
+    """Users near one center never see the items around the others."""
+    rng = np.random.default_rng(8)
+    centers = np.eye(6)
+    vectors = ranking.unit_rows(np.repeat(centers, 50, axis=0) + 0.01 * rng.normal(size=(300, 6)))
+    block = pa.table(
         {
-            "part": pa.array([part] * len(ids), pa.int32()),
-            "kind": pa.array([kind] * len(ids), pa.int32()),
-            "id": ids,
-            "profile": vectors,
-            "item_trust_factor": [1.0] * len(ids),
+            "order": np.arange(300),
+            "tile": np.repeat(np.arange(6), 50).astype(np.int32),
+            "parent_asin": [f"i{n:03}" for n in range(300)],
+            "profile": pa.array(vectors.tolist()),
+            "item_trust_factor": np.full(300, 1.0),
         }
     )
-    batches = [table(0, 0, ["u"], [[1.0, 0.0]]), table(0, 1, ["a"], [[0.0, 1.0]]), table(0, 1, ["b"], [[1.0, 0.0]])]
-    parts = list(watch(iter(batches), ("part", "kind")))
-    assert [(int(p), int(k), t.num_rows) for (p, k), t in parts] == [(0, 0, 1), (0, 1, 1), (0, 1, 1)]
+    seen = []
+    add = ranking._Best.add
+    monkeypatch.setattr(ranking._Best, "add", lambda self, u, s, t: seen.append((len(u), s.shape)) or add(self, u, s, t))
+    users = ranking.unit_rows(np.repeat(centers[:2], 30, axis=0) + 0.01 * rng.normal(size=(60, 6)))
+    best = {v: ranking._Best(60, 10) for v in (BASELINE, TRUST)}
+    ranking._score_tiles(users, ranking._tiles(block), best)
+    assert sum(n for n, _ in seen) <= 2 * 60 * 2  # the own tile, and the other one of the batch where it comes first
+    want = np.argsort(-np.round(users @ vectors.T, 9), axis=1, kind="stable")[:, :10]
+    assert (best[BASELINE].order == want).all()
