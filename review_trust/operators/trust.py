@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from review_trust.config import FOREST_SAMPLE, FOREST_TREES, SEED
@@ -16,7 +16,8 @@ from review_trust.sources.artifacts import cut
 
 EULER_GAMMA = 0.5772156649015329
 
-_NODES = "tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
+# Decimals of a feature that the forest looks at.
+FEATURE_DIGITS = 9
 
 
 def feature_columns(features: DataFrame) -> list[str]:
@@ -54,59 +55,88 @@ def mean_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, path, np.where(n == 2, 1.0, 0.0))
 
 
-def _grow(tree: int, rows: np.ndarray, seed: int) -> pd.DataFrame:
-    """One isolation tree: random feature, uniform threshold, depth at most log2 of the sample."""
-    rng = np.random.default_rng([seed, tree])
-    limit = math.ceil(math.log2(max(len(rows), 2)))
-    nodes: list[list] = []
-    pending = [(rows, 0, None, None)]
-    while pending:
-        part, depth, parent, side = pending.pop()
-        number = len(nodes)
-        nodes.append([tree, number, -1, 0.0, -1, -1, len(part), depth])
-        if parent is not None:
-            nodes[parent][side] = number
-        low, high = part.min(axis=0), part.max(axis=0)
-        varying = np.flatnonzero(high > low)
-        if depth == limit or not len(varying):
-            continue
-        feature = int(rng.choice(varying))
-        threshold = rng.uniform(low[feature], high[feature])
-        if threshold >= high[feature]:  # rounding in a very narrow range; both sides must get rows
-            threshold = low[feature]
-        goes_left = part[:, feature] <= threshold
-        nodes[number][2:4] = [feature, threshold]
-        pending.append((part[~goes_left], depth + 1, number, 5))
-        pending.append((part[goes_left], depth + 1, number, 4))
-    return pd.DataFrame(nodes, columns=[field.split()[0] for field in _NODES.split(", ")])
+def _digest(seed: int, *parts: Column | str) -> Column:
+    """32 hex digits that depend on the seed and the parts only, in place of a random stream."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(p) if isinstance(p, str) else p for p in parts]))
 
 
-def _fit(points: DataFrame, n_trees: int, sample: int, share: float, seed: int) -> pd.DataFrame:
-    """Grow all trees on their own samples, one group of ``sample`` rows per tree.
+def _sampled(points: DataFrame, n_trees: int, sample: int, share: float, seed: int) -> DataFrame:
+    """The ``sample`` users with the smallest digest of (tree, user) for every tree: tree, x.
 
-    Each tree takes the ``sample`` users with the smallest hash of (user, tree).
-    Only users whose hash lies in the lowest ``share`` are passed on, so about
-    ``n_trees * sample`` times a small factor rows are shuffled, not
-    ``n_trees * n``, and the choice does not depend on partitioning.
+    Only users whose digest lies in the lowest ``share`` are passed on, so about ``n_trees * sample`` times a small
+    factor rows are shuffled, not ``n_trees * n``, and the choice does not depend on partitioning.
     """
+    limit = f"{min(2**64 - 1, int(share * 2**64)):016x}"
     trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-    limit = min(2**63 - 1, int(share * 2**64) - 2**63)
-    drawn = points.withColumn(
-        "draw",
-        F.explode(
-            F.filter(
-                F.transform(trees, lambda t: F.struct(t.alias("tree"), F.xxhash64(USER, t, F.lit(seed)).alias("h"))),
-                lambda d: d["h"] <= F.lit(limit),
-            )
-        ),
-    ).select("draw.tree", "draw.h", USER, "x")
-
-    def grow(group: pd.DataFrame) -> pd.DataFrame:
-        chosen = group.sort_values(["h", USER]).head(sample)
-        return _grow(int(chosen["tree"].iloc[0]), np.vstack(chosen["x"]), seed)
+    drawn = F.transform(
+        trees,
+        lambda t: F.struct(t.alias("tree"), F.substring(_digest(seed, t.cast("string"), USER), 1, 16).alias("draw")),
+    )
+    drawn = points.select(USER, "x", F.explode(F.filter(drawn, lambda d: d["draw"] <= limit)).alias("d"))
+    order = Window.partitionBy("tree").orderBy("draw", USER)
+    ranked = drawn.select("d.*", USER, "x").withColumn("place", F.row_number().over(order))
+    return ranked.filter(F.col("place") <= sample).select("tree", "x")
+
+
+def _grown(rows: DataFrame, dim: int, limit: int, seed: int) -> DataFrame:
+    """The isolation trees of sampled ``rows`` (tree, x): tree, node, splits and the leaf's size, per row.
+
+    All trees grow by a level at once. The nodes of a tree are numbered from 1, the children of ``n`` are ``2 n`` and
+    ``2 n + 1``. The digest of seed, tree and node decides on the feature, among those that vary in the node, and on the
+    threshold, evenly in the feature's range. The rows are shuffled once, by tree; a level is a window over each node.
+    """
+    rows = rows.select("tree", "x", F.lit(1).alias("node"), F.lit(False).alias("leaf"), F.array().cast(_SPLITS).alias("splits"))
+    node = Window.partitionBy("tree", "node")
+    for _ in range(limit):
+        element = [F.get("x", F.lit(i)) for i in range(dim)]
+        rows = rows.withColumns(
+            {
+                "low": F.array(*[F.min(e).over(node) for e in element]),
+                "high": F.array(*[F.max(e).over(node) for e in element]),
+            }
+        )
+        varying = F.filter(
+            F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: ~F.col("leaf") & (F.get("high", i) > F.get("low", i))
+        )
+        rows = rows.withColumns({"varying": varying, "digest": _digest(seed, F.col("tree").cast("string"), F.col("node").cast("string"))})
+        pick = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * F.size("varying")
+        rows = rows.withColumn("feature", F.get("varying", F.shiftright(pick, 32).cast("int")))
+        part = F.conv(F.substring("digest", 9, 13), 16, 10).cast("double") / float(1 << 52)
+        low, high = F.get("low", F.col("feature")), F.get("high", F.col("feature"))
+        at = low + part * (high - low)
+        # Rounding in a very narrow range; both sides must get rows.
+        rows = rows.withColumn("threshold", F.when(at >= high, low).otherwise(at))
+        right = (F.get("x", F.col("feature")) > F.col("threshold")).cast("int")
+        split = F.struct("node", "feature", "threshold")
+        inner = F.col("feature").isNotNull()
+        rows = rows.select(
+            "tree",
+            "x",
+            F.when(inner, 2 * F.col("node") + right).otherwise(F.col("node")).alias("node"),
+            (~inner).alias("leaf"),
+            F.when(inner, F.concat("splits", F.array(split))).otherwise(F.col("splits")).alias("splits"),
+        )
+    return rows.select("tree", "node", "splits", F.count("*").over(node).alias("size"))
+
+
+_SPLITS = "array<struct<node:int,feature:int,threshold:double>>"
 
+
+def _fit(points: DataFrame, n_trees: int, sample: int, share: float, seed: int) -> pd.DataFrame:
+    """All trees as one table: tree, node, feature (-1 in a leaf), threshold, size (0 in an inner node), by tree and node."""
+    dim = points.select(F.max(F.size("x"))).first()[0]
+    limit = math.ceil(math.log2(max(sample, 2)))
+    grown = cut(_grown(_sampled(points, n_trees, sample, share, seed), dim, limit, seed), "trees")
+    leaf = grown.groupBy("tree", "node").agg(F.max("size").alias("size"))
+    leaf = leaf.select("tree", "node", F.lit(-1).alias("feature"), F.lit(0.0).alias("threshold"), "size")
+    inner = grown.select("tree", F.inline("splits")).distinct().withColumn("size", F.lit(0).cast("long"))
     # At most n_trees * (2 * sample - 1) rows, whatever the number of users.
-    return drawn.groupBy("tree").applyInPandas(grow, _NODES).toPandas()
+    return leaf.unionByName(inner).toPandas().sort_values(["tree", "node"], ignore_index=True)
+
+
+def features_vector(features: DataFrame) -> Column:
+    """The features as an array, rounded so that the trees do not hang on the order in which features were summed."""
+    return F.array(*[F.round(F.col(c).cast("double"), FEATURE_DIGITS) for c in feature_columns(features)])
 
 
 def isolation_forest(
@@ -117,9 +147,10 @@ def isolation_forest(
     The score is ``-2 ** (-mean path length / expected path length)``. A
     contamination offset would move every score by the same amount and is left
     out. Splits are uniform in each feature's range, so scaling the features
-    first would not change the scores' distribution.
+    first would not change the scores' distribution. All that is random follows
+    from digests of the seed, so SQL grows the same trees.
     """
-    x = F.array(*[F.col(c).cast("double") for c in feature_columns(features)])
+    x = features_vector(features)
     points = features.select(USER, x.alias("x"))
     n = features.count()
     sample = min(sample_size, n)
@@ -127,26 +158,28 @@ def isolation_forest(
     share = min(1.0, 3.0 * sample / n) if n > 2 * sample else 1.0
     while n:
         nodes = _fit(points, n_trees, sample, share, seed)
-        roots = nodes.loc[nodes["node"] == 0, "size"]
-        if share >= 1.0 or (len(roots) == n_trees and roots.min() == sample):
+        drawn = nodes.groupby("tree")["size"].sum()
+        if share >= 1.0 or (len(drawn) == n_trees and drawn.min() == sample):
             break
         share = min(1.0, 2.0 * share)
     if not n:
         return features.withColumn("anomaly_score", F.lit(None).cast("double"))
 
     # One flat node table; children become absolute positions, leaves point to themselves.
-    nodes = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
-    start = nodes.groupby("tree")["node"].transform("size").groupby(nodes["tree"]).first().cumsum().shift(fill_value=0)
-    offset = nodes["tree"].map(start).to_numpy()
+    place = {key: i for i, key in enumerate(zip(nodes["tree"].tolist(), nodes["node"].tolist()))}
+    start = np.array([place[t, 1] for t in sorted(nodes["tree"].unique())])
     own = np.arange(len(nodes))
     leaf = (nodes["feature"] < 0).to_numpy()
-    left = np.where(leaf, own, nodes["left"].to_numpy() + offset)
-    right = np.where(leaf, own, nodes["right"].to_numpy() + offset)
+    left, right = (
+        np.array([i if end else place[t, 2 * m + side] for i, t, m, end in zip(own, nodes["tree"], nodes["node"], leaf)])
+        for side in (0, 1)
+    )
     feature = np.where(leaf, 0, nodes["feature"].to_numpy())
     threshold = np.where(leaf, 0.0, nodes["threshold"].to_numpy())
-    path = nodes["depth"].to_numpy() + mean_path(nodes["size"].to_numpy())
+    depth = np.floor(np.log2(nodes["node"].to_numpy())).astype(int)
+    path = depth + mean_path(nodes["size"].to_numpy())
     forest = features.sparkSession.sparkContext.broadcast(
-        (start.to_numpy(), feature, threshold, left, right, path, int(nodes["depth"].max()))
+        (start, feature, threshold, left, right, path, int(depth.max()))
     )
     expected = float(mean_path(np.array([sample]))[0]) or 1.0
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from review_trust.config import ENCODER_DIM, REPORT_ROWS, TEST_RATIO, TOP_K
+from review_trust.config import ENCODER_DIM, FOREST_SAMPLE, FOREST_TREES, REPORT_ROWS, SEED, TEST_RATIO, TOP_K
 from review_trust.plans.queries import CORE
 from review_trust.schema import FEATURES
 
@@ -154,6 +154,15 @@ def _means(name: str, scored: str) -> str:
 )"""
 
 
+_COMPARED = [
+    _scored("scored_base", "base"),
+    _scored("scored_trust", "trusted"),
+    _means("means_base", "scored_base"),
+    _means("means_trust", "scored_trust"),
+    "both_means AS (SELECT metric, k, b.value AS baseline, t.value AS trust, "
+    "round(t.value - b.value, 12) AS delta FROM means_base b JOIN means_trust t USING (metric, k))",
+]
+
 _SHIFTS = f"""
 shifts AS (
   SELECT parent_asin, avg(b.rank - 1 - coalesce(t.rank - 1, length)) AS shift
@@ -194,13 +203,59 @@ cleaned AS (
 )"""
 
 
+# Levels of a tree of FOREST_SAMPLE users, and of any of more than half as many.
+_LEVELS = (FOREST_SAMPLE - 1).bit_length()
+
+
+def _forest() -> list[str]:
+    """The isolation forest over ``features``, level by level, up to every user's trust."""
+    low, high = (f"[{', '.join(f'{f}(x[{i + 1}])' for i in range(len(FEATURES)))}]" for f in ("min", "max"))
+    digest = f"md5(concat({SEED}, ':', tree, ':', node))"
+    steps = [
+        f"points AS MATERIALIZED (SELECT user_id, [{', '.join(f'round(CAST({c} AS DOUBLE), 9)' for c in FEATURES)}] AS x "
+        "FROM features)",
+        f"g0 AS MATERIALIZED (SELECT tree, x, 1 AS node, false AS leaf FROM (SELECT tree, x, row_number() OVER (PARTITION BY "
+        f"tree ORDER BY left(md5(concat({SEED}, ':', tree, ':', user_id)), 16), user_id) AS place "
+        f"FROM points CROSS JOIN range({FOREST_TREES}) r(tree)) WHERE place <= {FOREST_SAMPLE})",
+        f"w0 AS (SELECT user_id, x, tree, 1 AS node FROM points CROSS JOIN range({FOREST_TREES}) r(tree))",
+    ]
+    for d in range(_LEVELS):
+        steps += [
+            f"r{d} AS (SELECT tree, node, {low} AS low, {high} AS high, {digest} AS h FROM g{d} WHERE NOT leaf GROUP BY tree, node)",
+            f"v{d} AS (SELECT *, list_filter(range(1, {len(FEATURES) + 1}), lambda i: high[i] > low[i]) AS varying FROM r{d})",
+            f"f{d} AS (SELECT *, varying[1 + (CAST('0x' || left(h, 8) AS BIGINT) * len(varying) >> 32)] AS feature, "
+            f"CAST('0x' || h[9:21] AS BIGINT) / 4503599627370496.0 AS part FROM v{d} WHERE len(varying) > 0)",
+            f"s{d} AS MATERIALIZED (SELECT tree, node, feature, CASE WHEN low[feature] + part * (high[feature] - low[feature]) "
+            f">= high[feature] THEN low[feature] ELSE low[feature] + part * (high[feature] - low[feature]) END AS threshold "
+            f"FROM f{d})",
+        ]
+        step = f"CASE WHEN feature IS NULL THEN node WHEN x[feature] > threshold THEN 2 * node + 1 ELSE 2 * node END AS node"
+        split = f"LEFT JOIN s{d} USING (tree, node)"
+        steps += [
+            f"g{d + 1} AS MATERIALIZED (SELECT tree, x, {step}, feature IS NULL AS leaf FROM g{d} {split})",
+            f"w{d + 1} AS MATERIALIZED (SELECT user_id, x, tree, {step} FROM w{d} {split})",
+        ]
+    # Expected length of an unsuccessful search among n points.
+    mean = "CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1.0) + 0.5772156649015329) - 2 * ({n} - 1.0) / {n} WHEN {n} = 2 THEN 1.0 ELSE 0.0 END"
+    steps += [
+        f"leaves AS (SELECT tree, node, count(*) AS n FROM g{_LEVELS} GROUP BY tree, node)",
+        f"paths AS (SELECT user_id, avg(length(bin(node)) - 1 + {mean.format(n='n')}) AS path "
+        f"FROM w{_LEVELS} JOIN leaves USING (tree, node) GROUP BY user_id)",
+        f"sampled AS (SELECT least(count(*), {FOREST_SAMPLE}) AS n FROM points)",
+        f"anomaly AS (SELECT user_id, -pow(2, -path / {mean.format(n='n')}) AS score FROM paths, sampled)",
+        "trust AS MATERIALIZED (SELECT user_id, coalesce((score - min(score) OVER ()) / "
+        "nullif(max(score) OVER () - min(score) OVER (), 0), 1.0) AS trust_score FROM anomaly)",
+    ]
+    return steps
+
+
 def _whole_run() -> list[str]:
-    """All steps of the run on the core reviews, with the default encoder, up to the plain ranking's metrics."""
+    """All steps of the run on the core reviews, with the default encoder, up to both rankings' metrics."""
     steps = [cte.replace("reviews AS", "all_reviews AS").replace("FROM reviews", "FROM all_reviews") for cte in _core()]
     steps += [
-        "core_rows AS MATERIALIZED (SELECT row_number() OVER () AS rid, user_id, parent_asin, timestamp, title, text "
+        "core_rows AS MATERIALIZED (SELECT row_number() OVER () AS rid, * EXCLUDE (embedding) "
         "FROM all_reviews WHERE user_id IN (SELECT user_id FROM core) AND parent_asin IN (SELECT parent_asin FROM core))",
-        "reviews AS (SELECT user_id, parent_asin, timestamp FROM core_rows)",
+        "reviews AS (SELECT * EXCLUDE (rid, title) FROM core_rows)",
         _cleaned("core_rows"),
         _embedded("vectors", "cleaned", "rid", "review_text"),
     ]
@@ -212,8 +267,8 @@ def _whole_run() -> list[str]:
             f"CROSS JOIN range({ENCODER_DIM}) r(i) LEFT JOIN {name}_sum b ON a.{key} = b.{key} AND b.pos = i "
             f"GROUP BY a.{key})",
         ]
-    none = "item_trust AS (SELECT parent_asin, 1.0 AS item_trust_factor FROM core_rows WHERE false)"
-    return [*steps, _SPLIT, none, _BASELINE, _scored("scored", "base"), _means("means", "scored")]
+    steps += [_HIST, _ENTROPY, _FEATURES, *_forest(), _SPLIT, _item_trust("train"), _BASELINE, _TRUSTED]
+    return [*steps, *_COMPARED]
 
 
 def _embedded(name: str, source: str, key: str, text: str) -> str:
@@ -248,6 +303,11 @@ def oracles() -> dict[str, str]:
     both = [*_BASE, _BASELINE, _TRUSTED]
     base_scored = [*_BASE, _BASELINE, _scored("scored", "base")]
     scores = "SELECT user_id, rank, parent_asin, round(score, 6) + 0.0 AS score FROM"
+    compared = (
+        f"SELECT metric, k, {_r6('baseline')}, {_r6('trust')}, {_r6('delta')}, "
+        "CASE WHEN both_means.delta > 0 THEN '↑' WHEN both_means.delta < 0 THEN '↓' ELSE '=' END AS arrow "
+        "FROM both_means"
+    )
     pages = """
 pages_reviews AS (
   SELECT page_id,
@@ -291,6 +351,7 @@ pages_reviews AS (
             "SELECT user_id, round((avg_rating - min(avg_rating) OVER ()) / "
             "(max(avg_rating) OVER () - min(avg_rating) OVER ()), 6) + 0.0 AS scaled FROM features",
         ),
+        "iforest_trust": _sql([*feature_ctes, *_forest()], f"SELECT user_id, {_r6('trust_score')} FROM trust"),
         "iforest_trust_range": _sql(
             [_REVIEWS],
             "SELECT count(DISTINCT user_id) AS n_users, 0.0::DOUBLE AS min_trust, 1.0::DOUBLE AS max_trust, "
@@ -365,16 +426,9 @@ pages_reviews AS (
         "metric_delta": _sql(
             [
                 *both,
-                _scored("scored_base", "base"),
-                _scored("scored_trust", "trusted"),
-                _means("means_base", "scored_base"),
-                _means("means_trust", "scored_trust"),
-                "both_means AS (SELECT metric, k, b.value AS baseline, t.value AS trust, "
-                "round(t.value - b.value, 12) AS delta FROM means_base b JOIN means_trust t USING (metric, k))",
+                *_COMPARED,
             ],
-            f"SELECT metric, k, {_r6('baseline')}, {_r6('trust')}, {_r6('delta')}, "
-            "CASE WHEN both_means.delta > 0 THEN '↑' WHEN both_means.delta < 0 THEN '↓' ELSE '=' END AS arrow "
-            "FROM both_means",
+            compared,
         ),
         "rank_shift": _sql([*both, _SHIFTS], f"SELECT parent_asin, {_r6('shift')} FROM shifts"),
         "rank_shift_overall": _sql(
@@ -384,5 +438,6 @@ pages_reviews AS (
             [*both, _SHIFTS, f"rounded AS (SELECT parent_asin, {_r6('shift')} FROM shifts)"],
             f"SELECT parent_asin, shift FROM rounded ORDER BY shift, parent_asin LIMIT {REPORT_ROWS}",
         ),
-        "full_run_baseline": _sql(_whole_run(), f"SELECT metric, k, {_r6('value')} FROM means"),
+        "full_run": _sql(_whole_run(), compared),
+        "full_run_baseline": _sql(_whole_run(), "SELECT metric, k, round(baseline, 6) + 0.0 AS value FROM both_means"),
     }

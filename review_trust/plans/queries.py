@@ -370,10 +370,11 @@ def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide.withColumn("asin", F.col(ITEM)).write.json(f"{folder}/raw", ignoreNullFields=True)
     cfg = Config(raw_path=f"{folder}/raw", out_dir=f"{folder}/out", min_interactions=CORE)
     pipeline.run(spark, cfg)
-    return pipeline.stored(spark, cfg, pipeline.METRICS)
+    table = pipeline.stored(spark, cfg, pipeline.METRICS)
+    return table.select("metric", "k", *[r6(c).alias(c) for c in ("baseline", "trust", "delta")], "arrow")
 
 
 @query
 def full_run_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of the whole run that depends on no random tree."""
+    """The part of the whole run that depends on no tree."""
     return full_run(spark, sf_dir).select("metric", "k", r6("baseline").alias("value"))
