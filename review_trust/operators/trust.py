@@ -16,6 +16,8 @@ from review_trust.sources.artifacts import cut
 
 EULER_GAMMA = 0.5772156649015329
 
+# Tables of at most so many users are dealt to all cores first.
+SPREAD_USERS = 1_000_000
 # Decimals of a feature that the forest looks at.
 FEATURE_DIGITS = 9
 
@@ -85,7 +87,7 @@ def _grown(rows: DataFrame, dim: int, limit: int, seed: int) -> DataFrame:
     ``2 n + 1``. The digest of seed, tree and node decides on the feature, among those that vary in the node, and on the
     threshold, evenly in the feature's range. The rows are shuffled once, by tree; a level is a window over each node.
     """
-    rows = rows.select("tree", "x", F.lit(1).alias("node"), F.lit(False).alias("leaf"), F.array().cast(_SPLITS).alias("splits"))
+    rows = rows.withColumns({"node": F.lit(1), "leaf": F.lit(False), "splits": F.array().cast(_SPLITS)})
     node = Window.partitionBy("tree", "node")
     for _ in range(limit):
         element = [F.get("x", F.lit(i)) for i in range(dim)]
@@ -98,7 +100,8 @@ def _grown(rows: DataFrame, dim: int, limit: int, seed: int) -> DataFrame:
         varying = F.filter(
             F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: ~F.col("leaf") & (F.get("high", i) > F.get("low", i))
         )
-        rows = rows.withColumns({"varying": varying, "digest": _digest(seed, F.col("tree").cast("string"), F.col("node").cast("string"))})
+        digest = _digest(seed, F.col("tree").cast("string"), F.col("node").cast("string"))
+        rows = rows.withColumns({"varying": varying, "digest": digest})
         pick = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * F.size("varying")
         rows = rows.withColumn("feature", F.get("varying", F.shiftright(pick, 32).cast("int")))
         part = F.conv(F.substring("digest", 9, 13), 16, 10).cast("double") / float(1 << 52)
@@ -150,9 +153,11 @@ def isolation_forest(
     first would not change the scores' distribution. All that is random follows
     from digests of the seed, so SQL grows the same trees.
     """
+    n = features.count()
+    if n <= SPREAD_USERS:  # a small table lies in few files, and every user is drawn for and walks down every tree
+        features = features.repartition(features.sparkSession.sparkContext.defaultParallelism)
     x = features_vector(features)
     points = features.select(USER, x.alias("x"))
-    n = features.count()
     sample = min(sample_size, n)
     # Three times the wanted share: too few rows for a tree is then all but impossible.
     share = min(1.0, 3.0 * sample / n) if n > 2 * sample else 1.0
