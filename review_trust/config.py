@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 # Defaults that published results depend on.
 MIN_INTERACTIONS = 10
+# Share of lines that may be malformed before the run fails.
+MAX_MALFORMED = 0.001
 ENCODER_BATCH = 1024
 ENCODER_DIM = 384
 FOREST_TREES = 200
@@ -23,6 +25,7 @@ class Config:
     raw_path: str = "reviews.jsonl"
     out_dir: str = "out"
     min_interactions: int = MIN_INTERACTIONS
+    max_malformed: float = MAX_MALFORMED
     encoder_dim: int = ENCODER_DIM
     encoder_batch: int = ENCODER_BATCH
     n_trees: int = FOREST_TREES

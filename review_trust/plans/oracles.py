@@ -438,6 +438,26 @@ pages_reviews AS (
             [*both, _SHIFTS, f"rounded AS (SELECT parent_asin, {_r6('shift')} FROM shifts)"],
             f"SELECT parent_asin, shift FROM rounded ORDER BY shift, parent_asin LIMIT {REPORT_ROWS}",
         ),
+        "run_summaries": _sql(
+            _whole_run(),
+            " UNION ALL ".join(
+                f"SELECT '{step}' AS step, '{metric}' AS metric, CAST(({value}) AS DOUBLE) AS value"
+                for step, metric, value in (
+                    ("reviews_raw", "rows", "SELECT count(*) FROM all_reviews"),
+                    ("reviews_raw", "malformed", "0"),
+                    ("reviews_raw", "without_id", "0"),
+                    *[(t, "rows", "SELECT count(*) FROM core_rows") for t in ("reviews", "reviews_clean", "review_embeddings")],
+                    ("features", "users", "SELECT count(*) FROM features"),
+                    ("user_profiles", "rows", "SELECT count(DISTINCT user_id) FROM core_rows"),
+                    ("item_profiles", "rows", "SELECT count(DISTINCT parent_asin) FROM core_rows"),
+                    ("features_trust", "min_trust", "SELECT min(trust_score) FROM trust"),
+                    ("features_trust", "max_trust", "SELECT max(trust_score) FROM trust"),
+                )
+            ),
+        ),
+        "run_scores": _sql(
+            _whole_run(), f"SELECT user_id, {feature_columns}, {_r6('trust_score')} FROM features JOIN trust USING (user_id)"
+        ),
         "full_run": _sql(_whole_run(), compared),
         "full_run_baseline": _sql(_whole_run(), "SELECT metric, k, round(baseline, 6) + 0.0 AS value FROM both_means"),
     }

@@ -2,15 +2,16 @@
 
 Each step reads the stored tables of earlier steps and stores its own. A step
 whose table is already finished is skipped, provided it was built with the same
-parameters; only the evaluation always runs.
+parameters from the same tables and files; only the evaluation always runs.
 """
 
 from __future__ import annotations
 
+import functools
 import logging
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from review_trust.config import Config
@@ -18,16 +19,20 @@ from review_trust.functions.text import clean_text
 from review_trust.operators import embedding, features, kcore, metrics, profiles, ranking, split, suspicious, trust
 from review_trust.plans import report
 from review_trust.schema import BASELINE, ITEM, TRUST, USER
-from review_trust.sources.artifacts import exists, materialize
-from review_trust.sources.reviews import read_json
+from review_trust.sources.artifacts import exists, materialize, summary_of
+from review_trust.sources.reviews import BAD, LINE, read_lines
 
 logger = logging.getLogger(__name__)
 
+RAW = "reviews_raw"
 REVIEWS, CLEAN, FEATURES, SCORES = "reviews", "reviews_clean", "features", "features_trust"
 EMBEDDINGS, USER_PROFILES, ITEM_PROFILES = "review_embeddings", "user_profiles", "item_profiles"
 RANKINGS, METRICS, SHIFTS = "rankings", "metrics", "rank_shifts"
 ALL_RANKINGS = "rankings_all_users"
 
+# Tables that are built once, in order.
+TABLES = (RAW, REVIEWS, CLEAN, FEATURES, EMBEDDINGS, USER_PROFILES, ITEM_PROFILES, SCORES)
+
 ROWS = {"rows": "count(1)"}
 
 
@@ -40,24 +45,70 @@ def stored(spark: SparkSession, cfg: Config, name: str) -> DataFrame:
 
 
 def ingest(spark: SparkSession, cfg: Config) -> DataFrame:
-    """Raw JSON reviews reduced to their k-core."""
+    """Raw JSON reviews reduced to their k-core.
+
+    The lines are parsed once, into a table in which malformed ones lie apart; a run with too many of them fails.
+    """
+
+    def few_malformed(found: Mapping[str, object]) -> None:
+        if found["malformed"] > cfg.max_malformed * found["rows"]:
+            raise ValueError(f"{found['malformed']} of {found['rows']} lines are malformed, see {cfg.path(RAW)}")
 
     def build() -> DataFrame:
-        raw = read_json(spark, cfg.raw_path)
+        raw = good_lines(spark, cfg)
         return kcore.core_reviews(raw, kcore.k_core(raw, cfg.min_interactions))
 
-    parameters = {"raw_path": cfg.raw_path, "min_interactions": cfg.min_interactions}
-    return materialize(spark, cfg.path(REVIEWS), build, ROWS, parameters=parameters)
+    materialize(
+        spark,
+        cfg.path(RAW),
+        lambda: read_lines(spark, cfg.raw_path),
+        ROWS
+        | {
+            "malformed": f"count_if({BAD})",
+            "without_id": f"count_if(NOT {BAD} AND ({USER} IS NULL OR {ITEM} IS NULL))",
+        },
+        partition_by=(BAD,),
+        inputs=[cfg.raw_path],
+        check=few_malformed,
+    )
+    parameters = {"min_interactions": cfg.min_interactions}
+    return materialize(spark, cfg.path(REVIEWS), build, ROWS, parameters=parameters, upstream=[cfg.path(RAW)])
+
+
+def _malformed() -> Column:
+    return F.col(BAD).cast("boolean")  # the folder's name is read back as a string
+
+
+def good_lines(spark: SparkSession, cfg: Config) -> DataFrame:
+    """The raw reviews without malformed lines."""
+    return stored(spark, cfg, RAW).filter(~_malformed()).drop(BAD, LINE)
+
+
+def quarantine(spark: SparkSession, cfg: Config) -> DataFrame:
+    """The malformed lines."""
+    return stored(spark, cfg, RAW).filter(_malformed()).select(LINE)
+
+
+def step_summaries(spark: SparkSession, cfg: Config) -> DataFrame:
+    """What was observed when each table was written: step, metric, value."""
+    found = [(name, summary_of(spark, cfg.path(name))) for name in TABLES]
+    rows = [(name, metric, None if v is None else float(v)) for name, seen in found for metric, v in seen.items()]
+    return spark.createDataFrame(rows, "step string, metric string, value double")
 
 
 def preprocess(spark: SparkSession, cfg: Config) -> DataFrame:
-    return materialize(spark, cfg.path(CLEAN), lambda: clean_text(stored(spark, cfg, REVIEWS)), ROWS)
+    upstream = [cfg.path(REVIEWS)]
+    return materialize(spark, cfg.path(CLEAN), lambda: clean_text(stored(spark, cfg, REVIEWS)), ROWS, upstream=upstream)
 
 
 def build_features(spark: SparkSession, cfg: Config) -> DataFrame:
     """User features of the uncleaned reviews."""
     return materialize(
-        spark, cfg.path(FEATURES), lambda: features.user_features(stored(spark, cfg, REVIEWS)), {"users": "count(1)"}
+        spark,
+        cfg.path(FEATURES),
+        lambda: features.user_features(stored(spark, cfg, REVIEWS)),
+        {"users": "count(1)"},
+        upstream=[cfg.path(REVIEWS)],
     )
 
 
@@ -71,10 +122,12 @@ def embed(spark: SparkSession, cfg: Config, encoder: embedding.EncoderFactory |
 
     name = "hashed words" if encoder is None else f"{encoder.__module__}.{encoder.__qualname__}"
     parameters = {"encoder": name} | ({"dim": cfg.encoder_dim} if encoder is None else {})
-    vectors = materialize(spark, cfg.path(EMBEDDINGS), build, ROWS, parameters=parameters)
+    vectors = materialize(spark, cfg.path(EMBEDDINGS), build, ROWS, parameters=parameters, upstream=[cfg.path(CLEAN)])
     dim = profiles.vector_length(vectors)
-    materialize(spark, cfg.path(USER_PROFILES), lambda: profiles.user_profiles(vectors, dim), ROWS)
-    materialize(spark, cfg.path(ITEM_PROFILES), lambda: profiles.item_profiles(vectors, dim), ROWS)
+    for name, means in ((USER_PROFILES, profiles.user_profiles), (ITEM_PROFILES, profiles.item_profiles)):
+        materialize(
+            spark, cfg.path(name), functools.partial(means, vectors, dim), ROWS, upstream=[cfg.path(EMBEDDINGS)]
+        )
     return vectors
 
 
@@ -86,6 +139,7 @@ def anomaly(spark: SparkSession, cfg: Config) -> DataFrame:
         lambda: trust.trust_scores(stored(spark, cfg, FEATURES), cfg.n_trees, cfg.sample_size, cfg.seed),
         {"min_trust": "min(trust_score)", "max_trust": "max(trust_score)"},
         parameters={"n_trees": cfg.n_trees, "sample_size": cfg.sample_size, "seed": cfg.seed},
+        upstream=[cfg.path(FEATURES)],
     )
 
 

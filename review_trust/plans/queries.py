@@ -362,14 +362,35 @@ def most_demoted(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the whole pipeline ---
 
 
-@query
-def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All steps from raw JSON to the metric table, on the test tables written out as JSON reviews."""
+def _whole_run(spark: SparkSession, sf_dir: str, steps: tuple[str, ...] | None = None) -> Config:
+    """All steps, or some, on the test tables written out as JSON reviews."""
     folder = scratch_path(spark, "full-run")
     wide = tables.reviews(spark, sf_dir, text=True)
     wide.withColumn("asin", F.col(ITEM)).write.json(f"{folder}/raw", ignoreNullFields=True)
     cfg = Config(raw_path=f"{folder}/raw", out_dir=f"{folder}/out", min_interactions=CORE)
-    pipeline.run(spark, cfg)
+    pipeline.run(spark, cfg, steps)
+    return cfg
+
+
+@query
+def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the steps up to the scores observe while they write their tables."""
+    cfg = _whole_run(spark, sf_dir, ("ingest", "preprocess", "features", "embed", "anomaly"))
+    return pipeline.step_summaries(spark, cfg)
+
+
+@query
+def run_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of features and trust that the anomaly step stores, all columns."""
+    cfg = _whole_run(spark, sf_dir, ("ingest", "features", "anomaly"))
+    table = pipeline.stored(spark, cfg, pipeline.SCORES)
+    return table.select(USER, *[r6(c).alias(c) if t == "double" else F.col(c) for c, t in table.dtypes if c != USER])
+
+
+@query
+def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps from raw JSON to the metric table."""
+    cfg = _whole_run(spark, sf_dir)
     table = pipeline.stored(spark, cfg, pipeline.METRICS)
     return table.select("metric", "k", *[r6(c).alias(c) for c in ("baseline", "trust", "delta")], "arrow")
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import logging
 import tempfile
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,29 @@ def exists(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
+def files_of(spark: SparkSession, path: str) -> list[list]:
+    """Name, size and time of every file at ``path`` (which may hold wildcards), in order; hidden files are left out."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for top in system.globStatus(place) or []:
+        files = system.listFiles(top.getPath(), True)
+        while files.hasNext():
+            file = files.next()
+            if not file.getPath().getName().startswith(("_", ".")):
+                found.append([file.getPath().toString(), file.getLen(), file.getModificationTime()])
+    return sorted(found)
+
+
+def recorded(spark: SparkSession, path: str) -> dict:
+    """What the table at ``path`` was built from, as ``materialize`` has noted it."""
+    if not exists(spark, path):
+        raise FileNotFoundError(f"{path} is missing: run the step that builds it first")
+    if not exists(spark, f"{path}.parameters"):
+        raise ValueError(f"{path} has no record of what it was built from: remove it")
+    return json.loads(spark.read.text(f"{path}.parameters").first()[0])
+
+
 def materialize(
     spark: SparkSession,
     path: str,
@@ -27,19 +51,32 @@ def materialize(
     metrics: Mapping[str, str] | None = None,
     partition_by: tuple[str, ...] = (),
     parameters: Mapping[str, object] | None = None,
+    upstream: Sequence[str] = (),
+    inputs: Sequence[str] = (),
+    check: Callable[[Mapping[str, object]], None] | None = None,
 ) -> DataFrame:
     """Read the table at ``path``; build and write it first if it is not there yet.
 
     ``metrics`` are SQL aggregates observed by the write job itself, so a step
-    summary costs no extra pass. ``parameters`` are what the table was built
-    with; they are stored beside it, and a table built with others is refused.
+    summary costs no extra pass; they are stored beside the table. ``check``
+    is given them and may raise, in which case the table counts as unfinished.
+
+    A record of what the table was built from lies beside it too: its
+    ``parameters``, the records of the tables ``upstream`` and the names, sizes
+    and times of the files ``inputs``, as digests. So it covers all that is
+    upstream; a table with another record, or with none, is refused.
     """
-    wanted = json.dumps(parameters or {}, sort_keys=True)
+    record = {
+        "parameters": dict(parameters or {}),
+        "upstream": {name.rsplit("/", 1)[-1]: _digest(recorded(spark, name)) for name in upstream},
+        "inputs": {name: _digest(files_of(spark, name)) for name in inputs},
+    }
     if exists(spark, path):
-        if exists(spark, f"{path}.parameters"):
-            found = spark.read.text(f"{path}.parameters").first()[0]
-            if found != wanted:
-                raise ValueError(f"{path} was built with {found}, not {wanted}: remove it or use another folder")
+        found, wanted = recorded(spark, path), json.loads(json.dumps(record))
+        if found != wanted:
+            other = sorted(k for k in wanted if found.get(k) != wanted[k])
+            built = f"{path} was built with other {', '.join(other)}: {found}, not {wanted}"
+            raise ValueError(f"{built}; remove it or use another folder")
         logger.info("%s exists, step skipped", path)
         return spark.read.parquet(path)
     df = build()
@@ -47,13 +84,40 @@ def materialize(
     if metrics:
         observation = Observation(path)
         df = df.observe(observation, *[F.expr(e).alias(n) for n, e in metrics.items()])
-    spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.parameters")
+    _note(spark, f"{path}.parameters", record)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     if observation is not None:
-        logger.info("%s written: %s", path, observation.get)
+        summary = observation.get
+        logger.info("%s written: %s", path, summary)
+        _note(spark, f"{path}.summary", summary)
+        if check:
+            try:
+                check(summary)
+            except Exception:
+                _remove(spark, f"{path}/_SUCCESS")
+                raise
     return spark.read.parquet(path)
 
 
+def summary_of(spark: SparkSession, path: str) -> dict:
+    """The metrics that were observed when the table at ``path`` was written."""
+    return json.loads(spark.read.text(f"{path}.summary").first()[0]) if exists(spark, f"{path}.summary") else {}
+
+
+def _digest(record: object) -> str:
+    return hashlib.sha256(json.dumps(record, sort_keys=True).encode()).hexdigest()
+
+
+def _note(spark: SparkSession, path: str, value: object) -> None:
+    line = json.dumps(value, sort_keys=True)
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -94,5 +158,4 @@ class Scratch:
         self.table = self.spark.read.schema(df.schema).parquet(self.path)
 
     def remove(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(self.spark, self.path)

@@ -2,6 +2,7 @@ import dataclasses
 import json
 import os
 import random
+import shutil
 
 import pytest
 
@@ -122,7 +123,7 @@ def test_cut_reads_back_what_it_wrote(spark):
 
 
 def test_a_table_of_other_parameters_is_refused(spark, cfg):
-    with pytest.raises(ValueError, match="was built with"):
+    with pytest.raises(ValueError, match="built with other parameters"):
         pipeline.run(spark, dataclasses.replace(cfg, min_interactions=3), ["ingest"])
     with pytest.raises(ValueError, match="was built with"):
         pipeline.run(spark, cfg, ["embed"], encoder=letters())
@@ -149,3 +150,57 @@ def test_own_encoder_of_another_length(spark, cfg, tmp_path):
     for name in (pipeline.EMBEDDINGS, pipeline.USER_PROFILES, pipeline.ITEM_PROFILES):
         column = "embedding" if name == pipeline.EMBEDDINGS else "profile"
         assert {len(r[0]) for r in pipeline.stored(spark, own, name).select(column).collect()} == {70}
+
+
+def test_steps_know_what_they_were_built_from(spark, cfg, tmp_path):
+    """A step rebuilt with another k, or from another file, makes all that follow from it refuse to be reused."""
+    raw = tmp_path / "raw.jsonl"
+    raw.write_text(open(cfg.raw_path).read())
+    own = dataclasses.replace(cfg, raw_path=str(raw), out_dir=str(tmp_path / "out"))
+    steps = ["ingest", "preprocess", "features", "embed"]
+    pipeline.run(spark, own, steps)
+    pipeline.run(spark, own, steps)
+    changed = dataclasses.replace(own, min_interactions=12)
+    shutil.rmtree(own.path(pipeline.REVIEWS))
+    pipeline.run(spark, changed, ["ingest"])
+    for step in steps[1:3]:
+        with pytest.raises(ValueError, match="other upstream"):
+            pipeline.run(spark, changed, [step])
+    shutil.rmtree(own.path(pipeline.CLEAN))
+    pipeline.run(spark, changed, ["preprocess"])
+    with pytest.raises(ValueError, match="other upstream"):
+        pipeline.run(spark, changed, ["embed"])
+    with open(raw, "a") as f:
+        f.write('{"user_id": "late"}\n')
+    with pytest.raises(ValueError, match="other inputs"):
+        pipeline.run(spark, changed, ["ingest"])
+
+
+def test_a_table_without_a_record_is_refused(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    with pytest.raises(ValueError, match="no record"):
+        artifacts.materialize(spark, path, lambda: spark.range(3))
+
+
+BROKEN = ['{"user_id": "u", "parent_asin": ', "no json", '{"user_id": "u", "parent_asin": "i", "rating": "five"}', "[1]"]
+
+
+def test_malformed_lines_are_set_apart_and_counted(spark, tmp_path):
+    good = [json.dumps({"user_id": f"u{n % 3}", "parent_asin": f"i{n % 3}", "timestamp": n}) for n in range(60)]
+    (tmp_path / "raw.jsonl").write_text("\n".join([*good[:30], *BROKEN, "", *good[30:], '{"user_id": null}']) + "\n")
+    own = Config(raw_path=str(tmp_path / "raw.jsonl"), out_dir=str(tmp_path / "out"), min_interactions=5)
+    for _ in range(2):  # a table that failed its check is not taken for finished
+        with pytest.raises(ValueError, match="4 of 65 lines are malformed"):
+            pipeline.run(spark, own, ["ingest"])
+    own = dataclasses.replace(own, max_malformed=0.1)
+    pipeline.run(spark, own, ["ingest"])
+    assert sorted(r[0] for r in pipeline.quarantine(spark, own).collect()) == sorted(BROKEN)
+    assert pipeline.stored(spark, own, pipeline.REVIEWS).count() == 60
+    seen = {(r.step, r.metric): r.value for r in pipeline.step_summaries(spark, own).collect()}
+    assert seen == {
+        ("reviews_raw", "rows"): 65.0,
+        ("reviews_raw", "malformed"): 4.0,
+        ("reviews_raw", "without_id"): 1.0,
+        ("reviews", "rows"): 60.0,
+    }

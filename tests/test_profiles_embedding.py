@@ -24,6 +24,26 @@ def test_null_vectors_are_left_out_at_any_length(spark, dim):
         assert {r.user_id: r.profile for r in user_profiles(df, given).collect()} == {"U1": [2.0] * dim}
 
 
+@pytest.mark.parametrize("dim", [2, 64, 65, 384])
+def test_null_elements_and_nan_at_any_length(spark, dim):
+    schema = "user_id string, parent_asin string, embedding array<float>"
+    rows = [("U", "I", [1.0] * (dim - 1) + [float("nan")]), ("U", "J", [2.0] * dim)]
+    got = user_profiles(spark.createDataFrame(rows, schema)).first().profile
+    assert got[:-1] == [1.5] * (dim - 1) and np.isnan(got[-1]) and len(got) == dim
+    rows.append(("U", "K", [None] + [2.0] * (dim - 1)))
+    with pytest.raises(Exception, match="null element in a vector"):
+        user_profiles(spark.createDataFrame(rows, schema)).collect()
+
+
+@pytest.mark.parametrize("dim", [1, 63, 64, 65, 130])
+def test_every_element_has_its_own_mean(spark, dim):
+    rows = [(f"U{i % 3}", "I", [float(i * 1000 + j) for j in range(dim)]) for i in range(9)]
+    got = user_profiles(spark.createDataFrame(rows, "user_id string, parent_asin string, embedding array<double>"))
+    for r in got.collect():
+        first = 1000.0 * (int(r.user_id[1]) + 3)
+        assert r.profile == [first + j for j in range(dim)]
+
+
 @pytest.mark.parametrize("dim", [2, 5, 70])
 def test_another_length_fails(spark, dim):
     df = spark.createDataFrame([("U", "I", [1.0, 2.0, 3.0])], "user_id string, parent_asin string, embedding array<float>")

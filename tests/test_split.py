@@ -1,3 +1,4 @@
+import datetime
 import random
 
 import pytest
@@ -24,6 +25,29 @@ def test_order_statistic_is_exact(spark, monkeypatch, fanout, q):
     assert split.order_statistic(df, F.col("v"), q) == sorted(values)[split.nearest_rank(301, q)]
 
 
+@pytest.mark.parametrize("q", [0.0, 0.8, 0.99999])
+def test_two_passes_at_any_size(spark, monkeypatch, q):
+    """One pass for the sketch and one for the bracket, of which only the bracket is stored."""
+    stored = []
+
+    class Spy(split.Scratch):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            stored.append(self.table.count())
+
+    monkeypatch.setattr(split, "Scratch", Spy)
+    df = spark.range(200_000).select((F.xxhash64("id") % 10**12).alias("v"))
+    values = sorted(r.v for r in df.collect())
+    assert split.order_statistic(df, F.col("v"), q) == values[split.nearest_rank(len(values), q)]
+    assert len(stored) == 1 and stored[0] <= 200_000 * 2 * split.MARGIN + 200_000 * 2 / split.ACCURACY + 2
+
+
+def test_a_sketch_that_misses_is_noticed(spark, monkeypatch):
+    monkeypatch.setattr(split.F, "percentile_approx", lambda *_: F.array(F.lit(3).cast("long"), F.lit(4).cast("long")))
+    df = spark.range(100).select(F.col("id").alias("v"))
+    assert split.order_statistic(df, F.col("v"), 0.8) == 79
+
+
 def test_order_statistic_of_nothing(spark):
     assert split.order_statistic(spark.createDataFrame([(None,)], "v bigint"), F.col("v"), 0.8) is None
 
@@ -60,3 +84,24 @@ def test_bounds_reach_the_file_reader(spark, tmp_path):
     assert cutoff == 15_000 and train.count() == 16
     for part, bound in ((train, "LessThanOrEqual(timestamp,15)"), (test, "GreaterThan(timestamp,15)")):
         assert bound in part._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "date", "timestamp"])
+def test_bounds_of_every_time_type_reach_the_file_reader(spark, tmp_path, request, zone, kind):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.session.timeZone", "UTC"))
+    start = datetime.datetime(2019, 11, 3, 0, 30)  # clocks go back in New York
+    times = [start + datetime.timedelta(minutes=40 * n, days=n if kind == "date" else 0, microseconds=n) for n in range(20)]
+    rows = [("u", f"i{n:02}", str(t) + ("Z" if kind == "timestamp" else "")) for n, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "user_id string, parent_asin string, t string")
+    df.select("user_id", "parent_asin", F.col("t").cast(kind).alias("timestamp")).write.parquet(str(tmp_path / "r"))
+    table = spark.read.parquet(str(tmp_path / "r"))
+    assert dict(table.dtypes)["timestamp"] == kind
+    train, test, cutoff = split.temporal_split(table, 0.25)
+    last = times[14].replace(hour=0, minute=0, second=0, microsecond=0) if kind == "date" else times[14]
+    assert cutoff == (last - datetime.datetime(1970, 1, 1)) // datetime.timedelta(microseconds=1)
+    assert sorted(r.parent_asin for r in train.collect()) == [f"i{n:02}" for n in range(15)]
+    assert sorted(r.parent_asin for r in test.collect()) == [f"i{n:02}" for n in range(15, 20)]
+    for part, bound in ((train, "LessThanOrEqual(timestamp,"), (test, "GreaterThan(timestamp,")):
+        assert bound in part._jdf.queryExecution().executedPlan().toString()
