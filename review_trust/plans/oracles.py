@@ -459,5 +459,5 @@ pages_reviews AS (
             _whole_run(), f"SELECT user_id, {feature_columns}, {_r6('trust_score')} FROM features JOIN trust USING (user_id)"
         ),
         "full_run": _sql(_whole_run(), compared),
-        "full_run_baseline": _sql(_whole_run(), "SELECT metric, k, round(baseline, 6) + 0.0 AS value FROM both_means"),
+        "full_run_baseline": _sql(_whole_run(), f"SELECT metric, k, {_r6('value')} FROM means_base"),
     }
