@@ -2,9 +2,9 @@
 
 Pages that a rule fits are seeds: the share of a host's pages that rules allow is its trust, the share that they block
 its distrust. Trust flows from a host to the hosts it links to (personalised PageRank), distrust from a host to the hosts
-that link to it (the same on reversed links), both until they have converged. Host edges are links in pages to another host, and both ways between a host
-and a host directly below it. Pages that no rule fits get the verdict of their host: block where distrust exceeds trust
-by a factor, else allow. DataFrame operations only.
+that link to it (the same on reversed links), both until they have converged. Host edges are links in pages to another
+host, and both ways between a host and the nearest host above it that has pages. Pages that no rule fits get the verdict
+of their host: block where distrust exceeds trust by a factor, else allow. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from review_trust.llm.common import UPPER, ascii_lower, broadcast_if_small
+from review_trust.llm.common import UPPER, ascii_lower, broadcast_if_small, positions
 from review_trust.sources.artifacts import Scratch, cut
 
 # The rules of the query, (verdict, host, path).
@@ -31,8 +31,8 @@ DAMPING = 0.85
 TOLERANCE = 1e-6
 # Every round moves at most DAMPING times what the one before moved, so this many serve 1e15 seeds.
 MAX_ROUNDS = 300
-# Rounds that the SQL unrolls, from the seeds themselves.
-ROUNDS = 6
+# Fixed value: labels of a host name at most. A longer one is no name, and has no host above it.
+MAX_LABELS = 127
 # Hosts with this many times more distrust than trust are blocked; less distrust than LEAST counts as none.
 FACTOR = 2.0
 LEAST = 0.001
@@ -66,10 +66,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
     linked = pages.filter("host <> ''").select(F.col("host").alias("src"), F.explode(found).alias("dst"))
     linked = linked.select("src", ascii_lower(F.col("dst")).alias("dst")).distinct()
     hosts = pages.filter("host <> ''").select("host").distinct()
-    parent = F.regexp_extract("host", r"^[^.]+\.(.+)$", 1)
-    below = hosts.select(F.col("host").alias("src"), parent.alias("dst")).join(
-        hosts.select(F.col("host").alias("dst")), "dst", "left_semi"
+    labels = F.split("host", r"\.")
+    above = F.when(
+        F.size(labels) <= MAX_LABELS,
+        F.transform(positions(F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i + 2, F.size(labels)), ".")),
     )
+    upwards = hosts.select(F.col("host").alias("src"), F.posexplode(above).alias("steps", "dst"))
+    upwards = upwards.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi")
+    below = upwards.groupBy("src").agg(F.min_by("dst", "steps").alias("dst"))
     above = below.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return linked.unionByName(below).unionByName(above).filter("src <> dst").distinct()
 
@@ -99,20 +103,6 @@ def _by_host(rank: DataFrame) -> DataFrame:
     )
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Trust and distrust of hosts after ``rounds`` steps from the seeds, as the SQL has them: host, trust, distrust.
-
-    Not converged, so ``judge`` takes ``converged`` instead.
-    """
-    both, start = _links_and_seeds(edges, seeds)
-    rank = start.withColumnRenamed("seed", "value")
-    for _ in range(rounds):
-        value = (1 - DAMPING) * F.coalesce("seed", F.lit(0.0)) + DAMPING * F.coalesce("gain", F.lit(0.0))
-        rank = start.join(_gains(both, rank), ["kind", "host"], "full_outer").select("kind", "host", value.alias("value"))
-        rank = cut(rank, "rank")
-    return _by_host(rank)
-
-
 def converged(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, limit: int = MAX_ROUNDS) -> DataFrame:
     """Trust and distrust of hosts when they have converged: host, trust, distrust.
 
@@ -168,14 +158,8 @@ def _sql() -> str:
     rule = " ".join(f % (h + p) for f, (_, h, p) in zip(fits, rules))
     own = " ".join(f % kind for f, (kind, _, _) in zip(fits, rules))
     href = HREF.removeprefix("(?i)").replace("'", "''")
-    steps = "".join(
-        f""", g{i} AS (SELECT kind, dst AS host, sum(value / links) AS gain FROM l JOIN r{i - 1} USING (kind, src) GROUP BY 1, 2),
-r{i} AS (SELECT kind, host AS src, {1 - DAMPING!r} * coalesce(seed, 0) + {DAMPING} * coalesce(gain, 0) AS value
-  FROM s FULL JOIN g{i} USING (kind, host))"""
-        for i in range(1, ROUNDS + 1)
-    )
     return f"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT page_id, html, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{UPPER.lower()}') AS host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
 ), j AS (SELECT page_id, html, host, path, CASE {rule} END AS rule, CASE {own} END AS own FROM u),
@@ -183,9 +167,12 @@ h AS (SELECT DISTINCT host FROM j WHERE host <> ''),
 e0 AS (
   SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''), '{href}', 1, 'i')), '{UPPER}', '{UPPER.lower()}') AS dst
   FROM j WHERE host <> ''
+), w AS (SELECT host, string_split(host, '.') AS labels FROM h),
+a0 AS (
+  SELECT host AS src, i, array_to_string(labels[i + 1 :], '.') AS dst
+  FROM (SELECT host, labels, unnest(range(1, len(labels))) AS i FROM w WHERE len(labels) <= {MAX_LABELS})
 ), b AS (
-  SELECT host AS src, regexp_extract(host, '^[^.]+\\.(.+)$', 1) AS dst FROM h
-  WHERE regexp_extract(host, '^[^.]+\\.(.+)$', 1) IN (SELECT host FROM h)
+  SELECT src, arg_min(dst, i) AS dst FROM a0 WHERE dst IN (SELECT host FROM h) GROUP BY src
 ), e AS (SELECT * FROM (SELECT * FROM e0 UNION SELECT * FROM b UNION SELECT dst, src FROM b) WHERE src <> dst),
 k AS (SELECT 'trust' AS kind, src, dst FROM e UNION ALL SELECT 'distrust', dst, src FROM e),
 l AS (SELECT kind, src, dst, count(*) OVER (PARTITION BY kind, src) AS links FROM k),
@@ -194,10 +181,16 @@ a AS (
   FROM j WHERE host <> '' GROUP BY host
 ),
 s AS (SELECT 'trust' AS kind, host, t AS seed FROM a WHERE t > 0 UNION ALL SELECT 'distrust', host, d FROM a WHERE d > 0),
-r0 AS (SELECT kind, host AS src, seed AS value FROM s){steps},
+r AS (
+  SELECT kind, host, {1 - DAMPING!r} * seed AS added FROM s
+  UNION ALL
+  SELECT kind, dst, {DAMPING} * sum(added / links)
+  FROM (SELECT kind, host AS src, added, sum(added) OVER () AS moving FROM r) JOIN l USING (kind, src)
+  WHERE moving >= {TOLERANCE} GROUP BY kind, dst
+),
 f AS (
-  SELECT src AS host, sum(CASE WHEN kind = 'trust' THEN value ELSE 0 END) AS t,
-    sum(CASE WHEN kind = 'distrust' THEN value ELSE 0 END) AS d FROM r{ROUNDS} GROUP BY 1
+  SELECT host, sum(CASE WHEN kind = 'trust' THEN added ELSE 0 END) AS t,
+    sum(CASE WHEN kind = 'distrust' THEN added ELSE 0 END) AS d FROM r GROUP BY 1
 )
 SELECT page_id, j.host, path, rule, coalesce(own, CASE WHEN d > {LEAST} AND d > {FACTOR} * t THEN 'block' ELSE 'allow' END) AS verdict
 FROM j LEFT JOIN f ON j.host = f.host

@@ -1,5 +1,8 @@
+import random
 import re
 
+import duckdb
+import pandas as pd
 import pytest
 from llm_data import lower
 
@@ -61,28 +64,6 @@ def test_trust_and_distrust_follow_links(spark):
     assert verdict[4].trust > verdict[5].trust > 0 and verdict[3].distrust > 0 and verdict[6].distrust > 0
 
 
-def test_ranks_equal_brute_force(spark):
-    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("d", "a"), ("c", "d")]
-    seeds = {"trust": {"a": 1.0, "d": 0.25}, "distrust": {"c": 0.5}}
-    value = {k: dict(v) for k, v in seeds.items()}
-    for _ in range(urls.ROUNDS):
-        for kind in value:
-            way = edges if kind == "trust" else [(y, x) for x, y in edges]
-            out = {h: sum(x == h for x, _ in way) for h in "abcd"}
-            gain = {h: sum(value[kind].get(x, 0) / out[x] for x, y in way if y == h) for h in "abcd"}
-            value[kind] = {h: 0.15 * seeds[kind].get(h, 0) + 0.85 * gain[h] for h in "abcd"}
-    got = urls.propagate(
-        spark.createDataFrame(edges, "src string, dst string"),
-        spark.createDataFrame(
-            [(h, seeds["trust"].get(h, 0.0), seeds["distrust"].get(h, 0.0)) for h in "abcd"],
-            "host string, trust double, distrust double",
-        ),
-    ).collect()
-    for r in got:
-        assert r.trust == pytest.approx(value["trust"][r.host])
-        assert r.distrust == pytest.approx(value["distrust"][r.host])
-
-
 def brute_converged(edges, seeds):
     """Trust and distrust by dense iteration until nothing changes any more."""
     hosts = sorted({h for e in edges for h in e} | {h for s in seeds.values() for h in s})
@@ -132,5 +113,38 @@ def test_distrust_reaches_the_end_of_a_chain(spark):
     assert [got[i].verdict for i in range(4)] == ["block"] * 4
 
 
+def test_the_nearest_host_above_is_tied(spark):
+    hosts = ["b.com", "x.a.b.com", "y.a.b.com", "z.x.a.b.com", "c.org", "b.com.net", ".".join(["l"] * 130) + ".b.com"]
+    pages = spark.createDataFrame([(h, "") for h in hosts], "host string, html string")
+    got = {(r.src, r.dst) for r in urls.host_edges(pages).collect()}
+    below = {("x.a.b.com", "b.com"), ("y.a.b.com", "b.com"), ("z.x.a.b.com", "x.a.b.com")}
+    assert got == below | {(y, x) for x, y in below}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sql_on_planted_links(spark, seed):
+    """Chains of ten hosts to a blocked and from an allowed host, and random links below them."""
+    rng = random.Random(seed)
+    names = [f"h{i}.net" for i in range(10)] + [f"g{i}.net" for i in range(10)] + [f"s{i}.u.h{i}.net" for i in range(5)]
+    names += [f"r{i}.info" for i in range(30)]
+    goes = {n: [] for n in names}
+    for i in range(10):
+        goes[f"h{i}.net"].append(f"h{i + 1}.net" if i < 9 else "bad.com")
+        goes[f"g{i}.net"].append(f"g{i + 1}.net" if i < 9 else "far.net")
+    for i in range(30):
+        goes[f"r{i}.info"] += rng.sample([*names, "bad.com", "good.com"], rng.randrange(4))
+    goes |= {"good.com/fr": ["g0.net", "r1.info"], "bad.com/de": ["r2.info"]}
+    rows = [
+        (i, f"http://{n}/{i}", "".join(f'<a HREF="//{x.upper()}/q">x</a>' for x in to)) for i, (n, to) in enumerate(goes.items())
+    ]
+    rows += [(900 + i, u, None) for i, u in enumerate(URLS)]
+    with duckdb.connect() as con:
+        con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+        want = sorted(con.sql(urls.SQL).fetchall(), key=str)
+    got = judged(spark, rows).collect()
+    assert sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got), key=str) == want
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+
+
 def test_empty_table(spark):
     assert judged(spark, []).count() == 0
