@@ -14,6 +14,8 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +134,29 @@ def first_edit(a: str, b: str) -> int | None:
     return at
 
 
+def edits(a: str, b: str) -> list[tuple[int, int, int, int]]:
+    """Where two fingerprints differ: (first, end) paragraphs of ``a`` and the (first, end) of ``b`` in their place.
+
+    Sections are aligned first and only those that differ are opened; paragraphs count from 0, and an empty range means
+    that the other text has something more there. Equal fingerprints have no edits.
+    """
+    if a.partition("|")[0] == b.partition("|")[0]:
+        return []
+    left, right = ([_paragraphs(section) for section in _children(x)] for x in (a, b))
+    at, to = (list(accumulate(map(len, side), initial=0)) for side in (left, right))
+    found = []
+    for tag, i, j, k, m in SequenceMatcher(None, _children(a), _children(b), autojunk=False).get_opcodes():
+        if tag == "equal":
+            continue
+        inside, other = list(chain(*left[i:j])), list(chain(*right[k:m]))
+        found += [
+            (at[i] + p, at[i] + q, to[k] + r, to[k] + s)
+            for kind, p, q, r, s in SequenceMatcher(None, inside, other, autojunk=False).get_opcodes()
+            if kind != "equal"
+        ]
+    return found
+
+
 def edited(text: str, following: str) -> str:
     """The text with its last third replaced by as much of the beginning of the following one."""
     third = len(text) // 3

@@ -1,5 +1,9 @@
+import math
+import re
 import zlib
 
+import pytest
+import regex
 from llm_data import SMALL, docs
 from pyspark.sql import functions as F
 
@@ -23,6 +27,44 @@ def test_held_out_accuracy(spark):
     assert good.predicted.mean() > 0.98
 
 
+def plain_statistics(text):
+    text = text or ""
+    words = [w for w in re.split("[ \t\n\x0b\f\r]+", text) if w]
+    n = len(text)
+
+    def share(pattern):
+        return len(regex.findall(pattern, text)) / n if n else 0.0
+
+    return {
+        "log_chars": math.log1p(n),
+        "word_chars": n / len(words) if words else 0.0,
+        "distinct_words": len(set(words)) / len(words) if words else 0.0,
+        "line_words": len(words) / (text.count("\n") + 1),
+        "upper": share("[A-Z]"),
+        "digits": share("[0-9]"),
+        "stops": share("[.,;:]"),
+        "symbols": share(r"[^\p{L}\p{N} \t\n\x0b\f\r.,;:'-]"),
+    }
+
+
+def test_scores_equal_a_plain_replay_of_the_rules(spark, monkeypatch):
+    """Every whole text, and awkward ones, scored by the fitted rules one by one."""
+    models, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    rows = [(-i - 1, t) for i, t in enumerate([*SMALL, "x" * 100_000, "!? " * 5_000])]
+    table = read(spark, "documents").select("doc_id", "text").unionByName(docs(spark, rows).select("doc_id", "text"))
+    texts = {r.doc_id: r.text for r in table.collect()}
+    got = quality.score_documents(table, read(spark, "labels")).collect()
+    assert len(got) == len(texts) and len(models[0].weights) > 3
+    for r in got:
+        values, total = plain_statistics(texts[r.doc_id]), models[0].intercept
+        for rule, weight in models[0].weights:
+            if all(values[name] <= x if sign == "<=" else values[name] > x for name, sign, x in rule.bounds):
+                total += weight
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9), r.doc_id
+        assert r.predicted == (r.score >= 0.7)
+
+
 def test_held_out_labels_are_never_seen(spark):
     labels = read(spark, "labels")
     flipped = labels.withColumn(

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 from llm_data import corpus, docs, prose
 from pyspark.sql import functions as F
@@ -60,3 +61,89 @@ def test_first_edit_is_located():
         other = [*paragraphs[:at], "something else", *paragraphs[at + 1 :]]
         assert merkle.first_edit(whole, merkle.fingerprint("\n".join(other).encode())) == at
     assert merkle.first_edit(whole, whole) is None
+
+
+def plain_tree(text):
+    """Sections of paragraphs of blocks, cut byte by byte."""
+    blocks, block = [], b""
+    for i, c in enumerate(text):
+        block += text[i : i + 1]
+        ends = c == 10
+        if i >= 3 and c in b" \t" and text[i - 1] not in b" \t":
+            mix = (text[i - 1] * 0x9E3779B1 + text[i - 2] * 0x85EBCA6B + text[i - 3] * 0xC2B2AE35) % 2**32
+            ends = text[i - 1] in b".!?" or (mix >> 20) % 16 == 0
+        if ends:
+            blocks.append(block)
+            block = b""
+    blocks += [block] * bool(block)
+    sections, section, paragraph = [], [], []
+    for i, block in enumerate(blocks):
+        paragraph.append(block)
+        if block.endswith(b"\n") or i == len(blocks) - 1:
+            mark = hashed(".".join(hashed(x, 4) for x in paragraph).encode(), 8)
+            section.append((mark, paragraph))
+            if paragraph == [b"\n"] or int(mark[:2], 16) % 8 == 0:
+                sections.append(section)
+                section = []
+            paragraph = []
+    return sections + [section] * bool(section)
+
+
+def hashed(data, size):
+    return hashlib.blake2b(data, digest_size=size).hexdigest()
+
+
+def plain_print(text):
+    marks = [hashed(",".join(mark for mark, _ in section).encode(), 8) for section in plain_tree(text)]
+    inside = [
+        ",".join(f"{mark}={'.'.join(hashed(b, 4) for b in blocks)}" for mark, blocks in section) for section in plain_tree(text)
+    ]
+    root = hashed(";".join(marks).encode() + hashlib.sha256(text).digest(), 16)
+    return f"{root}|{';'.join(f'{m}:{x}' for m, x in zip(marks, inside))}"
+
+
+def plain_likeness(a, b):
+    """Twice the blocks in common, as a share of all blocks."""
+    left, right = (Counter(b for section in plain_tree(t) for _, blocks in section for b in blocks) for t in (a, b))
+    return 1.0 if a == b else 2 * (left & right).total() / (left.total() + right.total())
+
+
+def test_trees_and_likeness_equal_plain_ones():
+    rng = random.Random(8)
+    texts = ["", "\n", "a", "One. Two! Three? four \n\n five", "\n\n\n", "x " * 900, "no blank" * 200]
+    texts += [prose(rng, rng.randrange(1, 400), 30).replace("w1", ". w1") for _ in range(40)]
+    texts += [merkle.edited(texts[i], texts[i + 1]) for i in range(len(texts) - 1)] + ["é ß. 漢字 " * 50]
+    prints = [merkle.fingerprint(t.encode()) for t in texts]
+    assert prints == [plain_print(t.encode()) for t in texts]
+    for i in range(300):
+        j, k = rng.randrange(len(texts)), rng.randrange(len(texts))
+        assert merkle.likeness(prints[j], prints[k]) == plain_likeness(texts[j].encode(), texts[k].encode())
+
+
+def test_given_documents_equal_plain_trees(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted(((r.doc_id, r.text or "") for r in table.select("doc_id", "text").collect()), reverse=True)
+    got = {r.doc_id: r for r in merkle.fingerprints(table).collect()}
+    for i, (doc_id, text) in enumerate(rows):
+        following = rows[(i + 1) % len(rows)][1]
+        changed = text[: len(text) - len(text) // 3] + following[: len(text) // 3]
+        r = got[doc_id]
+        assert (r.fingerprint, r.edited_fingerprint) == (plain_print(text.encode()), plain_print(changed.encode()))
+        assert r.near_edited == plain_likeness(text.encode(), changed.encode())
+        assert r.near_next == plain_likeness(text.encode(), following.encode())
+
+
+def test_all_differing_branches_are_located():
+    rng = random.Random(9)
+    lines = [prose(rng, 20).replace("\n", " ") for _ in range(60)]
+
+    def edits(*changes):
+        other = list(lines)
+        for at, n, new in sorted(changes, reverse=True):
+            other[at : at + n] = new
+        return merkle.edits(*(merkle.fingerprint("".join(x + "\n" for x in side).encode()) for side in (lines, other)))
+
+    assert edits() == []
+    assert edits((4, 1, ["new"]), (40, 1, ["other"])) == [(4, 5, 4, 5), (40, 41, 40, 41)]
+    assert edits((10, 3, []), (30, 0, ["one", "two"]), (59, 1, ["end"])) == [(10, 13, 10, 10), (30, 30, 27, 29), (59, 60, 58, 59)]
+    assert merkle.edits(merkle.fingerprint(b""), merkle.fingerprint(b"a\nb")) == [(0, 0, 0, 2)]
