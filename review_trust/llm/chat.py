@@ -140,28 +140,35 @@ def runs(turns: DataFrame) -> DataFrame:
     return out.select(*columns, "reply_to", "place", "root", F.coalesce("head", "head_before").alias("head"))
 
 
-def depths(placed: DataFrame) -> DataFrame:
-    """Stored ``runs`` with depth: the number of replies between a turn and the root of its conversation.
+def _hung(placed: DataFrame, heads: DataFrame, later: DataFrame) -> DataFrame:
+    """What a run hangs on: conv_id, head, at (the head of the run that it quotes), depth below that.
 
-    Within a run the depth grows by one a turn, so only the heads of runs are traced to the root, by doubling pointers
-    until all have arrived. A round joins those still under way with the heads.
+    One reply leads to the quoted turn, the rest from turn to turn.
     """
-    heads = placed.filter("head = turn").select("conv_id", "reply_to", "head", F.col("place").alias("head_place"))
-    later = heads.filter("reply_to IS NOT NULL")
-    # The head that a run hangs on, and how deep: one reply to the quoted turn, then from turn to turn.
     quoted = placed.select(
         "conv_id", F.col("turn").alias("reply_to"), F.col("head").alias("at"), F.col("place").alias("at_place")
     )
-    asked = later.select("conv_id", "reply_to").distinct()
-    target = quoted.join(asked, ["conv_id", "reply_to"], "left_semi")
+    quoted = quoted.join(later.select("conv_id", "reply_to").distinct(), ["conv_id", "reply_to"], "left_semi")
     places = heads.select("conv_id", F.col("head").alias("at"), F.col("head_place").alias("at_head_place"))
-    target = salted_join(target, places, ["conv_id", "at"], ["reply_to"], "inner").select(
+    target = salted_join(quoted, places, ["conv_id", "at"], ["reply_to"], "inner").select(
         "conv_id", "reply_to", "at", (F.col("at_place") - F.col("at_head_place") + 1).alias("depth")
     )
     linked = salted_join(later, target, ["conv_id", "reply_to"], ["head"], "inner")
+    return linked.select("conv_id", "head", "at", "depth")
+
+
+def depths(placed: DataFrame) -> DataFrame:
+    """Stored ``runs`` with depth: the number of replies between a turn and the root of its conversation.
+
+    Within a run the depth grows by one a turn, so only the heads of runs are traced to the root, by doubling pointers
+    until all have arrived. A round joins those still under way with the heads.
+    """
+    heads = placed.filter("head = turn").select("conv_id", "reply_to", "head", F.col("place").alias("head_place"))
+    heads = cut(heads, "run-heads")
+    later = heads.filter("reply_to IS NOT NULL")
     first = heads.filter("reply_to IS NULL").select("conv_id", "head", F.col("head").alias("at"), F.lit(0).cast("long"))
     done = first.toDF("conv_id", "head", "at", "depth")
-    active = cut(linked.select("conv_id", "head", "at", "depth"), "heads")
+    active = cut(_hung(placed, heads, later), "heads") if later.limit(1).count() else done.limit(0)
     for _ in range(ROUNDS):
         if active.limit(1).count() == 0:
             break
