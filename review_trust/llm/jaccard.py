@@ -15,8 +15,11 @@ Sets are compared once each, whatever the number of documents that have them; a
 * The boundary is where enumerating subsets is expected to cost as much as scanning lists, from the histogram of small
   sizes and the mean length of the lists.
 
-A bundle with more shingles than ``BLOCK_SHINGLES`` is split into blocks, and every pair of blocks is a task of its own.
-Tasks hand on links that connect what is linked within them, never all pairs.
+A bundle with more shingles than ``BLOCK_SHINGLES`` is split into blocks. Its members are compared with its smallest one
+first, and what is connected by that, in any bundle, is a core. Only pairs of which one is outside the core of their
+bundle are left to compare, so a large group of near copies takes work in proportion to its members. Every pair of
+blocks that has such pairs is a task of its own. Tasks hand on links that connect what is linked within them, never all
+pairs.
 """
 
 from __future__ import annotations
@@ -227,12 +230,31 @@ def bundles(postings: DataFrame, percent: int) -> DataFrame:
     return listed.join(pivots, ["shingle", "class"]).select("pivot", "class", "node", "n").distinct()
 
 
+def _blocks(size: Column) -> Column:
+    """How many blocks the members of a bundle need."""
+    return F.ceil(F.coalesce(F.sum(size), F.lit(0)) / BLOCK_SHINGLES).cast("int")
+
+
+def large_bundles(members: DataFrame, size: Column) -> DataFrame:
+    """Bundles that take more than one block: pivot, class, blocks; at most one for BLOCK_SHINGLES shingles."""
+    return members.groupBy("pivot", "class").agg(_blocks(size).alias("blocks")).filter("blocks > 1")
+
+
 def in_blocks(members: DataFrame, size: Column) -> DataFrame:
-    """Members once per pair of blocks (x, y) of their bundle that they belong to, with their own block."""
+    """Members once per pair of blocks (x, y) of their bundle that they belong to, with their own block.
+
+    Members with ``core`` are connected already: their blocks, numbered after the others, meet no other core block.
+    """
     key = ["pivot", "class"]
-    totals = members.groupBy(*key).agg(F.ceil(F.sum(size) / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    placed = members.join(totals, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    totals = members.groupBy(*key).agg(
+        _blocks(F.when(~F.col("core"), size)).alias("outer"), _blocks(F.when(F.col("core"), size)).alias("inner")
+    )
+    placed = members.join(totals, key)
+    own = F.when(F.col("core"), F.col("outer") + F.pmod(F.xxhash64("node"), F.greatest("inner", F.lit(1))))
+    own = F.coalesce(own, F.pmod(F.xxhash64("node"), F.greatest("outer", F.lit(1)))).cast("int")
+    met = F.when(F.col("core"), F.col("outer")).otherwise(F.col("outer") + F.col("inner"))
+    other = placed.withColumn("block", own).filter(met > 0)
+    other = other.withColumn("_other", F.explode(F.sequence(F.lit(0), met - 1)))
     return other.select(
         *members.columns,
         "block",
@@ -241,6 +263,39 @@ def in_blocks(members: DataFrame, size: Column) -> DataFrame:
     )
 
 
+def with_pivot(members: DataFrame, size: Column, large: DataFrame) -> DataFrame:
+    """Members of ``large`` bundles, each in one block (x), with the bundle's smallest member in every one (first)."""
+    placed = members.join(broadcast_if_small(large), ["pivot", "class"])
+    first = F.col("node") == F.col("pivot")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    one = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return placed.select(*members.columns, first.alias("first"), F.explode(F.when(first, every).otherwise(one)).alias("x"))
+
+
+def pivot_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of the smallest member of a bundle with others, from ``with_pivot`` and all ``shingles``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = first = None
+        for batch in batches:
+            us, vs = [], []
+            keys = zip(*(batch.column(c).to_pylist() for c in ("pivot", "class", "x")))
+            for own, node, held in zip(keys, batch.column("node").to_pylist(), batch.column("shingles")):
+                held = np.asarray(held.values)
+                if own != key:
+                    key, first = own, held
+                    continue
+                at = np.minimum(np.searchsorted(first, held), len(first) - 1)
+                common = np.count_nonzero(first[at] == held)
+                if (100 + percent) * common >= percent * (len(first) + len(held)):
+                    us.append(own[0])
+                    vs.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    rows = members.repartition("pivot", "class", "x").sortWithinPartitions("pivot", "class", "x", F.desc("first"))
+    return rows.mapInArrow(run, "u bigint, v bigint")
+
+
 def _overlaps(arrays: list[np.ndarray]) -> Iterator[np.ndarray]:
     """For every array in turn, how many of its numbers each of the arrays holds, from inverted lists."""
     values = np.concatenate(arrays)
@@ -354,18 +409,41 @@ def links(docs: DataFrame, sets: DataFrame, frequent: np.ndarray, shingle_words:
     heavy = listed.filter(F.col("n") >= -(-percent * limit // 100))
     postings = heavy.join(broadcast_if_small(shared.select("shingle"), 1_000_000), "shingle").distinct()
     members = cut(bundles(postings, percent), "bundles")
-    wanted = broadcast_if_small(cut(members.select("node").distinct(), "bundled"), 2_000_000)
-    first = filled.select("node", "first").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     n_first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    passed = cut(survivors(in_blocks(members, n_first).join(first, "node"), percent), "survivors")
-
-    nodes = passed.select("node").distinct()
     of_nodes = filled.select("node", "doc_id").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    ids = broadcast_if_small(cut(of_nodes.join(nodes, "node", "left_semi").select("doc_id"), "verified"), 2_000_000)
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    whole = whole_sets(texts, frequent, shingle_words).dropDuplicates(["node"])
-    exact = exact_links(in_blocks(passed, F.col("n")).join(whole, "node"), percent)
-    return light.unionByName(exact)
+
+    def whole(nodes: DataFrame) -> DataFrame:
+        ids = broadcast_if_small(cut(of_nodes.join(nodes, "node", "left_semi").select("doc_id"), "verified"), 2_000_000)
+        texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+        return whole_sets(texts, frequent, shingle_words).dropDuplicates(["node"])
+
+    large = cut(large_bundles(members, n_first), "large-bundles")
+    known, cores = light, None
+    if large.limit(1).count():
+        crowd = cut(with_pivot(members, n_first, large), "crowds")
+        stars = pivot_links(crowd.join(whole(crowd.select("node").distinct()), "node"), percent)
+        stars = cut(stars.distinct(), "pivot-links")
+        known, cores = light.unionByName(stars), cut(components(stars), "cores")
+
+    def marked(rows: DataFrame) -> DataFrame:
+        """``rows`` of bundles with core: connected with the smallest member of their bundle."""
+        if cores is None:
+            return rows.withColumn("core", F.lit(False))
+        small = broadcast_if_small(cores, 1_000_000)
+        of_node = small.withColumnsRenamed({"id": "node", "component": "_own"})
+        of_pivot = small.withColumnsRenamed({"id": "pivot", "component": "_its"})
+        core = F.coalesce(F.col("_own") == F.col("_its"), F.lit(False))
+        joined = rows.join(of_node, "node", "left").join(of_pivot, "pivot", "left")
+        return joined.select(*rows.columns, core.alias("core"))
+
+    first = filled.select("node", "first")
+    wanted = broadcast_if_small(cut(members.select("node").distinct(), "bundled"), 2_000_000)
+    first = first.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    blocks = in_blocks(marked(members), n_first)
+    passed = cut(survivors(blocks.join(first, "node"), percent), "survivors")
+    blocks = in_blocks(marked(passed), F.col("n"))
+    exact = exact_links(blocks.join(whole(passed.select("node").distinct()), "node"), percent)
+    return known.unionByName(exact)
 
 
 def similar_documents(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from llm_data import corpus, docs, lower, prose
+from pyspark.sql import functions as F
 
 from review_trust.llm import jaccard
 from review_trust.llm.components import components
@@ -82,6 +83,40 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_groups_of_several_kinds_in_blocks(spark, monkeypatch):
+    """Crowds linked to their smallest set, outsiders that only others link, and a shared passage that links nothing."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 300)
+    rng = random.Random(5)
+    chain = [prose(rng, 100, 9_000)]
+    for _ in range(25):  # every text is near the one before, few are near the first
+        w = chain[-1].split()
+        w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+        chain.append(" ".join(w))
+    rows = list(enumerate(chain)) + [(1_000 + i, t) for i, t in enumerate(chain[3:9])]
+    rows += [(2_000 + d, t) for d, t in near_copies(8, 100, 60)]
+    rows += [(3_000 + i, f"{prose(rng, 20, 9_000)} {chain[0]}") for i in range(20)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_blocks_leave_out_pairs_within_the_core(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 1_000)
+    rows = [(0, 1, i, 10, i >= 150) for i in range(2_000)] + [(1, 1, i, 10, True) for i in range(50)]
+    members = spark.createDataFrame(rows, "pivot bigint, class bigint, node bigint, n bigint, core boolean")
+    got = jaccard.in_blocks(members, F.col("n")).collect()
+    together = {}
+    for r in got:
+        assert r.pivot == 0 and r.block in (r.x, r.y)
+        together.setdefault((r.x, r.y), []).append(r)
+    pairs = set()
+    for (x, y), group in together.items():
+        left, right = ([r for r in group if r.block == b] for b in (x, y))
+        assert not any(r.core for r in left)
+        pairs |= {tuple(sorted((a.node, b.node))) for a in left for b in right}
+    assert {(i, j) for i in range(150) for j in range(i, 2_000)} <= pairs
+    # Two outer blocks: every core member twice, whatever the size of the core.
+    assert len([r for r in got if r.core]) == 2 * 1_850
+
+
 def test_frequent_passage(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SAMPLE_HITS", 2)
     rng = random.Random(9)
