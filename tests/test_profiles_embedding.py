@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from review_trust.operators.embedding import embed
-from review_trust.operators.profiles import item_profiles, user_profiles
+from review_trust.operators import profiles
+from review_trust.operators.profiles import item_profiles, shared_profiles, user_profiles
 
 
 @pytest.mark.parametrize("dim", [None, 2])
@@ -91,3 +92,26 @@ def test_own_encoder_gets_whole_texts_in_batches(spark):
 def test_dimension(spark, dim):
     df = spark.createDataFrame([("some text",)], "review_text string")
     assert len(embed(df, dim=dim).first().embedding) == dim
+
+
+@pytest.mark.parametrize("dim", [2, 64, 130])
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_shared_vectors_give_the_same_means_and_no_sums_are_shuffled(spark, monkeypatch, dim, limit):
+    monkeypatch.setattr(profiles, "SHARED_BYTES", limit)
+    vectors = [(n, [float(n * 1000 + j) for j in range(dim)] if n != 2 else None) for n in range(5)]
+    reviews = [(f"U{n % 4}" if n % 4 else None, "I", n * n % 5) for n in range(40)] + [("U1", "I", 3)] * 30 + [("U9", "I", 2)]
+    table = spark.createDataFrame(vectors, "vector_id long, embedding array<float>")
+    named = spark.createDataFrame(reviews, "user_id string, parent_asin string, vector_id long")
+    got = shared_profiles(named, table, "user_id", dim)
+    want = user_profiles(named.join(table, "vector_id"), dim)
+    assert {r.user_id: pytest.approx(r.profile) for r in got.collect()} == {r.user_id: r.profile for r in want.collect()}
+    if limit:
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning") == 2  # counted pairs, twice
+
+
+def test_shared_vectors_of_another_length_fail(spark):
+    table = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "vector_id long, embedding array<float>")
+    named = spark.createDataFrame([("U", "I", 1)], "user_id string, parent_asin string, vector_id long")
+    with pytest.raises(Exception, match="elements in a vector"):
+        shared_profiles(named, table, "user_id", 2).collect()
