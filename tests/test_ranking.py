@@ -164,3 +164,30 @@ def test_tiles_out_of_reach_are_skipped(monkeypatch):
     assert sum(n for n, _ in seen) <= 2 * 60 * 2  # the own tile, and the other one of the batch where it comes first
     want = np.argsort(-np.round(users @ vectors.T, 9), axis=1, kind="stable")[:, :10]
     assert (best[BASELINE].order == want).all()
+
+
+def test_single_precision_only_picks_pairs(monkeypatch):
+    """Cosines that differ less than single precision tells apart are ranked by their double-precision scores, and few pairs need them."""
+    rng = np.random.default_rng(9)
+    near = np.array([[1.0, 3e-9 * n] for n in range(40)]) * rng.uniform(1, 5, size=(40, 1))
+    vectors = np.vstack((ranking.unit_rows(near)[::-1], ranking.unit_rows(rng.normal(size=(4000, 2)))))
+    block = pa.table(
+        {
+            "order": np.arange(len(vectors)),
+            "tile": (np.arange(len(vectors)) // 500).astype(np.int32),
+            "parent_asin": [f"i{n:04}" for n in range(len(vectors))],
+            "profile": pa.array(vectors.tolist()),
+            "item_trust_factor": np.full(len(vectors), 1.0),
+        }
+    )
+    pairs = []
+    cosines = ranking._cosines
+    monkeypatch.setattr(ranking, "_cosines", lambda u, i: pairs.append(len(u)) or cosines(u, i))
+    users = ranking.unit_rows(np.array([[1.0, 1.0], [1.0, 0.0], [0.3, -1.0]]))
+    best = {v: ranking._Best(3, 10) for v in (BASELINE, TRUST)}
+    ranking._score_tiles(users, ranking._tiles(block), best)
+    scores = np.round(np.maximum(users @ vectors.T, 0.0), 9)
+    want = np.argsort(-scores, axis=1, kind="stable")[:, :10]
+    assert (best[BASELINE].order == want).all()
+    assert np.array_equal(best[TRUST].scores, np.take_along_axis(scores, want, axis=1))
+    assert sum(pairs) < 0.1 * 2 * scores.size
