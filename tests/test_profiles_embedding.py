@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from review_trust.operators.embedding import embed
-from review_trust.operators import profiles
+from review_trust.operators import embedding, profiles, skew
 from review_trust.operators.profiles import item_profiles, shared_profiles, user_profiles
 
 
@@ -115,3 +115,24 @@ def test_shared_vectors_of_another_length_fail(spark):
     named = spark.createDataFrame([("U", "I", 1)], "user_id string, parent_asin string, vector_id long")
     with pytest.raises(Exception, match="elements in a vector"):
         shared_profiles(named, table, "user_id", 2).collect()
+
+
+def test_reviews_that_share_a_text_are_counted_once(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TARGET_ROWS", 5)  # the most frequent text is hot
+    texts = ["great thing, great price", "ΟΔΟΣ ΣΣ İ x_y", "...", "", None, "great thing, great price"]
+    rows = [(i, title, texts[i % 6]) for i, title in enumerate(["Great", "", None, "z9 ΟΣ", "!"] * 6)]
+    df = spark.createDataFrame(rows, "id int, title string, text string")
+    counted = []
+    plain = embedding._counted
+
+    def watched(table, column, *others):
+        counted.append((column, table.count()))
+        return plain(table, column, *others)
+
+    monkeypatch.setattr(embedding, "_counted", watched)
+    got = embedding.joined_embedding(df, "title", "text", 16)
+    assert counted[0] == ("_text", 4)  # null reads as empty
+    assert got.columns == ["id", "title", "embedding"]
+    whole = df.withColumn("review_text", F.concat_ws(" ", "title", "text"))
+    wanted = {r.id: r.embedding for r in embed(whole, dim=16).collect()}
+    assert {r.id: r.embedding for r in got.collect()} == wanted
