@@ -44,6 +44,15 @@ def test_feature_joins_add_no_shuffle(reviews, no_broadcast):
     assert "images" not in text and "title" not in text
 
 
+def test_features_of_reviews_stored_by_user_shuffle_nothing(reviews, no_broadcast):
+    text = plan(features.user_features(features.by_user(reviews)))
+    assert text.count("SortMergeJoin") == 2 and "Exchange" not in text
+
+
+def test_feature_queries_store_reviews_by_user(spark, no_broadcast):
+    assert "Exchange" not in plan(QUERIES["user_features"](spark, "/root/testdata/sf0.001"))
+
+
 def test_text_cleaning_runs_in_the_jvm_without_a_shuffle(reviews):
     text = plan(clean_text(reviews))
     assert "Exchange" not in text and "Python" not in text
