@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from review_trust.llm.common import broadcast_if_small, groups, leave_out, text_key
-from review_trust.llm.components import components
+from review_trust.llm.components import FEW_EDGES, components
 from review_trust.llm.shingles import HASH_BITS, shingles, texts_words
 from review_trust.sources.artifacts import cut
 
@@ -461,8 +461,11 @@ def similar_documents(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, perce
     with_id = sets.filter("doc_id IS NOT NULL")
     node_ids = cut(with_id.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id")), "set-ids")
     found = cut(links(known, with_id, frequent, shingle_words, percent), "links")
-    ends = found.join(node_ids.withColumnsRenamed({"node": "u", "id": "a"}), "u")
-    ends = ends.join(node_ids.withColumnsRenamed({"node": "v", "id": "b"}), "v")
+    # Few links go to the sets instead of being shuffled with them, twice.
+    few = found.limit(FEW_EDGES + 1).count() <= FEW_EDGES
+    for end, own in (("u", "a"), ("v", "b")):
+        ids = node_ids.withColumnsRenamed({"node": end, "id": own})
+        found = (F.broadcast(found) if few else found).join(ids, end)
     # A doc_id with several texts ties their sets together.
     several = with_id.groupBy("doc_id").agg(
         F.min("node").alias("_lo"),
@@ -472,7 +475,7 @@ def similar_documents(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, perce
     )
     several = several.filter("_lo <> _hi OR (_filled > 0 AND _filled < _rows)").select("doc_id")
     tied = with_id.join(several, "doc_id", "left_semi").join(node_ids, "node").filter("id <> doc_id")
-    ends = ends.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    ends = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
     nodes = components(ends.unionByName(tied.select(F.col("id").alias("u"), F.col("doc_id").alias("v"))))
     labelled = node_ids.join(nodes, "id", "left").select("node", F.coalesce("component", "id").alias("component"))
     # Stored, so that the join shuffles it by itself and may split the copies of one set among tasks. 16 bytes a row.

@@ -7,8 +7,10 @@ import pytest
 from llm_data import corpus, docs, lower, prose
 from pyspark.sql import functions as F
 
+from review_trust.llm import components as hubs
 from review_trust.llm import jaccard
 from review_trust.llm.components import components
+from review_trust.sources.artifacts import cut
 
 
 def sets_of(rows):
@@ -194,6 +196,41 @@ def test_components_equal_brute_force(spark):
     assert all(got.get(x, x) == c for x, c in want.items())
 
 
+def test_few_edges_take_few_tasks(spark, monkeypatch):
+    """Rounds over few edges shuffle for their aggregates only and store few files; many edges give the same."""
+    tables = []
+    monkeypatch.setattr(hubs, "cut", lambda df, name: tables.append(cut(df, name)) or tables[-1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(50, 40), (40, 60)], "u bigint, v bigint")
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    context = spark.sparkContext
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few edges", "components")
+        few = components(edges)
+        tracker = context.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("few edges") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+        context.setJobGroup("many edges", "components")
+        assert 0 < tasks / len(tables) < 4.5 * 60
+        assert all(len(t.inputFiles()) <= context.defaultParallelism for t in tables[1:])
+        monkeypatch.setattr(hubs, "FEW_EDGES", 0)
+        many = components(edges)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        context._jsc.clearJobGroup()
+    want = [(i, 0) for i in range(1, 13)] + [(50, 40), (60, 40)]
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == want
+
+
+def test_many_links_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(hubs, "FEW_EDGES", 0)
+    monkeypatch.setattr(jaccard, "FEW_EDGES", 0)
+    assert run(spark, corpus()) == brute(corpus())
+
+
 def test_empty_table_and_filter(spark):
     assert jaccard.similar_documents(docs(spark, [])).count() == 0
     rows = [(1, "a b c d e"), (2, "A B C D E"), (3, None), (4, ""), (None, "a b c d e"), (5, "x"), (6, "x")]
