@@ -473,8 +473,10 @@ def similar_documents(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, perce
         F.count("node").alias("_filled"),
         F.count("*").alias("_rows"),
     )
-    several = several.filter("_lo <> _hi OR (_filled > 0 AND _filled < _rows)").select("doc_id")
-    tied = with_id.join(several, "doc_id", "left_semi").join(node_ids, "node").filter("id <> doc_id")
+    # Stored, so that fewer scans start at once: the driver makes a buffer of 4 MB for each stage and each scan.
+    several = cut(several.filter("_lo <> _hi OR (_filled > 0 AND _filled < _rows)").select("doc_id"), "several-texts")
+    tied = with_id.join(broadcast_if_small(several, FEW_EDGES), "doc_id", "left_semi")
+    tied = tied.join(node_ids, "node").filter("id <> doc_id")
     ends = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
     nodes = components(ends.unionByName(tied.select(F.col("id").alias("u"), F.col("doc_id").alias("v"))))
     labelled = node_ids.join(nodes, "id", "left").select("node", F.coalesce("component", "id").alias("component"))
